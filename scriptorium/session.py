@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +60,20 @@ def _size_in_bytes(df: DataFrame) -> int | None:
         return int(str(stats.sizeInBytes()))
     except Exception:
         return None
+
+
+def written(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` as a parquet table in the shared checkpoint folder.
+
+    For results that are read several times: the plan that made them is cut off,
+    readers still prune columns and push filters, and a lost executor costs nothing.
+    """
+    context = df.sparkSession.sparkContext
+    folder = context.getConf().get(CHECKPOINT_KEY) or context.getCheckpointDir()
+    if folder is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = context.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    writer = df.write
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -50,8 +50,13 @@ def rows_of(columns: list[str], rows: list) -> list[tuple]:
     return sorted(out, key=repr)
 
 
+TIMES: list[float] = []
+
+
 def compare(spark_df, con, sql: str) -> str:
+    start = time.time()
     got = spark_df.collect()
+    TIMES[:] = [time.time() - start]
     cursor = con.execute(sql)
     sql_columns = [d[0] for d in cursor.description]
     want = cursor.fetchall()
@@ -92,7 +97,8 @@ def main() -> int:
         except Exception as error:  # noqa: BLE001 - report and go on
             problem = note = f"{type(error).__name__}: {str(error)[:1500]}"
         failures += bool(problem)
-        print(f"{'FAIL' if problem else 'pass'}  {name}  {time.time() - start:.1f}s  {note[:1500]}", flush=True)
+        spark_time = f"{TIMES.pop():.1f}" if TIMES else "-"
+        print(f"{'FAIL' if problem else 'pass'}  {name}  {time.time() - start:.1f}s (collect {spark_time})  {note[:1500]}", flush=True)
     print(f"{failures} failures")
     return failures
 

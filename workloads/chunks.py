@@ -45,7 +45,7 @@ marked AS (
          trim(regexp_extract(line, '^#{1,6}\s+(.*)', 1)) AS heading
   FROM body_lines
 ),
-numbered AS (
+numbered AS MATERIALIZED (
   SELECT *, sum(is_head::INT) OVER (PARTITION BY slug ORDER BY i) AS sec,
          max(CASE WHEN level = 1 THEN i END) OVER w AS p1,
          max(CASE WHEN level = 2 THEN i END) OVER w AS p2,
@@ -54,13 +54,13 @@ numbered AS (
 ),
 first_secs AS (SELECT slug, min(sec) AS first_sec FROM numbered GROUP BY slug),
 heads AS (SELECT slug, i, heading FROM marked WHERE is_head),
-sections AS (
+sections AS MATERIALIZED (
   SELECT n.slug, n.title, n.sec, max(n.level)::INT AS level, max(n.heading) AS heading,
          max(p1) AS p1, max(p2) AS p2, max(p3) AS p3,
          trim(coalesce(string_agg(CASE WHEN NOT is_head THEN line END, chr(10) ORDER BY i), ''), ' ' || chr(10)) AS text
   FROM numbered n GROUP BY n.slug, n.title, n.sec
 ),
-paths AS (
+paths AS MATERIALIZED (
   SELECT s.slug, s.title, s.sec - f.first_sec AS section, s.level, coalesce(s.heading, '') AS heading, s.text,
     CASE WHEN s.level = 0 THEN s.title ELSE concat_ws(' / ', h1.heading, h2.heading, h3.heading) END AS heading_path
   FROM sections s JOIN first_secs f USING (slug)
@@ -81,7 +81,7 @@ def make_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks_sql(posts: str = "posts", limit: int = 700, overlap: int = 100) -> str:
     """CTEs ending in ``chunks``; needs the CTEs of the posts and of their sections."""
     return rf"""
-paras AS (
+paras AS MATERIALIZED (
   SELECT slug, section, heading_path, j, text, greatest(1, trunc(len(regexp_extract_all(text, '\S+')) * 1.3::DOUBLE))::INT AS tok
   FROM (
     SELECT slug, section, heading_path, row_number() OVER (PARTITION BY slug, section ORDER BY k) AS j, text
@@ -93,15 +93,15 @@ paras AS (
     ) WHERE text <> ''
   )
 ),
-sums AS (SELECT *, sum(tok) OVER (PARTITION BY slug, section ORDER BY j) AS cum FROM paras),
-overlap_at AS (
+sums AS MATERIALIZED (SELECT *, sum(tok) OVER (PARTITION BY slug, section ORDER BY j) AS cum FROM paras),
+overlap_at AS MATERIALIZED (
   SELECT a.slug, a.section, a.j, coalesce(min(b.j), a.j) AS ov
   FROM sums a LEFT JOIN sums b
     ON a.slug = b.slug AND a.section = b.section AND b.j < a.j AND (a.cum - a.tok) - (b.cum - b.tok) <= {overlap}
   GROUP BY a.slug, a.section, a.j
 ),
-steps AS (SELECT s.*, o.ov FROM sums s JOIN overlap_at o USING (slug, section, j)),
-walk AS (
+steps AS MATERIALIZED (SELECT s.*, o.ov FROM sums s JOIN overlap_at o USING (slug, section, j)),
+walk AS MATERIALIZED (
   SELECT slug, section, j, 1::BIGINT AS start, tok::BIGINT AS held, NULL::BIGINT AS closed_start FROM steps WHERE j = 1
   UNION ALL
   SELECT s.slug, s.section, s.j,
@@ -113,7 +113,7 @@ walk AS (
          CASE WHEN w.held + s.tok > {limit} THEN w.start END
   FROM walk w JOIN steps s ON s.slug = w.slug AND s.section = w.section AND s.j = w.j + 1
 ),
-pieces AS (
+pieces AS MATERIALIZED (
   SELECT slug, section, closed_start AS a, j - 1 AS b FROM walk WHERE closed_start IS NOT NULL
   UNION ALL
   SELECT slug, section, arg_max(start, j), max(j) FROM walk GROUP BY slug, section
@@ -132,7 +132,7 @@ all_chunks AS (
   UNION ALL
   SELECT slug, section, a, b, heading_path, chunk_text, 'body' FROM body_chunks
 ),
-chunks AS (
+chunks AS MATERIALIZED (
   SELECT slug || '__' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS chunk_id, slug,
          n::INT AS chunk_index, chunk_type, heading_path, chunk_text,
          len(regexp_extract_all(chunk_text, '\S+'))::INT AS word_count
@@ -155,7 +155,7 @@ def pack_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PACK_SQL = f"""
 WITH RECURSIVE posts AS (SELECT doc_id::VARCHAR AS slug, '' AS title, '' AS summary FROM documents),
-paths AS (
+paths AS MATERIALIZED (
   SELECT doc_id::VARCHAR AS slug, 0 AS section, '' AS heading_path, 0 AS level, '' AS heading,
          replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents
 ), {chunks_sql(limit=120, overlap=40)}

@@ -80,7 +80,7 @@ POSTS_SQL = r"""
 posts_base AS (
   SELECT doc_id, lang, source, string_split(text, chr(10)) AS ln FROM documents
 ),
-posts_dated AS (
+posts_dated AS MATERIALIZED (
   SELECT
     doc_id,
     'doc-' || doc_id AS slug,
@@ -110,7 +110,7 @@ posts_dated AS (
     true AS published
   FROM posts_base
 ),
-posts AS (
+posts AS MATERIALIZED (
   SELECT *, year(date) AS year, 'Q' || quarter(date) AS quarter FROM posts_dated
 )"""
 
@@ -286,3 +286,75 @@ def classification_rules(spark: SparkSession) -> ClassificationRules:
         allowed_thematic=ALLOWED_THEMATIC,
         disallowed_tags=DISALLOWED_TAGS,
     )
+
+
+# --- knowledge documents ----------------------------------------------------------
+
+def knowledge_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    i = F.col("page_id")
+    kinds = F.array(F.lit("faq"), F.lit("editorial_guidelines"), F.lit("program"))
+    return pages.select(
+        F.regexp_extract("html", "<h1>([^<]+)<", 1).alias("title"),
+        F.concat(F.lit("page-"), i.cast("string")).alias("slug"),
+        F.element_at(kinds, (i % 3 + 1).cast("int")).alias("knowledge_type"),
+        F.when(i % 11 == 0, "draft").otherwise("approved").alias("status"),
+        F.lit(True).alias("published"),
+        F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("language"),
+        F.when(i % 13 == 0, "").otherwise(F.element_at(F.array(F.lit("high"), F.lit("low")), (i % 2 + 1).cast("int"))).alias("priority"),
+        F.when(i % 25 == 0, "news").otherwise("knowledge").alias("memory_layer"),
+        F.array_join(F.regexp_extract_all("html", F.lit("<(?:p|li)>([^<]+)<"), 1), "\n\n").alias("body"),
+        F.col("url").alias("source_file"),
+    )
+
+
+KNOWLEDGE_SQL = r"""
+knowledge_docs AS MATERIALIZED (
+  SELECT regexp_extract(html, '<h1>([^<]+)<', 1) AS title, 'page-' || page_id AS slug,
+    ['faq', 'editorial_guidelines', 'program'][page_id % 3 + 1] AS knowledge_type,
+    CASE WHEN page_id % 11 = 0 THEN 'draft' ELSE 'approved' END AS status, true AS published,
+    regexp_extract(html, 'lang="([a-z]+)"', 1) AS language,
+    CASE WHEN page_id % 13 = 0 THEN '' ELSE ['high', 'low'][page_id % 2 + 1] END AS priority,
+    CASE WHEN page_id % 25 = 0 THEN 'news' ELSE 'knowledge' END AS memory_layer,
+    array_to_string(regexp_extract_all(html, '<(?:p|li)>([^<]+)<', 1), chr(10) || chr(10)) AS body,
+    url AS source_file
+  FROM pages
+)"""
+
+
+# --- queries -----------------------------------------------------------------------
+
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+QUERIES_SQL = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
+
+# (kind, phrase)
+ROUTE_SIGNALS = [
+    ("draft", "thouth"), ("draft", "queeau"),
+    ("news", "and the"), ("news", "shat"), ("news", "der "), ("news", "par la"),
+    ("knowledge", "it is"), ("knowledge", "tion of"), ("knowledge", "und"), ("knowledge", "ción"),
+]
+ROUTE_SIGNALS_SQL = values_sql("route_signals", ["kind", "phrase"], ROUTE_SIGNALS)
+
+
+def route_signals(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ROUTE_SIGNALS, "kind string, phrase string")
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation turn as a query, some with an explicit intent."""
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
+        F.col("text").alias("query"),
+        F.when(F.col("conv_id") % 7 == 0, "news").when(F.col("conv_id") % 11 == 0, "knowledge").alias("intent"),
+    )
+
+
+ASKED_SQL = """
+asked AS (
+  SELECT conv_id * 1000 + turn AS query_id, text AS query,
+         CASE WHEN conv_id % 7 = 0 THEN 'news' WHEN conv_id % 11 = 0 THEN 'knowledge' END AS intent FROM conversations
+)"""

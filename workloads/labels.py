@@ -9,23 +9,23 @@ from workloads import fixtures as fx
 
 # One row per document and term that hits, in both kinds of matching.
 TAGS_SQL = r"""
-texts AS (SELECT slug, lower(concat_ws(chr(10), nullif(title, ''), nullif(summary, ''), nullif(body, ''))) AS t FROM posts),
-tokens AS (SELECT slug, unnest(list_distinct(regexp_split_to_array(t, '[^\p{L}\p{N}_]+'))) AS token FROM texts),
-plain_tags AS (
+texts AS MATERIALIZED (SELECT slug, lower(concat_ws(chr(10), nullif(title, ''), nullif(summary, ''), nullif(body, ''))) AS t FROM posts),
+tokens AS MATERIALIZED (SELECT slug, unnest(list_distinct(regexp_split_to_array(t, '[^\p{L}\p{N}_]+'))) AS token FROM texts),
+plain_tags AS MATERIALIZED (
   SELECT DISTINCT k.slug, d.etype, d.entry_pos, d.canonical FROM tokens k JOIN dictionary d ON k.token = lower(d.alias)
   UNION
   SELECT DISTINCT x.slug, d.etype, d.entry_pos, d.canonical
   FROM texts x JOIN dictionary d ON regexp_matches(d.alias, '[^\p{L}\p{N}_]') AND contains(x.t, lower(d.alias))
 )"""
 BOUNDED_SQL = r"""
-full_texts AS (SELECT slug, lower(title || chr(10) || chr(10) || trim(body)) AS t FROM posts),
-full_tokens AS (SELECT slug, unnest(list_distinct(regexp_split_to_array(t, '[^\p{L}\p{N}_]+'))) AS token FROM full_texts),
-bounded_tags AS (
+full_texts AS MATERIALIZED (SELECT slug, lower(title || chr(10) || chr(10) || trim(body)) AS t FROM posts),
+full_tokens AS MATERIALIZED (SELECT slug, unnest(list_distinct(regexp_split_to_array(t, '[^\p{L}\p{N}_]+'))) AS token FROM full_texts),
+bounded_tags AS MATERIALIZED (
   SELECT DISTINCT k.slug, d.etype, d.entry_pos, d.canonical FROM full_tokens k JOIN dictionary d ON k.token = lower(d.alias)
   UNION
   SELECT DISTINCT x.slug, d.etype, d.entry_pos, d.canonical
   FROM full_texts x JOIN dictionary d ON regexp_matches(d.alias, '[^\p{L}\p{N}_]')
-   AND regexp_matches(x.t, '(^|[^\p{L}\p{N}_])' || regexp_escape(lower(d.alias)) || '([^\p{L}\p{N}_]|$)')
+   AND contains(x.t, lower(d.alias)) AND regexp_matches(x.t, '(^|[^\p{L}\p{N}_])' || regexp_escape(lower(d.alias)) || '([^\p{L}\p{N}_]|$)')
 )"""
 
 
@@ -135,14 +135,14 @@ type_weights(etype, w) AS (VALUES ('programs', 25), ('credentials', 30), ('locat
 kinds(kind, etype) AS (VALUES ('activity', 'activities'), ('program', 'programs'), ('organization', 'organizations'),
   ('credential', 'credentials'), ('location', 'locations'), ('person', 'people')),
 counts AS (SELECT slug, etype, count(*) AS n FROM bounded_tags GROUP BY slug, etype),
-signal_points AS (
+signal_points AS MATERIALIZED (
   SELECT c.slug, s.category, c.n * w.w AS points FROM cat_signals s JOIN type_weights w ON s.kind = 'entity_type' AND w.etype = s.value
   JOIN counts c ON c.etype = s.value
   UNION ALL
   SELECT g.slug, s.category, w.w FROM cat_signals s JOIN weights w USING (kind) JOIN kinds k USING (kind)
   JOIN bounded_tags g ON g.etype = k.etype AND g.canonical = s.value
 ),
-pattern_hits AS (
+pattern_hits AS MATERIALIZED (
   SELECT DISTINCT g.slug, p.category, p.pattern_id, p.element FROM cat_patterns p
   JOIN kinds k ON k.kind = p.element JOIN bounded_tags g ON g.etype = k.etype
   UNION
@@ -153,13 +153,13 @@ pattern_points AS (
   SELECT h.slug, h.category, 35 AS points FROM pattern_hits h JOIN pattern_sizes s USING (category, pattern_id)
   GROUP BY h.slug, h.category, h.pattern_id, s.n HAVING count(*) = s.n
 ),
-raw_scores AS (
+raw_scores AS MATERIALIZED (
   SELECT p.slug, o.category, o.pos, coalesce(sum(points), 0) AS score
   FROM posts p CROSS JOIN category_order o
   LEFT JOIN (SELECT * FROM signal_points UNION ALL SELECT * FROM pattern_points) x ON x.slug = p.slug AND x.category = o.category
   GROUP BY p.slug, o.category, o.pos
 ),
-facts AS (
+facts AS MATERIALIZED (
   SELECT p.slug,
     count(*) FILTER (WHERE etype = 'organizations') AS orgs, count(*) FILTER (WHERE etype = 'credentials') AS creds,
     coalesce(bool_or(canonical = 'Graduation'), false) AS graduation, coalesce(bool_or(canonical = 'Media Coverage'), false) AS media,
@@ -177,15 +177,15 @@ bump2 AS (
     THEN greatest(score, greatest(max(score) OVER (PARTITION BY s.slug), 45) + 1) ELSE score END AS score
   FROM bump1 s JOIN facts USING (slug)
 ),
-scores AS (
+scores AS MATERIALIZED (
   SELECT s.slug, category, pos, CASE WHEN category = 'Accreditation & Compliance' AND creds > 0 AND certification
     THEN greatest(score, greatest(max(score) OVER (PARTITION BY s.slug), 45) + 1) ELSE score END AS score
   FROM bump2 s JOIN facts USING (slug)
 ),
-keyword_points AS (
+keyword_points AS MATERIALIZED (
   SELECT slug, category, 5 * count(*) AS points FROM (
     SELECT DISTINCT x.slug, k.category, k.keyword FROM full_texts x JOIN keyword_rules k
-    ON regexp_matches(x.t, '(^|[^\p{L}\p{N}_])' || regexp_escape(lower(k.keyword)) || '([^\p{L}\p{N}_]|$)')
+    ON contains(x.t, lower(k.keyword)) AND regexp_matches(x.t, '(^|[^\p{L}\p{N}_])' || regexp_escape(lower(k.keyword)) || '([^\p{L}\p{N}_]|$)')
   ) GROUP BY slug, category
 )"""
 PICK_SQL = """
@@ -200,7 +200,7 @@ scored AS (
   FROM picked p LEFT JOIN scores s ON s.slug = p.slug AND s.category = p.category
   LEFT JOIN keyword_points k ON k.slug = p.slug AND k.category = p.category
 ),
-chosen AS (
+chosen AS MATERIALIZED (
   SELECT *, CASE WHEN entity_score >= 45 THEN CASE WHEN keyword_score > 0 THEN 'hybrid' ELSE 'entity_match' END
                  WHEN used_fallback THEN 'keyword_fallback' WHEN entity_score > 0 THEN 'entity_match' ELSE 'default' END AS source
   FROM scored
@@ -255,23 +255,29 @@ def _bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagging.tag_entities(fx.posts(spark, sf_dir), fx.dictionary(spark), bounded=True, text=text, prefix="e_")
 
 
+def _long_scores(scored: DataFrame) -> DataFrame:
+    rows = scored.select("slug", F.explode_outer("scores").alias("s")).where("s IS NOT NULL")
+    return rows.select("slug", "s.category", F.col("s.score").cast("long").alias("score"))
+
+
 def score_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = fx.classification_rules(spark)
     scored = classify.score_categories(_bounded(spark, sf_dir), rules)
-    return scored.select("slug", F.explode("scores").alias("s")).select("slug", "s.category", F.col("s.score").cast("long").alias("score"))
+    return _long_scores(scored)
 
 
 def apply_tie_breakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = fx.classification_rules(spark)
     scored = classify.apply_tie_breakers(classify.score_categories(_bounded(spark, sf_dir), rules), rules)
-    return scored.select("slug", F.explode("scores").alias("s")).select("slug", "s.category", F.col("s.score").cast("long").alias("score"))
+    return _long_scores(scored)
 
 
 def score_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat("title", F.lit("\n\n"), F.trim("body"))
     scored = classify.score_keywords(fx.posts(spark, sf_dir), fx.classification_rules(spark), text=text)
     return (
-        scored.select("slug", F.explode("keyword_hits").alias("category"))
+        scored.select("slug", F.explode_outer("keyword_hits").alias("category"))
+        .where("category IS NOT NULL")
         .groupBy("slug", "category")
         .agg((F.count("*") * 5).alias("points"))
     )

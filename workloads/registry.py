@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workloads import chunks, labels
+from workloads import chunks, labels, searching
 
-_MODULES = (chunks, labels)
+_MODULES = (chunks, labels, searching)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
