@@ -405,7 +405,7 @@ def lane_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LANE_BLOCKS_SQL = f"""WITH RECURSIVE {LANES_CTES},
 shown AS (
-  SELECT l.*, c.chunk_text, p.title, strftime(p.date, '%Y-%m-%d') AS date, NULL AS knowledge_type, NULL AS section
+  SELECT l.*, c.chunk_text, p.title, strftime(p.date, '%Y-%m-%d') AS date, NULL::VARCHAR AS knowledge_type, NULL::VARCHAR AS section_path
   FROM lanes l JOIN chunks c USING (chunk_id) JOIN posts p USING (slug)
   UNION ALL
   SELECT l.*, c.chunk_text, p.title, NULL, p.knowledge_type, nullif(c.heading_path, '')
@@ -416,10 +416,10 @@ SELECT query_id, lane, string_agg(
     WHEN 'news' THEN '--- Chunk ' || rank || ' (score=' || printf('%.4f', score) || ') ---' || coalesce(chr(10) || 'Title   : ' || title, '')
       || coalesce(chr(10) || 'Date    : ' || date, '') || chr(10) || 'Text    :' || chr(10) || trim(chunk_text) || chr(10)
     WHEN 'knowledge' THEN '--- Knowledge ' || rank || ' (score=' || printf('%.4f', score) || ') ---' || coalesce(chr(10) || 'Title         : ' || title, '')
-      || coalesce(chr(10) || 'Knowledge type: ' || knowledge_type, '') || coalesce(chr(10) || 'Section       : ' || section, '')
+      || coalesce(chr(10) || 'Knowledge type: ' || knowledge_type, '') || coalesce(chr(10) || 'Section       : ' || section_path, '')
       || chr(10) || 'Text          :' || chr(10) || trim(chunk_text) || chr(10)
     ELSE '--- Editorial ' || rank || ' (score=' || printf('%.4f', score) || ') ---' || coalesce(chr(10) || 'Title   : ' || title, '')
-      || coalesce(chr(10) || 'Section : ' || section, '') || chr(10) || 'Text    :' || chr(10) || trim(chunk_text) || chr(10)
+      || coalesce(chr(10) || 'Section : ' || section_path, '') || chr(10) || 'Text    :' || chr(10) || trim(chunk_text) || chr(10)
   END, chr(10) ORDER BY rank) AS block
 FROM shown GROUP BY query_id, lane"""
 
