@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workloads import chunks, corpus, labels, searching
+from workloads import assets, chunks, corpus, labels, searching
 
-_MODULES = (corpus, chunks, labels, searching)
+_MODULES = (corpus, chunks, labels, searching, assets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
