@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workloads import assets, chunks, corpus, labels, searching
+from workloads import assets, chunks, corpus, drafts, graphs, labels, refreshing, searching
 
-_MODULES = (corpus, chunks, labels, searching, assets)
+_MODULES = (corpus, chunks, labels, searching, graphs, drafts, assets, refreshing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
