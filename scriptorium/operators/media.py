@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scriptorium.functions.text import slugify
-from scriptorium.session import checkpointed
+from scriptorium.session import checkpointed, written
 
 BITS = 64
 
@@ -167,7 +167,7 @@ def near_duplicate_groups(
     only asks whether a neighbour exists; pairs are formed once, at the end,
     between members and leaders, and leaders are never close to one another.
     """
-    rows = items.select(F.col(part).alias("part"), F.col(name).alias("name"), F.col(bits).cast("long").alias("bits"))
+    rows = written(items.select(F.col(part).alias("part"), F.col(name).alias("name"), F.col(bits).cast("long").alias("bits")))
     distinct = checkpointed(rows.groupBy("part", "bits").agg(F.min("name").alias("name")))
     n = distinct.count()
     m, radius = bands or choose_bands(n, threshold)

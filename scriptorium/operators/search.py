@@ -1,20 +1,22 @@
 """Filtered hybrid search for many queries at once.
 
-Queries are a table. Dense scores are block products of query vectors and index
-batches; sparse scores are an equi-join on terms. Both keep only the best
-candidates of each partition before anything is shuffled by query.
+Queries are a table. Dense and sparse scores are computed batch by batch inside
+the tasks that read the index, which keep a running best per query; what is
+shuffled is at most ``k`` rows per query and task, never all scored pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scriptorium.operators.index import add_hashed_vectors, term_counts
 from scriptorium.operators.validate import live_prefilter, payload_filter
+from scriptorium.session import written
 
 # Query vectors handled by one pass over the index, in bytes.
 QUERY_BLOCK_BYTES = 32 * 1024 * 1024
@@ -38,62 +40,106 @@ def dense_topk(queries: DataFrame, index: DataFrame, k: int, metric: str = "cosi
 
     ``metric`` is cosine, dot or euclid (negated distance). Queries go through
     the index in blocks of a bounded size, one pass each; however many there
-    are, every pair is scored and none is emitted but the best of a batch.
+    are, every pair is scored.
     """
-    vectors = queries.where("dense IS NOT NULL").select(F.col("query_id").cast("bigint").alias("query_id"), "dense")
+    vectors = queries.where("dense IS NOT NULL").select(_query_id(), "dense")
     shape = vectors.agg(F.count("*").alias("n"), F.max(F.size("dense")).alias("d")).first()
     candidates = index.where("dense IS NOT NULL").select("chunk_id", "dense")
-    if not shape["n"]:
-        return top_k(index.sparkSession.createDataFrame([], _HIT_SCHEMA), k)
-    per_block = max(1, QUERY_BLOCK_BYTES // (8 * max(1, shape["d"])))
-    n_blocks = -(-shape["n"] // per_block)
-    parts = []
-    for block in range(n_blocks):
-        rows = vectors.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block) if n_blocks > 1 else vectors
-        parts.append(_score_block(rows, candidates, k, metric))
+    n_blocks = -(-shape["n"] * 8 * (shape["d"] or 1) // QUERY_BLOCK_BYTES)
+
+    def score_block(block: DataFrame) -> DataFrame:
+        rows = block.collect()
+        ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
+        matrix = np.array([r["dense"] for r in rows], dtype=np.float64)
+        shared = candidates.sparkSession.sparkContext.broadcast((ids, matrix))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            query_ids, query_matrix = shared.value
+            best = _Best(query_ids, k)
+            for batch in batches:
+                for part in _slices(batch, _MATRIX_CELLS // max(1, len(query_ids))):
+                    flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    scores = similarity(query_matrix, flat.reshape(part.num_rows, -1), metric)
+                    best.add(part.column(0), scores, np.ones_like(scores, dtype=bool))
+            yield from best.batches()
+
+        return candidates.mapInArrow(score, _HIT_SCHEMA)
+
+    return _over_blocks(vectors, n_blocks, score_block, candidates, k)
+
+
+# Scores held at once by a task.
+_MATRIX_CELLS = 4_000_000
+
+
+def _query_id() -> Column:
+    return F.col("query_id").cast("bigint").alias("query_id")
+
+
+def _over_blocks(
+    rows: DataFrame, n_blocks: int, score_block: Callable[[DataFrame], DataFrame], candidates: DataFrame, k: int
+) -> DataFrame:
+    """Score query rows in ``n_blocks`` blocks of whole queries and keep the best over all."""
+    if n_blocks <= 0:
+        return top_k(candidates.sparkSession.createDataFrame([], _HIT_SCHEMA), k)
+    parts = [
+        score_block(rows.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b) if n_blocks > 1 else rows)
+        for b in range(n_blocks)
+    ]
     scored = parts[0]
     for part in parts[1:]:
         scored = scored.unionByName(part)
     return top_k(scored, k)
 
 
-def _score_block(queries: DataFrame, candidates: DataFrame, k: int, metric: str) -> DataFrame:
-    rows = queries.orderBy("query_id").collect()
-    if not rows:
-        return candidates.sparkSession.createDataFrame([], _HIT_SCHEMA)
-    ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-    matrix = np.array([r["dense"] for r in rows], dtype=np.float64)
-    shared = candidates.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, query_matrix = shared.value
-        for batch in batches:
-            if batch.num_rows:
-                yield _best_of_batch(batch, query_ids, query_matrix, k, metric)
-
-    return candidates.mapInArrow(score, _HIT_SCHEMA)
-
-
-def _best_of_batch(batch: pa.RecordBatch, query_ids: np.ndarray, queries: np.ndarray, k: int, metric: str) -> pa.RecordBatch:
-    """The ``k`` best rows of one Arrow batch for every query; ties at the edge by chunk."""
-    dim = queries.shape[1]
-    chunk_ids = np.array(batch.column(0).to_pylist(), dtype=object)
-    vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    scores = similarity(queries, vectors, metric)
-    n = vectors.shape[0]
-    by_name = np.argsort(chunk_ids, kind="stable")
-    scores = scores[:, by_name]
-    keep = min(k, n)
-    # Columns are in chunk order, so a stable sort by score breaks ties by chunk.
-    order = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.repeat(query_ids, keep), type=pa.int64()),
-            pa.array(chunk_ids[by_name][order.ravel()].tolist(), type=pa.string()),
-            pa.array(np.take_along_axis(scores, order, axis=1).ravel(), type=pa.float64()),
-        ],
-        names=["query_id", "chunk_id", "score"],
-    )
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    rows = max(1, rows)
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
+class _Best:
+    """The ``k`` best chunks per query seen by one task, by score, then chunk."""
+
+    def __init__(self, query_ids: np.ndarray, k: int) -> None:
+        self.query_ids, self.k = query_ids, k
+        self.query = np.zeros(0, dtype=np.int64)
+        self.chunk = np.zeros(0, dtype=object)
+        self.score = np.zeros(0, dtype=np.float64)
+
+    def add(self, chunks: pa.Array, scores: np.ndarray, usable: np.ndarray) -> None:
+        """``scores`` has a row per query and a column per chunk; unusable pairs are no hits."""
+        n = scores.shape[1]
+        if n > self.k:
+            masked = np.where(usable, scores, -np.inf)
+            edge = -np.partition(-masked, self.k - 1, axis=1)[:, self.k - 1]
+            usable = usable & (scores >= edge[:, None])
+        query, column = np.nonzero(usable)
+        names = np.array(chunks.to_pylist(), dtype=object)
+        self._keep(
+            np.concatenate([self.query, query]),
+            np.concatenate([self.chunk, names[column]]),
+            np.concatenate([self.score, scores[query, column]]),
+        )
+
+    def _keep(self, query: np.ndarray, chunk: np.ndarray, score: np.ndarray) -> None:
+        by_name = np.argsort(chunk.astype(str), kind="stable")
+        order = by_name[np.lexsort((-score[by_name], query[by_name]))]
+        query, chunk, score = query[order], chunk[order], score[order]
+        first = np.searchsorted(query, query, side="left")
+        kept = np.arange(len(query)) - first < self.k
+        self.query, self.chunk, self.score = query[kept], chunk[kept], score[kept]
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if len(self.query):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(self.query_ids[self.query], type=pa.int64()),
+                    pa.array(self.chunk.tolist(), type=pa.string()),
+                    pa.array(self.score, type=pa.float64()),
+                ],
+                names=["query_id", "chunk_id", "score"],
+            )
 
 
 def similarity(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
@@ -113,22 +159,73 @@ def similarity(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndar
 def query_terms(queries: DataFrame) -> DataFrame:
     """``(query_id, term)``: the distinct words of each query, all of weight 1."""
     words = F.transform(term_counts(F.col("query")), lambda c: c["term"])
-    return queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.explode(words).alias("term"))
+    return queries.select(_query_id(), F.explode_outer(words).alias("term")).where("term IS NOT NULL")
 
 
 def sparse_topk(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """``(query_id, chunk_id, score, rank)`` for ``queries(query_id, query)``.
 
-    All postings of a chunk sit in one row of the index, so scores are complete
-    after map-side aggregation and only (query, chunk) pairs are shuffled.
+    A task looks the terms of its chunks up among the query terms and adds their
+    weights per query. Chunks that share no term with a query are no hits.
     """
-    postings = index.select("chunk_id", F.explode_outer("sparse").alias("p")).where("p IS NOT NULL").select("chunk_id", "p.term", "p.w")
-    scored = (
-        postings.join(query_terms(queries), "term")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.round(F.sum("w"), 6).alias("score"))
-    )
-    return top_k(scored, k).select("query_id", "chunk_id", "score", "rank")
+    terms = written(query_terms(queries))
+    postings = index.where("sparse IS NOT NULL").select("chunk_id", F.col("sparse.term").alias("terms"), F.col("sparse.w").alias("weights"))
+    n_blocks = -(-terms.count() * 32 // QUERY_BLOCK_BYTES)
+
+    def score_block(block: DataFrame) -> DataFrame:
+        rows = block.toPandas()
+        shared = postings.sparkSession.sparkContext.broadcast(_inverted(rows["query_id"].to_numpy(), rows["term"].to_numpy()))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            query_ids, vocabulary, starts, members = shared.value
+            best, known = _Best(query_ids, k), pa.array(vocabulary, type=pa.string())
+            for batch in batches:
+                for part in _slices(batch, _MATRIX_CELLS // max(1, len(query_ids))):
+                    scores = _added_weights(part, known, starts, members, len(query_ids))
+                    best.add(part.column(0), scores, scores > 0)
+            yield from best.batches()
+
+        return postings.mapInArrow(score, _HIT_SCHEMA)
+
+    return _over_blocks(terms, n_blocks, score_block, postings, k)
+
+
+def _inverted(query_ids: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Query ids, sorted terms, and per term the positions of the queries that have it."""
+    ids, query = np.unique(query_ids.astype(np.int64), return_inverse=True)
+    vocabulary, term = np.unique(terms.astype(str), return_inverse=True)
+    order = np.argsort(term, kind="stable")
+    starts = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
+    return ids, vocabulary.tolist(), starts, query[order]
+
+
+# Query-term matches expanded at once by a task.
+_MATCHES = 4_000_000
+
+
+def _added_weights(part: pa.RecordBatch, known: pa.Array, starts: np.ndarray, members: np.ndarray, n_queries: int) -> np.ndarray:
+    """Summed weights of shared terms: a row per query, a column per chunk."""
+    lists = part.column(1)
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    chunk = np.repeat(np.arange(part.num_rows), sizes)
+    found = pc.index_in(lists.flatten(), value_set=known)
+    hit = pc.is_valid(found).to_numpy(zero_copy_only=False)
+    term = pc.fill_null(found, 0).to_numpy(zero_copy_only=False)[hit].astype(np.int64)
+    chunk, weight = chunk[hit], part.column(2).flatten().to_numpy(zero_copy_only=False)[hit]
+    scores = np.zeros(n_queries * part.num_rows)
+    counts = starts[term + 1] - starts[term]
+    ends = np.cumsum(counts)
+    low = 0
+    while low < len(term):
+        base = ends[low] - counts[low]
+        high = max(low + 1, int(np.searchsorted(ends, base + _MATCHES, side="right")))
+        n = counts[low:high]
+        offsets = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        query = members[np.repeat(starts[term[low:high]], n) + offsets]
+        cell = query * part.num_rows + np.repeat(chunk[low:high], n)
+        scores += np.bincount(cell, weights=np.repeat(weight[low:high], n), minlength=len(scores))
+        low = high
+    return np.round(scores.reshape(n_queries, part.num_rows), 6)
 
 
 def rrf_fuse(ranked: list[DataFrame], limit: int, threshold: float = 0.0) -> DataFrame:

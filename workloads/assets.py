@@ -21,23 +21,17 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         hashes = F.transform(words, lambda w: F.substring(F.md5(F.encode(w, "utf-8")), 1, 16))
         # Four hex digits at a time keep every number small and positive.
         quarters = F.transform(
-            hashes,
-            lambda h: F.transform(
-                F.sequence(F.lit(0), F.lit(3)),
-                lambda q: F.conv(F.substring(h, q * 4 + 1, F.lit(4)), 16, 10).cast("int"),
-            ),
+            F.sequence(F.lit(0), F.lit(3)),
+            lambda q: F.transform(hashes, lambda h: F.conv(F.substring(h, q * 4 + 1, F.lit(4)), 16, 10).cast("int")),
         )
+        masks = F.array(*[F.lit(1 << (15 - i)) for i in range(16)])
 
-        def bit(i, quarter_lists):
-            set_in = F.size(
-                F.filter(
-                    quarter_lists,
-                    lambda q: F.call_function("shiftright", F.get(q, F.floor(i / 16).cast("int")), 15 - i % 16).bitwiseAND(F.lit(1)) == 1,
-                )
+        def majority(numbers):
+            return F.transform(
+                masks, lambda m: (F.size(F.filter(numbers, lambda x: x.bitwiseAND(m) > 0)) * 2 > F.size(numbers)).cast("int")
             )
-            return (set_in * 2 > F.size(quarter_lists)).cast("int")
 
-        return let(quarters, lambda qs: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: bit(i, qs)))
+        return F.flatten(F.transform(quarters, majority))
 
     bits = media.pack_bits(let(F.array_distinct(word_list(F.col("text"))), sign_bits))
     return docs.select(F.col("lang").alias("event_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("filename"), "doc_id", bits.alias("bits"))

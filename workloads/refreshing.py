@@ -177,7 +177,7 @@ def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FRONT_SQL = f"""WITH {fx.POSTS_SQL}
-SELECT slug, trim(regexp_replace(title, '['':]', '', 'g')) AS title, date::VARCHAR AS date, 'a|b c' AS tags, 'x.png|' || source_document AS gallery, trim(body, ' ' || chr(10)) AS body,
+SELECT slug, regexp_replace(title, '['':]', '', 'g') AS title, date::VARCHAR AS date, 'a|b c' AS tags, 'x.png|' || source_document AS gallery, trim(body, ' ' || chr(10)) AS body,
   'kept' AS custom, 'ok' AS reason FROM posts WHERE doc_id % 9 <> 0
 UNION ALL SELECT slug, NULL, NULL, NULL, NULL, NULL, NULL, 'no front matter' FROM posts WHERE doc_id % 9 = 0"""
 
@@ -207,7 +207,7 @@ moved AS (
   FROM refs LEFT JOIN image_names ON name = substr(old_ref, 8) GROUP BY slug
 )
 SELECT slug, category, tags, date::VARCHAR AS date, coalesce(m[1], '') AS featured_image, coalesce(array_to_string(m[2:], '|'), '') AS gallery,
-  ((n_tags = 0)::INT + (m IS NULL)::INT + (n_tags < 3)::INT + coalesce(lost, 0) + (title = '')::INT)::INT AS n_issues
+  ((n_tags = 0)::INT + (m IS NULL)::INT + (n_tags < 3)::INT + coalesce(lost, 0) + (title = '')::INT + (body = '')::INT)::INT AS n_issues
 FROM dated JOIN named USING (slug) LEFT JOIN moved USING (slug)"""
 
 
