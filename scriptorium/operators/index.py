@@ -134,10 +134,8 @@ def term_counts(text: Column, stop_words: list[str] | None = None) -> Column:
     return let(F.sort_array(words), runs)
 
 
-def sparse_vector(
-    text: Column, *, k: float = 1.2, b: float = 0.75, avg_len: float = 256.0, stop_words: list[str] | None = None
-) -> Column:
-    """``array<struct<term, w>>`` with saturated term frequencies; no stemming."""
+def sparse_vector(counts: Column, *, k: float = 1.2, b: float = 0.75, avg_len: float = 256.0) -> Column:
+    """``array<struct<term, w>>`` with saturated term frequencies, from :func:`term_counts`; no stemming."""
     def weigh(counts: Column) -> Column:
         length = F.aggregate(counts, F.lit(0), lambda n, c: n + c["tf"]).cast("double")
 
@@ -150,7 +148,7 @@ def sparse_vector(
 
         return let(length, weights)
 
-    return let(term_counts(text, stop_words), weigh)
+    return let(counts, weigh)
 
 
 def sparse_long(index: DataFrame, idf: bool = False) -> DataFrame:
@@ -168,57 +166,40 @@ def sparse_long(index: DataFrame, idf: bool = False) -> DataFrame:
 def hashed_vector(counts: Column) -> Column:
     """Unit vector of hashed term frequencies, for corpora without vectors of their own.
 
-    The hash is the start of each term's md5, the same in every engine. Counts
-    are sorted by bucket and summed as runs.
+    The hash is the start of each term's md5, the same in every engine.
     """
     def bucket(term: Column) -> Column:
-        return (F.conv(F.substring(F.md5(F.encode(term, "utf-8")), 1, 8), 16, 10).cast("long") % DENSE_DIM).cast("int")
+        return (F.conv(F.substring(F.md5(term.cast("binary")), 1, 8), 16, 10).cast("long") % DENSE_DIM).cast("int")
 
     hashed = F.transform(counts, lambda c: F.struct(bucket(c["term"]).alias("b"), c["tf"].cast("double").alias("w")))
 
-    def runs(pairs: Column) -> Column:
-        starts = F.filter(
-            F.transform(pairs, lambda p, i: F.when((i == 0) | (F.get(pairs, i - 1)["b"] != p["b"]), i)),
-            lambda i: i.isNotNull(),
+    def sums(pairs: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(DENSE_DIM - 1)),
+            lambda b: F.aggregate(F.filter(pairs, lambda p: p["b"] == b), F.lit(0.0), lambda acc, p: acc + p["w"]),
         )
 
-        def summed(at: Column) -> Column:
-            def total(s: Column, k: Column) -> Column:
-                run = F.slice(pairs, s + 1, F.coalesce(F.get(at, k + 1), F.size(pairs)) - s)
-                return F.struct(
-                    F.get(pairs, s)["b"].alias("b"),
-                    F.aggregate(run, F.lit(0.0), lambda acc, p: acc + p["w"]).alias("v"),
-                )
-
-            return F.transform(at, total)
-
-        return let(starts, summed)
-
-    def spread_out(sums: Column) -> Column:
-        norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda acc, r: acc + r["v"] * r["v"]))
-
-        def scaled(length: Column) -> Column:
-            def at(b: Column) -> Column:
-                value = F.get(F.filter(sums, lambda r: r["b"] == b), 0)["v"]
-                return F.coalesce(value / length, F.lit(0.0)).cast("float")
+    def scaled(values: Column) -> Column:
+        norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v * v))
+        return let(norm, lambda n: F.transform(values, lambda v: F.when(n > 0, v / n).otherwise(0.0).cast("float")))
 
-            return F.transform(F.sequence(F.lit(0), F.lit(DENSE_DIM - 1)), at)
-
-        return let(norm, scaled)
-
-    return let(let(F.sort_array(hashed), runs), spread_out)
+    return let(let(hashed, sums), scaled)
 
 
 def add_hashed_vectors(rows: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("dense", hashed_vector(term_counts(F.col(text))))
 
 
-def with_vectors(chunks: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
-    """Add ``sparse`` and ``dense``; supplied ``vectors(chunk_id, dense)`` replace hashed ones."""
-    counted = chunks.withColumn("sparse", sparse_vector(F.col("chunk_text")))
+def with_vectors(chunks: DataFrame, vectors: DataFrame | None = None, stop_words: list[str] | None = None) -> DataFrame:
+    """Add ``sparse`` and ``dense``; supplied ``vectors(chunk_id, dense)`` replace hashed ones.
+
+    Words are counted once for both kinds.
+    """
+    counted = chunks.withColumn("__counts", term_counts(F.col("chunk_text"), stop_words))
+    sparse = counted.withColumn("sparse", sparse_vector(F.col("__counts")))
     if vectors is not None:
-        return counted.join(vectors.select("chunk_id", "dense"), "chunk_id", "left")
-    return add_hashed_vectors(counted, "chunk_text")
+        return sparse.drop("__counts").join(vectors.select("chunk_id", "dense"), "chunk_id", "left")
+    return sparse.withColumn("dense", hashed_vector(F.col("__counts"))).drop("__counts")
 
 
 # --- upsert ----------------------------------------------------------------------
