@@ -11,9 +11,9 @@ _FRONT_MATTER = r"\A---\n([\s\S]*?)\n---\n([\s\S]*)"
 
 def read_markdown_corpus(spark: SparkSession, path: str, *, recursive: bool = False, slug: str | None = None) -> DataFrame:
     """``(file, stem, text)``, one row per ``*.md`` file; ``slug`` keeps the file of that stem."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").option("recursiveFileLookup", recursive)
-    # Naming the text in a filter keeps it in the scan: without it a count would count lines.
-    files = reader.text(path).where("value IS NOT NULL").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=recursive).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")
+    )
     named = files.withColumn("stem", F.regexp_replace(F.substring_index("file", "/", -1), r"\.md$", ""))
     return named if slug is None else named.where(F.col("stem") == slug)
 
