@@ -16,6 +16,9 @@ from scriptorium.functions.text import slugify
 from scriptorium.session import checkpointed, written
 
 BITS = 64
+# A band value shared by more distinct fingerprints than this is split over several tasks.
+HOT_BUCKET = 50_000
+MAX_SALTS = 64
 
 
 def quality_score(assets: DataFrame) -> DataFrame:
@@ -137,18 +140,37 @@ def _probing_bands(items: DataFrame, layout: list[tuple[int, int]], radius: int,
     return rows.withColumn("mask", F.explode(per_band)).withColumn("key", F.col("key").bitwiseXOR(F.col("mask"))).drop("mask")
 
 
-def _close_earlier(later: DataFrame, earlier: DataFrame, bands: int, radius: int, threshold: int, how: str) -> DataFrame:
+def _salted(later: DataFrame, earlier: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Add ``salt`` to both sides: later rows of a hot bucket are dealt out, earlier ones repeated.
+
+    Hot buckets number at most the rows of ``earlier`` divided by ``HOT_BUCKET``,
+    so the table of them is small enough to be broadcast.
+    """
+    keys = ["part", "band", "key"]
+    size = F.count("*")
+    hot = F.broadcast(
+        earlier.groupBy(*keys)
+        .agg(size.alias("n"))
+        .where(F.col("n") > HOT_BUCKET)
+        .select(*keys, F.least(F.lit(MAX_SALTS), F.ceil(F.col("n") / HOT_BUCKET).cast("int")).alias("salts"))
+    )
+    dealt = later.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64("bits"), F.coalesce("salts", F.lit(1))).cast("int"))
+    copies = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+    return dealt.drop("salts"), earlier.join(hot, keys, "left").withColumn("salt", F.explode(copies)).drop("salts")
+
+
+def _close_earlier(
+    later: DataFrame, earlier: DataFrame, bands: int, radius: int, threshold: int, how: str, *, large: bool
+) -> DataFrame:
     """Pairs (or with ``left_semi`` later items) where an earlier item is within the threshold."""
     layout = _band_layout(bands)
     a = _probing_bands(later, layout, radius, "")
     b = _plain_bands(earlier, layout, "o_")
-    on = (
-        (a["part"] == b["part"])
-        & (a["band"] == b["band"])
-        & (a["key"] == b["key"])
-        & (b["o_name"] < a["name"])
-        & (hamming(a["bits"], b["o_bits"]) <= threshold)
-    )
+    keys = ["part", "band", "key"]
+    if large:
+        a, b = _salted(a, b)
+        keys.append("salt")
+    on = [a[k] == b[k] for k in keys] + [b["o_name"] < a["name"], hamming(a["bits"], b["o_bits"]) <= threshold]
     joined = a.join(b, on, how)
     if how == "left_semi":
         return joined.select("part", "bits").distinct()
@@ -171,19 +193,20 @@ def near_duplicate_groups(
     distinct = checkpointed(rows.groupBy("part", "bits").agg(F.min("name").alias("name")))
     n = distinct.count()
     m, radius = bands or choose_bands(n, threshold)
+    large = n > HOT_BUCKET
     undecided, leaders = distinct, None
     while not undecided.isEmpty():
-        blocked = _close_earlier(undecided, undecided, m, radius, threshold, "left_semi")
+        blocked = _close_earlier(undecided, undecided, m, radius, threshold, "left_semi", large=large)
         fresh = undecided.join(blocked, ["part", "bits"], "left_anti")
         fresh = checkpointed(fresh)
-        taken = _close_earlier(undecided, fresh, m, radius, threshold, "left_semi")
+        taken = _close_earlier(undecided, fresh, m, radius, threshold, "left_semi", large=large)
         rest = undecided.join(fresh.select("part", "bits").unionByName(taken), ["part", "bits"], "left_anti")
         undecided = checkpointed(rest)
         leaders = fresh if leaders is None else leaders.unionByName(fresh)
     if leaders is None:
         return rows.withColumn("leader", F.lit(None).cast("string"))
     first = (
-        _close_earlier(distinct.join(leaders.select("part", "bits"), ["part", "bits"], "left_anti"), leaders, m, radius, threshold, "inner")
+        _close_earlier(distinct.join(leaders.select("part", "bits"), ["part", "bits"], "left_anti"), leaders, m, radius, threshold, "inner", large=large)
         .groupBy("part", "bits")
         .agg(F.min("o_name").alias("leader"))
     )

@@ -53,6 +53,15 @@ def test_against_one_by_one(spark, bands):
     assert groups(spark, items, bands=bands) == greedy(items)
 
 
+def test_hot_buckets_are_split(spark, monkeypatch):
+    monkeypatch.setattr(media, "HOT_BUCKET", 5)
+    rng = random.Random(2)
+    # The lower half is the same everywhere, so that every lower band is one bucket.
+    items = [("e", f"n{i:03d}", rng.choice([0, 2**63, 2**62 + 2**61]) ^ (rng.getrandbits(9) << 40)) for i in range(80)]
+    for bands in (None, (4, 2)):
+        assert groups(spark, items, bands=bands) == greedy(items)
+
+
 def test_bits(spark):
     df = spark.createDataFrame([([1.0, 2.0, 2.0, 5.0],)], "v array<double>")
     row = df.select(media.difference_bits(F.col("v")).alias("b"), media.pack_bits(media.difference_bits(F.col("v"))).alias("p")).first()

@@ -17,15 +17,18 @@ plain_tags AS MATERIALIZED (
   SELECT DISTINCT x.slug, d.etype, d.entry_pos, d.canonical
   FROM texts x JOIN dictionary d ON regexp_matches(d.alias, '[^\p{L}\p{N}_]') AND contains(x.t, lower(d.alias))
 )"""
-BOUNDED_SQL = r"""
+# Words are marked at both ends, so that a term between other words is found as a plain substring.
+_MARKED = r"""regexp_replace({0}, '([\p{{L}}\p{{N}}_]+)', chr(1) || '\1' || chr(2), 'g')"""
+BOUNDED_SQL = rf"""
 full_texts AS MATERIALIZED (SELECT slug, lower(title || chr(10) || chr(10) || trim(body)) AS t FROM posts),
-full_tokens AS MATERIALIZED (SELECT slug, unnest(list_distinct(regexp_split_to_array(t, '[^\p{L}\p{N}_]+'))) AS token FROM full_texts),
+full_tokens AS MATERIALIZED (SELECT slug, unnest(list_distinct(regexp_split_to_array(t, '[^\p{{L}}\p{{N}}_]+'))) AS token FROM full_texts),
+marked_texts AS MATERIALIZED (SELECT slug, {_MARKED.format('t')} AS m FROM full_texts),
+marked_terms AS MATERIALIZED (SELECT *, {_MARKED.format('lower(alias)')} AS m FROM dictionary WHERE regexp_matches(alias, '[^\p{{L}}\p{{N}}_]')),
 bounded_tags AS MATERIALIZED (
   SELECT DISTINCT k.slug, d.etype, d.entry_pos, d.canonical FROM full_tokens k JOIN dictionary d ON k.token = lower(d.alias)
   UNION
   SELECT DISTINCT x.slug, d.etype, d.entry_pos, d.canonical
-  FROM full_texts x JOIN dictionary d ON regexp_matches(d.alias, '[^\p{L}\p{N}_]')
-   AND contains(x.t, lower(d.alias)) AND regexp_matches(x.t, '(^|[^\p{L}\p{N}_])' || regexp_escape(lower(d.alias)) || '([^\p{L}\p{N}_]|$)')
+  FROM marked_texts x JOIN marked_terms d ON contains(x.m, d.m) AND contains(replace(x.m, d.m || chr(1), chr(3)), d.m)
 )"""
 
 
@@ -184,8 +187,8 @@ scores AS MATERIALIZED (
 ),
 keyword_points AS MATERIALIZED (
   SELECT slug, category, 5 * count(*) AS points FROM (
-    SELECT DISTINCT x.slug, k.category, k.keyword FROM full_texts x JOIN keyword_rules k
-    ON contains(x.t, lower(k.keyword)) AND regexp_matches(x.t, '(^|[^\p{L}\p{N}_])' || regexp_escape(lower(k.keyword)) || '([^\p{L}\p{N}_]|$)')
+    SELECT DISTINCT x.slug, k.category, k.keyword
+    FROM marked_texts x JOIN (SELECT *, regexp_replace(lower(keyword), '([\p{L}\p{N}_]+)', chr(1) || '\1' || chr(2), 'g') AS m FROM keyword_rules) k ON contains(x.m, k.m)
   ) GROUP BY slug, category
 )"""
 PICK_SQL = """
