@@ -179,7 +179,8 @@ def joined_hits(
         .withColumn("__word", is_word(F.col("__t")))
     )
     # The shapes are a handful of small numbers, whatever the number of terms.
-    shapes = sorted((r["m"], r["g"]) for r in shaped.select("m", "g").distinct().collect())
+    found = shaped.agg(F.count("*").alias("n"), F.collect_set(F.struct("m", "g")).alias("shapes")).first()
+    shapes = sorted((r["m"], r["g"]) for r in found["shapes"])
     if not shapes:
         fields = texts.select(*text_id).schema.fields + terms.select(*term_id).schema.fields
         return texts.sparkSession.createDataFrame([], T.StructType(fields))
@@ -191,8 +192,7 @@ def joined_hits(
         .select(*text_id, *[F.split_part("__w", F.lit(_MARK), F.lit(n + 1)).alias(f) for n, f in enumerate(fields)])
     )
     # Terms are broadcast up to a checked number; beyond it both sides are sorted.
-    few = terms.select(term).limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
-    shaped = F.broadcast(shaped) if few else shaped.hint("merge")
+    shaped = F.broadcast(shaped) if found["n"] <= MAX_BROADCAST_TERMS else shaped.hint("merge")
     contains = F.col("window").contains(F.col("__t"))
     alone = F.regexp_like(F.concat("before", "window", "after"), F.col("__guard"))
     if mode == "substring":

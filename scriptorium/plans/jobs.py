@@ -72,8 +72,8 @@ def routed_context(
     """``(query_id, route, context, over_budget)``: one context text per query.
 
     Routes decide the lanes; lanes bring hits; hits and queries name graph
-    entities, whose profiles close the text. Hits are written once, because
-    three later steps read them.
+    entities, whose profiles close the text. What several later steps read is
+    written once.
     """
     asked = queries if "intent" in queries.columns else queries.withColumn("intent", F.lit(None).cast("string"))
     routed = written(routing.route_queries(search.embed_queries(asked), signals))
@@ -109,7 +109,8 @@ def _names_of_hits(shown: DataFrame) -> DataFrame:
 
 def _graph_profiles(queries: DataFrame, names: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     everything = graph.all_nodes(nodes, edges)
-    detected = graph.detect_graph_entities(queries.select("query_id", "query"), graph.name_index(nodes), names)
+    aliases = written(graph.name_index(nodes))
+    detected = written(graph.detect_graph_entities(queries.select("query_id", "query"), aliases, written(names)))
     blocks = graph.context_blocks(detected.select("id"), everything, edges)
     return detected.join(blocks, "id").select("query_id", "pos", "block")
 
