@@ -7,17 +7,22 @@ shuffled is at most ``k`` rows per query and task, never all scored pairs.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scriptorium.operators.index import add_hashed_vectors, term_counts
 from scriptorium.operators.validate import live_prefilter, payload_filter
 from scriptorium.session import written
 
+# Task functions travel with their code, so that workers need not have this package.
+register_pickle_by_value(sys.modules[__name__])
+
 # Query vectors handled by one pass over the index, in bytes.
 QUERY_BLOCK_BYTES = 32 * 1024 * 1024
 
