@@ -27,16 +27,30 @@ def local_session(app_name: str = "scriptorium", cpus: str = "*", **conf: str) -
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate results that every executor reaches.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where none is named (a test session) a temporary folder is used.
+    It is the one the cluster names in ``spark.checkpoint.dir`` (or that was set
+    on the context). Only a session whose executors share the driver's machine
+    may go without: it gets a temporary folder. Anywhere else results written to
+    a machine's own disk would be lost, so this raises.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get(CHECKPOINT_KEY)
+        named = spark.conf.get(CHECKPOINT_KEY, None)
+        if named is None and not runs_in_one_process(context.master):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return (spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()).rstrip("/")
+
+
+def runs_in_one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -68,12 +82,7 @@ def written(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     For results that are read several times: the plan that made them is cut off,
     readers still prune columns and push filters, and a lost executor costs nothing.
     """
-    context = df.sparkSession.sparkContext
-    folder = context.getConf().get(CHECKPOINT_KEY) or context.getCheckpointDir()
-    if folder is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        folder = context.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     writer = df.write
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
