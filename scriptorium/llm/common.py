@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import Broadcast, cloudpickle
+from pyspark.cloudpickle import register_pickle_by_value
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scriptorium.session import written
 
+# Executors need not have this package on their path.
+register_pickle_by_value(sys.modules[__name__])
+
 # ASCII white space; everything else belongs to a word.
 SPACE = rb" \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,6 +57,15 @@ def blocks(texts: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, int, np
         first = last
 
 
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast a model of bounded size, code of its class included; ``shared`` reads it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(sent: Broadcast) -> object:
+    return cloudpickle.loads(sent.value)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components as ``(node, root)``, root being the least node; nodes without edges are absent.
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import simhash, token_counts, url_filter
+from scriptorium.llm import language_id, lm_scoring, quality, simhash, token_counts, url_filter
+from scriptorium.llm.common import fold
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -13,6 +14,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, _table(spark, sf_dir, "labels")))
+
+
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
@@ -24,6 +34,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, str(public_tokenizers.path(TOKENIZER)), token_counts.private_cache(spark))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify_languages(docs, language_id.fit_languages(docs.where(fold("doc_id", 5) != 0)))
+
+
 # host, path, verdict
 URL_RULES = (
     ("com", "/", "allow"),
@@ -62,7 +77,10 @@ FROM located LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (n)
 """
 
 QUERIES = {
+    "op1_quality": (op1_quality, None),
+    "op2_lm_scores": (op2_lm_scores, None),
     "op5_simhash_groups": (op5_simhash_groups, None),
     "op6_token_counts": (op6_token_counts, None),
+    "op8_language_id": (op8_language_id, None),
     "op9_url_filter": (op9_url_filter, _OP9),
 }

@@ -15,16 +15,21 @@ neighbour are linked with the least of them, which keeps all components.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scriptorium.llm.common import blocks, components, text_of
 from scriptorium.session import written
 
+# Executors need not have this package on their path.
+register_pickle_by_value(sys.modules[__name__])
+
 BITS = 64
 SEED = 42
 # Cells with more fingerprints than this are linked through shared neighbours.

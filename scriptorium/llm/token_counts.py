@@ -8,17 +8,22 @@ the same or a grown corpus encodes what is new.
 
 from __future__ import annotations
 
+import sys
 import hashlib
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scriptorium.llm.common import content_key, text_of
 from scriptorium.session import shared_folder
 
+# Executors need not have this package on their path.
+register_pickle_by_value(sys.modules[__name__])
+
 CACHE_SCHEMA = "version string, content binary, n_tokens long"
 # Texts handed to the library at once.
 _ENCODE_ROWS = 64
