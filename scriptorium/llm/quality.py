@@ -1,8 +1,8 @@
 """Quality scores from compression.
 
 One zstandard dictionary is built from good and one from bad labelled texts. A
-text is compressed with each; the difference of the two sizes over their sum
-says which it resembles, and a logistic curve fitted on labelled texts that are
+text is compressed with each; the difference of the two sizes, over the size of
+the text itself, says which it resembles, and a logistic curve fitted on labelled texts that are
 in neither dictionary turns it into a probability.
 """
 
@@ -26,7 +26,9 @@ register_pickle_by_value(sys.modules[__name__])
 DICTIONARY_BYTES = 110_000
 LEVEL = 3
 # Compressed in pieces: within a piece the dictionary is always in reach.
-PIECE_BYTES = 4096
+PIECE_BYTES = 1024
+# Added to the size of a text, so that a few words alone say little.
+SIZE_PRIOR = 200
 # Learned from at most so many labelled documents of each class, each of at most so many characters.
 SAMPLE_PER_CLASS = 1500
 SAMPLE_CHARS = 32_768
@@ -42,7 +44,7 @@ class CompressionModel:
     intercept: float = 0.0
 
     def differences(self, texts: list[bytes]) -> np.ndarray:
-        """(bad - good) / (bad + good) of the compressed sizes; 0 for an empty text."""
+        """(bad - good) of the compressed sizes over (size + SIZE_PRIOR); 0 for an empty text."""
         if not self.good or not self.bad:
             return np.zeros(len(texts))
         coders = []
@@ -57,8 +59,7 @@ class CompressionModel:
                 piece = text[start : start + PIECE_BYTES]
                 for which, coder in enumerate(coders):
                     sizes[which] += len(coder.compress(piece))
-            if text:
-                out[row] = (sizes[0] - sizes[1]) / (sizes[0] + sizes[1])
+            out[row] = (sizes[0] - sizes[1]) / (len(text) + SIZE_PRIOR)
         return out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
