@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import language_id, lm_scoring, quality, simhash, token_counts, url_filter
+from scriptorium.llm import decontamination, language_id, lm_scoring, mixing, quality, simhash, token_counts, url_filter
 from scriptorium.llm.common import fold
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -23,6 +23,10 @@ def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, str(public_tokenizers.path(TOKENIZER)), token_counts.private_cache(spark))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language_id.identify_languages(docs, language_id.fit_languages(docs.where(fold("doc_id", 5) != 0)))
@@ -79,8 +87,10 @@ FROM located LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (n)
 QUERIES = {
     "op1_quality": (op1_quality, None),
     "op2_lm_scores": (op2_lm_scores, None),
+    "op4_decontamination": (op4_decontamination, None),
     "op5_simhash_groups": (op5_simhash_groups, None),
     "op6_token_counts": (op6_token_counts, None),
+    "op7_mixing": (op7_mixing, None),
     "op8_language_id": (op8_language_id, None),
     "op9_url_filter": (op9_url_filter, _OP9),
 }
