@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import decontamination, language_id, lm_scoring, mixing, quality, simhash, token_counts, url_filter
+from scriptorium.llm import decontamination, language_id, lm_scoring, mixing, quality, simhash, suffix_dedup, token_counts, url_filter
 from scriptorium.llm.common import fold
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -66,6 +66,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), url_rules(spark))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_counts(_table(spark, sf_dir, "documents"))
+
+
 _OP9 = r"""
 WITH rules(r_host, r_path, r_verdict) AS (VALUES
   ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
@@ -93,4 +97,5 @@ QUERIES = {
     "op7_mixing": (op7_mixing, None),
     "op8_language_id": (op8_language_id, None),
     "op9_url_filter": (op9_url_filter, _OP9),
+    "op10_suffix_dedup": (op10_suffix_dedup, None),
 }
