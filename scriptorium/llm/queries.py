@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import decontamination, language_id, lm_scoring, mixing, quality, simhash, suffix_dedup, token_counts, url_filter
+from scriptorium.llm import decontamination, fingerprints, language_id, lm_scoring, mixing, quality, simhash, suffix_dedup, token_counts, url_filter
 from scriptorium.llm.common import fold
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -23,6 +23,10 @@ def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -91,6 +95,7 @@ FROM located LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (n)
 QUERIES = {
     "op1_quality": (op1_quality, None),
     "op2_lm_scores": (op2_lm_scores, None),
+    "op3_fingerprints": (op3_fingerprints, None),
     "op4_decontamination": (op4_decontamination, None),
     "op5_simhash_groups": (op5_simhash_groups, None),
     "op6_token_counts": (op6_token_counts, None),
