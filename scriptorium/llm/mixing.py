@@ -33,9 +33,12 @@ POINT_CELLS = 4096
 _GOLDEN = (math.sqrt(5) - 1) / 2
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``(doc_id, source, size, shuffle)``: words per row, and a hash that shuffles the rows of a source."""
+def sized(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key_col: str | None = None
+) -> DataFrame:
+    """``(doc_id, source, size, shuffle, key)``: words per row, and a hash that shuffles the rows of a source."""
     return docs.select(
+        F.col(key_col or id_col).alias("key"),
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
@@ -126,6 +129,7 @@ def mix_sources(
     total: float = TOTAL,
     repeat: int = REPEAT,
     slots: int = SLOTS,
+    key_col: str | None = None,
 ) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)``, one row per row of ``docs``.
 
@@ -133,9 +137,10 @@ def mix_sources(
     repeats included; it is at most ``repeat`` times the size. Null and empty
     texts have size 0 and nothing to take. Null sources are one source, null ids
     are ids like others; rows that agree in id and text share an order. A rerun
-    takes the same blocks. Other columns are ignored.
+    takes the same blocks. Other columns are ignored, but ``key_col`` is copied
+    as a last column ``key`` if it is named.
     """
-    rows = written(sized(docs, id_col, text_col, source_col))
+    rows = written(sized(docs, id_col, text_col, source_col, key_col))
     targets = written(source_targets(rows, weights, total, repeat))
     words = targets.agg(F.sum("target").alias("n")).first()["n"] or 0.0
     block = max(1, math.ceil(words / slots))
@@ -151,7 +156,7 @@ def mix_sources(
     placed = written(
         placed.join(starts, ["place", "cell"])
         .withColumn("begin", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .select("doc_id", "size", "source_size", "target", "place", "begin", F.monotonically_increasing_id().alias("row"))
+        .select("doc_id", "size", "source_size", "target", "place", "begin", "key", F.monotonically_increasing_id().alias("row"))
     )
     end = F.col("begin") + F.col("size")
     pieces = (
@@ -162,5 +167,5 @@ def mix_sources(
     draws = schedule(targets, block, repeat).groupBy("place", "block").agg(F.count("*").alias("times"))
     taken = pieces.join(draws, ["place", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     return placed.join(taken, "row", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *(["key"] if key_col else [])
     )

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, functions as F
@@ -171,3 +172,16 @@ def score_quality(
     )
     scored = rows.mapInArrow(work, f"doc_id {id_type}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: CompressionModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``threshold``, all columns kept, in one narrow stage."""
+    at = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = pc.fill_null(batch.column(at), "").cast(pa.large_binary())
+            scores = [s for i in range(0, batch.num_rows, 256) for s in model.scores(raw.slice(i, 256).to_pylist())]
+            yield batch.filter(pa.array([score >= threshold for score in scores], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)

@@ -173,3 +173,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return prints.join(labels, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
+    """``docs`` with one row of every component: that of the least id, null ids first; all columns kept."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+    groups = simhash_groups(rows, "__row", text_col, radius).select(F.col("doc_id").alias("__row"), "component_id")
+    chosen = (
+        rows.select("__row", F.col(id_col).alias("__id"))
+        .join(groups, "__row")
+        .groupBy("component_id")
+        .agg(F.min(F.struct("__id", "__row")).alias("first"))
+        .select(F.col("first.__row").alias("__row"))
+    )
+    return rows.join(written(chosen), "__row", "left_semi").drop("__row")
