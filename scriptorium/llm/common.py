@@ -57,6 +57,14 @@ def blocks(texts: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, int, np
         first = last
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, longer if ``docs`` has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def share(spark: SparkSession, value: object) -> Broadcast:
     """Broadcast a model of bounded size, code of its class included; ``shared`` reads it."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

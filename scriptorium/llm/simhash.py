@@ -24,7 +24,7 @@ import xxhash
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scriptorium.llm.common import blocks, components, text_of
+from scriptorium.llm.common import blocks, components, text_of, unused
 from scriptorium.session import written
 
 # Executors need not have this package on their path.
@@ -177,13 +177,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """``docs`` with one row of every component: that of the least id, null ids first; all columns kept."""
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()))
-    groups = simhash_groups(rows, "__row", text_col, radius).select(F.col("doc_id").alias("__row"), "component_id")
+    row = unused(docs, "__row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = simhash_groups(rows, row, text_col, radius).select(F.col("doc_id").alias("__member"), "component_id")
+    ids = rows.select(F.col(row).alias("__member"), F.col(id_col).alias("__id"))
     chosen = (
-        rows.select("__row", F.col(id_col).alias("__id"))
-        .join(groups, "__row")
+        ids.join(groups, "__member")
         .groupBy("component_id")
-        .agg(F.min(F.struct("__id", "__row")).alias("first"))
-        .select(F.col("first.__row").alias("__row"))
+        .agg(F.min(F.struct("__id", "__member")).alias("first"))
+        .select(F.col("first.__member").alias(row))
     )
-    return rows.join(written(chosen), "__row", "left_semi").drop("__row")
+    return rows.join(written(chosen), row, "left_semi").drop(row)

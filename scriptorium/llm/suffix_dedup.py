@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scriptorium.llm.common import blocks, text_of
+from scriptorium.llm.common import blocks, text_of, unused
 from scriptorium.llm.suffix_array import suffix_array
 from scriptorium.session import written
 
@@ -379,10 +379,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
                     parts.append(raw[at:a])
                     at = b
                 kept.append(b"".join([*parts, raw[at:]]).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=["__key", "__kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=["key", "kept"])
 
     spans = repeated_spans(docs, length, text_col, max_texts).select("key", F.encode("text", "UTF-8").alias("raw"), "spans")
-    kept = written(spans.mapInArrow(work, "__key binary, __kept string"))
-    keyed = docs.withColumn("__key", _row_key(F.sha2(text_of(text_col), 256)))
-    joined = keyed.join(kept, "__key", "left").withColumn(text_col, F.coalesce("__kept", text_col))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = written(spans.mapInArrow(work, "key binary, kept string"))
+    key, new = unused(docs, "__key"), unused(docs, "__kept")
+    keyed = docs.withColumn(key, _row_key(F.sha2(text_of(text_col), 256)))
+    joined = keyed.join(kept.select(F.col("key").alias(key), F.col("kept").alias(new)), key, "left")
+    return joined.withColumn(text_col, F.coalesce(new, text_col)).select(*[F.col(f"`{c}`") for c in docs.columns])
