@@ -160,13 +160,16 @@ class SeedIndex:
 
 
 def _best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """Matches, first and last place of the best stretch in which at least SIMILARITY of the tokens agree."""
-    penalty = SIMILARITY / (1 - SIMILARITY)
-    sums = np.concatenate(([0.0], np.cumsum(np.where(equal, 1.0, -penalty))))
-    lows = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - lows))
-    begin = int(np.argmin(sums[: end + 1]))
-    return int(equal[begin:end].sum()), begin, end - 1
+    """Matches, first and last place of the longest stretch in which at least SIMILARITY of the tokens agree, ends included."""
+    if not equal.any():
+        return 0, 0, -1
+    # A stretch qualifies if these sum up to zero or more.
+    sums = np.concatenate(([0], np.cumsum(np.where(equal, round(1000 * (1 - SIMILARITY)), -round(1000 * SIMILARITY)))))
+    # The first place from which the sum to here is not negative.
+    begins = np.searchsorted(-np.minimum.accumulate(sums), -sums)
+    end = int(np.argmax(np.arange(len(sums)) - begins))
+    inside = np.flatnonzero(equal[begins[end] : end]) + begins[end]
+    return len(inside), int(inside[0]), int(inside[-1])
 
 
 def _needed(n_tokens: int) -> float:
