@@ -28,6 +28,11 @@ def segments(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_SEGMENT), 0)
 
 
+def text_key(text: Column) -> Column:
+    """Stands for a text in joins. What terms a text holds depends on the text alone, so rows may share it."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
 def is_word(term: Column) -> Column:
     return term.rlike(rf"\A{WORD_CHAR}+\z")
 

@@ -11,8 +11,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scriptorium.functions.matching import inline_hits, joined_hits, prepare_terms
-from scriptorium.functions.rules import fits_inline, inline_array, inline_nested, inline_strings
+from scriptorium.functions.matching import inline_hits, joined_hits, prepare_terms, text_key
+from scriptorium.functions.rules import MAX_INLINE_RULES, fits_inline, inline_array, inline_nested, inline_strings
 from scriptorium.functions.text import let
 from scriptorium.operators.tagging import CLASSIFIER_TYPES, entities_flat, tag_entities
 
@@ -195,19 +195,25 @@ def _bump(category: str, threshold: int) -> Column:
     return let(leader, lift)
 
 
-def score_keywords(docs: DataFrame, rules: ClassificationRules, *, text: Column, key: str = "slug") -> DataFrame:
-    """Add ``keyword_hits``: the category of every keyword that stands alone in the text."""
-    keywords = rules.keyword_rules
-    if fits_inline(keywords):
+def score_keywords(
+    docs: DataFrame, rules: ClassificationRules, *, text: Column, max_inline: int = MAX_INLINE_RULES
+) -> DataFrame:
+    """Add ``keyword_hits``: the category of every keyword that stands alone in the text, sorted; a repeated rule counts once."""
+    keywords = rules.keyword_rules.select("category", "keyword").distinct()
+    if fits_inline(keywords, max_inline):
         literal = inline_array(prepare_terms(keywords, "keyword"), "category", "t", "word", "pattern")
         hits = inline_hits(text, literal, bounded=True)
-        return docs.withColumn("keyword_hits", F.transform(hits, lambda h: h["category"]))
+        return docs.withColumn("keyword_hits", F.array_sort(F.transform(hits, lambda h: h["category"])))
+    # Matches come back by text, so documents may share a slug or have none.
+    keyed = docs.withColumn("__key", text_key(text))
     pairs = joined_hits(
-        docs.select(key, text.alias("__text")), [key], "__text", keywords, ["category", "keyword"], "keyword", mode="bounded"
+        keyed.select("__key", text.alias("__text")), ["__key"], "__text", keywords.where(F.trim("keyword") != ""), ["category", "keyword"], "keyword", mode="bounded"
     )
-    found = pairs.groupBy(key).agg(F.collect_list("category").alias("keyword_hits"))
-    return docs.join(found, key, "left").withColumn(
-        "keyword_hits", F.coalesce("keyword_hits", F.array().cast("array<string>"))
+    found = pairs.groupBy("__key").agg(F.array_sort(F.collect_list("category")).alias("keyword_hits"))
+    return (
+        keyed.join(found, "__key", "left")
+        .withColumn("keyword_hits", F.coalesce("keyword_hits", F.array().cast("array<string>")))
+        .drop("__key")
     )
 
 
@@ -325,12 +331,12 @@ def generate_tags(docs: DataFrame, rules: ClassificationRules, *, text: Column)
     return docs.withColumn("class_tags", F.slice(F.array_distinct(tags), 1, rules.max_tags))
 
 
-def classify_corpus(posts: DataFrame, dictionary: DataFrame, rules: ClassificationRules, *, key: str = "slug") -> DataFrame:
+def classify_corpus(posts: DataFrame, dictionary: DataFrame, rules: ClassificationRules) -> DataFrame:
     """Entities, category, subcategory, confidence and tags of every post."""
     text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n\n"), F.trim(F.coalesce("body", F.lit(""))))
     docs = posts.drop("category")
-    docs = tag_entities(docs, dictionary, text=text, key=key, bounded=True, prefix="e_")
-    docs = score_keywords(docs, rules, text=text, key=key)
+    docs = tag_entities(docs, dictionary, text=text, bounded=True, prefix="e_")
+    docs = score_keywords(docs, rules, text=text)
     docs = apply_tie_breakers(score_categories(docs, rules), rules)
     docs = resolve_subcategory(pick_category(docs, rules), rules)
     return generate_tags(confidence(docs), rules, text=text)

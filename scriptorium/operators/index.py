@@ -14,6 +14,7 @@ from scriptorium.functions.text import let, null_if_empty, word_list
 from scriptorium.operators import chunking
 from scriptorium.operators.tagging import ENTITY_TYPES, tag_entities
 from scriptorium.operators.validate import media_list, split_valid, validate_posts, validate_required
+from scriptorium.session import written
 
 DENSE_DIM = 64
 
@@ -246,10 +247,34 @@ _CARRIED = (
 )
 
 
+def slug_order(posts: DataFrame) -> list[Column]:
+    """Of posts with the same slug the last by source and section comes first."""
+    return [F.desc(c) for c in ("source_document", "section_no") if c in posts.columns]
+
+
+def one_per_slug(posts: DataFrame, order: list[Column] | None = None) -> DataFrame:
+    """One post per slug, the last by source and section or by ``order``; ties by content.
+
+    Only posts whose slug repeats are shuffled, unless very many slugs repeat.
+    """
+    content = F.sha2(F.to_json(F.struct("*")), 256)
+    repeated = written(posts.groupBy("slug").agg(F.count("*").alias("n")).where("n > 1").select("slug"))
+    chosen = latest(posts.join(repeated, "slug", "left_semi").withColumn("__content", content), "slug", [*(order or slug_order(posts)), F.asc("__content")])
+    return posts.join(repeated, "slug", "left_anti").unionByName(chosen.drop("__content"))
+
+
+def superseded(posts: DataFrame) -> DataFrame:
+    """``(slug, n_superseded)``: how many posts :func:`one_per_slug` leaves out."""
+    return posts.groupBy("slug").agg((F.count("*") - 1).alias("n_superseded")).where("n_superseded > 0")
+
+
 def ingest_posts(posts: DataFrame, dictionary: DataFrame, *, vectors: DataFrame | None = None, **checks: bool) -> tuple[DataFrame, DataFrame]:
-    """``(index rows, failed posts)``. Posts are tagged once and chunked in place."""
+    """``(index rows, failed posts)``. Posts are tagged once and chunked in place.
+
+    Of valid posts with the same slug one is indexed, so chunk ids are unique.
+    """
     valid, failed = split_valid(validate_posts(posts, **checks))
-    tagged = tag_entities(valid, dictionary)
+    tagged = tag_entities(one_per_slug(valid), dictionary)
     carried = tuple(c for c in _CARRIED if c in posts.columns) + tuple(f"entities_{t}" for t in ENTITY_TYPES)
     chunks = chunking.make_chunks(tagged, *chunking.NEWS_LIMITS, keep=carried)
     rows = with_vectors(news_payload(chunks), vectors)
@@ -261,20 +286,22 @@ def ingest_knowledge(docs: DataFrame, dictionary: DataFrame, *, vectors: DataFra
     checked = validate_required(docs.withColumn("summary", F.coalesce("summary", F.lit(""))) if "summary" in docs.columns else docs.withColumn("summary", F.lit("")))
     valid, failed = split_valid(checked)
     carried = ("title", "knowledge_type", "priority", "language", "status", "published", "memory_layer", "source_file")
-    tagged = tag_entities(valid, dictionary)
+    tagged = tag_entities(one_per_slug(valid), dictionary)
     chunks = chunking.make_chunks(tagged, *chunking.KNOWLEDGE_LIMITS, keep=carried + tuple(f"entities_{t}" for t in ENTITY_TYPES))
     rows = with_vectors(knowledge_payload(chunks), vectors)
     return rows.withColumn("id", chunking.stable_id(F.col("chunk_id"))), failed
 
 
 def ingest_counters(posts: DataFrame, rows: DataFrame, failed: DataFrame) -> DataFrame:
-    """One row: posts loaded, valid and failed, chunks produced."""
+    """One row: posts loaded, valid and failed, chunks produced, and points upserted (distinct ids)."""
     loaded = posts.agg(F.count("*").alias("loaded"))
     lost = failed.agg(F.count("*").alias("failed"))
     made = rows.agg(F.count("*").alias("chunks_produced"))
+    ids = rows.agg(F.countDistinct("id").alias("points_upserted"))
     return loaded.select(
         "loaded",
         (F.col("loaded") - lost.scalar()).alias("valid"),
         lost.scalar().alias("failed"),
         made.scalar().alias("chunks_produced"),
+        ids.scalar().alias("points_upserted"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scriptorium.functions import text as tx
-from scriptorium.functions.matching import inline_substrings, joined_hits
+from scriptorium.functions.matching import inline_substrings, joined_hits, text_key
 from scriptorium.functions.rules import MAX_INLINE_RULES, fits_inline, inline_array
 from scriptorium.operators.validate import basename, media_list
 
@@ -154,25 +154,28 @@ def _haystack() -> Column:
     return F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "summary", "body")])
 
 
-def rule_names(posts: DataFrame, rules: DataFrame, *, key: str = "slug", max_inline: int = MAX_INLINE_RULES) -> DataFrame:
+def rule_names(posts: DataFrame, rules: DataFrame, *, max_inline: int = MAX_INLINE_RULES) -> DataFrame:
     """Add ``rule_names``: distinct names of the rules with a keyword anywhere in the text.
 
-    ``rules(rule_pos, name, keyword)``; names come in rule order. Keywords match
-    as substrings, so ``press`` also hits ``pressure``.
+    ``rules(rule_pos, name, keyword)``; names come in rule order, those of one
+    position by name. Keywords match as substrings, so ``press`` also hits
+    ``pressure``.
     """
     if fits_inline(rules, max_inline):
-        ordered = rules.where("keyword <> ''").withColumn("t", F.lower("keyword")).orderBy("rule_pos")
+        ordered = rules.where("keyword <> ''").withColumn("t", F.lower("keyword")).orderBy("rule_pos", "name", "t")
         hits = inline_substrings(_haystack(), inline_array(ordered, "name", "t"))
         return posts.withColumn("rule_names", F.array_distinct(F.transform(hits, lambda h: h["name"])))
+    # Matches come back by text, so posts may share a slug or have none.
+    keyed = posts.withColumn("__key", text_key(_haystack()))
     pairs = joined_hits(
-        posts.select(key, _haystack().alias("__text")), [key], "__text", rules, ["rule_pos", "name", "keyword"], "keyword", mode="substring"
+        keyed.select("__key", _haystack().alias("__text")), ["__key"], "__text", rules, ["rule_pos", "name", "keyword"], "keyword", mode="substring"
     )
-    found = pairs.groupBy(key).agg(F.collect_set(F.struct("rule_pos", "name")).alias("__h"))
+    found = pairs.groupBy("__key").agg(F.collect_set(F.struct("rule_pos", "name")).alias("__h"))
     names = F.array_distinct(F.transform(F.array_sort("__h"), lambda h: h["name"]))
     return (
-        posts.join(found, key, "left")
+        keyed.join(found, "__key", "left")
         .withColumn("rule_names", F.coalesce(names, F.array().cast("array<string>")))
-        .drop("__h")
+        .drop("__h", "__key")
     )
 
 
@@ -247,20 +250,22 @@ def seo_title(title: Column, limit: int = 60) -> Column:
     return F.when(F.length(title) <= limit, title).otherwise(tx.let(tx.head(title, limit), cut))
 
 
-def media_refs(posts: DataFrame, assets: DataFrame) -> DataFrame:
+def media_refs(posts: DataFrame, assets: DataFrame, *carried: str) -> DataFrame:
     """``(slug, seq, old_ref, new_ref, missing)``: references renumbered to ``{slug}-{nn}.{ext}``.
 
     References to files that ``assets(name)`` does not list stay as they are.
+    Columns of the post named in ``carried`` come along.
     """
     refs = posts.select(
-        "slug", F.posexplode(media_list(F.col("featured_image"), F.col("gallery_images"))).alias("pos", "old_ref")
-    ).select("slug", (F.col("pos") + 1).alias("seq"), "old_ref", basename(F.col("old_ref")).alias("name"))
+        "slug", *carried, F.posexplode(media_list(F.col("featured_image"), F.col("gallery_images"))).alias("pos", "old_ref")
+    ).select("slug", *carried, (F.col("pos") + 1).alias("seq"), "old_ref", basename(F.col("old_ref")).alias("name"))
     known = assets.select("name").distinct().withColumn("known", F.lit(True))
     suffix = F.lower(F.regexp_extract("name", r"(?<=.)(\.[^.]+)$", 1))
     seq = F.lpad(F.col("seq").cast("string"), F.greatest(F.length(F.col("seq").cast("string")), F.lit(2)), F.lit("0"))
     renamed = F.concat(F.lit("images/"), F.col("slug"), F.lit("-"), seq, suffix)
     return refs.join(known, "name", "left").select(
         "slug",
+        *carried,
         "seq",
         "old_ref",
         F.when(F.col("known"), renamed).otherwise(F.col("old_ref")).alias("new_ref"),
@@ -268,14 +273,20 @@ def media_refs(posts: DataFrame, assets: DataFrame) -> DataFrame:
     )
 
 
-def renamed_media(refs: DataFrame) -> DataFrame:
-    """Per post the new featured image, gallery and warnings from :func:`media_refs`."""
+def media_key() -> Column:
+    """What the references of a post depend on. Posts that share a slug may differ in their images."""
+    return F.sha2(F.to_json(F.struct("slug", media_list(F.col("featured_image"), F.col("gallery_images")).alias("refs"))), 256)
+
+
+def renamed_media(refs: DataFrame, key: str = "slug") -> DataFrame:
+    """Per ``key`` the new featured image, gallery and warnings from :func:`media_refs`."""
     ordered = F.array_sort(F.collect_list(F.struct("seq", "old_ref", "new_ref", "missing")))
     return (
-        refs.groupBy("slug")
+        refs.distinct()
+        .groupBy(key)
         .agg(ordered.alias("r"))
         .select(
-            "slug",
+            key,
             F.get("r", F.lit(0))["new_ref"].alias("featured_image"),
             F.transform(F.slice("r", 2, F.greatest(F.size("r"), F.lit(1))), lambda x: x["new_ref"]).alias("gallery_images"),
             F.transform(

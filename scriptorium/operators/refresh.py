@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scriptorium.operators.index import delete_by_slugs, latest, upsert
+from scriptorium.operators.index import delete_by_slugs, latest, slug_order, upsert
 from scriptorium.operators.validate import media_list
 
 
@@ -42,7 +42,7 @@ def replace_source(posts: DataFrame, incoming: DataFrame, order: list[Column] |
     Of incoming posts with the same slug one stays, the first by ``order``; it
     also replaces a post of another source with that slug.
     """
-    fresh = latest(incoming, "slug", order or [F.desc("source_document"), F.desc("section_no")])
+    fresh = latest(incoming, "slug", order or slug_order(incoming))
     kept = without_sources(posts, incoming.select("source_document"))
     return upsert(kept, fresh, "slug")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scriptorium.functions.matching import inline_substrings, joined_hits
+from scriptorium.functions.matching import inline_substrings, joined_hits, text_key
 from scriptorium.functions.rules import MAX_INLINE_RULES, fits_inline, inline_array
 from scriptorium.operators.search import DEFAULT_LIMIT, hybrid_search
 from scriptorium.operators.validate import payload_filter
@@ -14,14 +14,19 @@ _KINDS = ("draft", "news", "knowledge")
 
 def signal_counts(queries: DataFrame, signals: DataFrame, max_inline: int = MAX_INLINE_RULES) -> DataFrame:
     """Add ``draft``, ``news`` and ``knowledge``: how many phrases of each kind a query contains."""
+    signals = signals.select("kind", "phrase").where("phrase <> ''").distinct()
     if fits_inline(signals, max_inline):
         literal = inline_array(signals.withColumn("t", F.lower("phrase")), "kind", "t")
         hits = queries.withColumn("__kinds", F.transform(inline_substrings(F.col("query"), literal), lambda h: h["kind"]))
     else:
-        pairs = joined_hits(queries, ["query_id"], "query", signals, ["kind", "phrase"], "phrase", mode="substring")
-        found = pairs.groupBy("query_id").agg(F.collect_list("kind").alias("__kinds"))
-        hits = queries.join(found, "query_id", "left").withColumn(
-            "__kinds", F.coalesce("__kinds", F.array().cast("array<string>"))
+        # Matches come back by text, so queries may share an id or have none.
+        keyed = queries.withColumn("__key", text_key(F.col("query")))
+        pairs = joined_hits(keyed, ["__key"], "query", signals, ["kind", "phrase"], "phrase", mode="substring")
+        found = pairs.groupBy("__key").agg(F.collect_list("kind").alias("__kinds"))
+        hits = (
+            keyed.join(found, "__key", "left")
+            .withColumn("__kinds", F.coalesce("__kinds", F.array().cast("array<string>")))
+            .drop("__key")
         )
     return hits.withColumns(
         {kind: F.size(F.filter("__kinds", lambda k: k == kind)) for kind in _KINDS}

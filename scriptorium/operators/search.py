@@ -238,10 +238,17 @@ def rrf_fuse(ranked: list[DataFrame], limit: int, threshold: float = 0.0) -> Dat
 
     The threshold applies to the fused score; 0 means none.
     """
-    lists = ranked[0].select("query_id", "chunk_id", "rank")
-    for more in ranked[1:]:
-        lists = lists.unionByName(more.select("query_id", "chunk_id", "rank"))
-    fused = lists.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.lit(1.0) / (F.col("rank") + 1)), 6).alias("score"))
+    n = len(ranked)
+    parts = [
+        df.select("query_id", "chunk_id", *[(F.col("rank") if i == k else F.lit(None)).cast("int").alias(f"r{k}") for k in range(n)])
+        for i, df in enumerate(ranked)
+    ]
+    lists = parts[0]
+    for more in parts[1:]:
+        lists = lists.unionByName(more)
+    # A chunk counts once per list, by its best rank there.
+    best = [F.coalesce(F.lit(1.0) / (F.min(f"r{k}") + 1), F.lit(0.0)) for k in range(n)]
+    fused = lists.groupBy("query_id", "chunk_id").agg(F.round(sum(best[1:], best[0]), 6).alias("score"))
     if threshold > 0:
         fused = fused.where(F.col("score") >= threshold)
     return top_k(fused, limit)

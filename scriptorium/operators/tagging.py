@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scriptorium.functions.matching import inline_hits, joined_hits, prepare_terms
+from scriptorium.functions.matching import inline_hits, joined_hits, prepare_terms, text_key
 from scriptorium.functions.rules import MAX_INLINE_RULES, fits_inline, inline_array
 
 # Entity types in the order in which they are listed everywhere.
@@ -29,7 +29,6 @@ def tag_entities(
     dictionary: DataFrame,
     *,
     text: Column | None = None,
-    key: str = "slug",
     bounded: bool = False,
     types: list[str] | None = None,
     prefix: str = "entities_",
@@ -48,14 +47,16 @@ def tag_entities(
         literal = inline_array(terms.orderBy("entry_pos"), *_HIT_FIELDS, "t", "word", "pattern")
         tagged = docs.withColumn("__hits", inline_hits(text, literal, bounded=bounded))
         return _arrays_per_type(tagged, types, prefix, bounded).drop("__hits")
+    # Matches come back by text, so documents may share a slug or have none.
+    keyed = docs.withColumn("__text", text).withColumn("__key", text_key(F.col("__text")))
     hits = (
-        long_tags(docs.withColumn("__text", text), dictionary, key=key, text="__text", bounded=bounded)
-        .groupBy(key)
+        long_tags(keyed, dictionary, key="__key", text="__text", bounded=bounded)
+        .groupBy("__key")
         .agg(F.collect_set(F.struct(*_HIT_FIELDS)).alias("__hits"))
     )
     empty = F.array().cast("array<struct<etype:string,entry_pos:int,canonical:string>>")
-    joined = docs.join(hits, key, "left").withColumn("__hits", F.coalesce("__hits", empty))
-    return _arrays_per_type(joined, types, prefix, bounded).drop("__hits")
+    joined = keyed.drop("__text").join(hits, "__key", "left").withColumn("__hits", F.coalesce("__hits", empty))
+    return _arrays_per_type(joined, types, prefix, bounded).drop("__hits", "__key")
 
 
 def _arrays_per_type(tagged: DataFrame, types: list[str], prefix: str, in_order: bool) -> DataFrame:
@@ -70,7 +71,10 @@ def _arrays_per_type(tagged: DataFrame, types: list[str], prefix: str, in_order:
 
 
 def long_tags(docs: DataFrame, dictionary: DataFrame, *, key: str, text: str, bounded: bool) -> DataFrame:
-    """Distinct ``(key, etype, entry_pos, canonical)`` by an equi-join; any dictionary size."""
+    """Distinct ``(key, etype, entry_pos, canonical)`` by an equi-join; any dictionary size.
+
+    Rows with the same key share their tags.
+    """
     return joined_hits(
         docs,
         [key],

@@ -86,7 +86,10 @@ NORMALIZED_FIELDS = ["title", "slug", "date", "category", "tags", "summary", "fe
 def validate_normalized(
     posts: DataFrame, assets: DataFrame, *, min_tags: int = 3, fields: list[str] | None = None
 ) -> DataFrame:
-    """``(slug, issues)`` for every post; ``assets(name)`` lists the media files there are.
+    """``(slug, issues)``, one row per post; ``assets(name)`` lists the media files there are.
+
+    Media are looked up by the references of a post, so posts that share a slug
+    keep their own issues.
 
     Where posts were renamed, ``original_media`` may hold the former references
     in the same order; a file under either name counts. Bodies are not touched:
@@ -111,24 +114,26 @@ def validate_normalized(
     current = media_list(F.col("featured_image"), F.col("gallery_images"))
     original = F.col("original_media") if "original_media" in posts.columns else current
     has_featured = F.coalesce(F.col("featured_image"), F.lit("")) != ""
-    metadata = posts.select("slug", own.alias("own"), current.alias("current"), original.alias("original"), has_featured.alias("has_featured"))
+    metadata = posts.select("slug", own.alias("own"), current.alias("current"), original.alias("original"), has_featured.alias("has_featured")).withColumn(
+        "media", F.sha2(F.to_json(F.struct("current", "original", "has_featured")), 256)
+    )
     known = assets.select("name").distinct()
-    refs = metadata.select("slug", "original", "has_featured", F.posexplode("current").alias("pos", "ref")).select(
-        "slug", "pos", "ref", "has_featured", F.explode(F.array_distinct(F.array_compact(F.array("ref", F.get("original", F.col("pos")))))).alias("candidate")
+    refs = metadata.select("media", "original", "has_featured", F.posexplode("current").alias("pos", "ref")).select(
+        "media", "pos", "ref", "has_featured", F.explode(F.array_distinct(F.array_compact(F.array("ref", F.get("original", F.col("pos")))))).alias("candidate")
     )
     found = (
-        refs.select("slug", "pos", "ref", "has_featured", basename(F.col("candidate")).alias("name"))
+        refs.select("media", "pos", "ref", "has_featured", basename(F.col("candidate")).alias("name"))
         .join(known.withColumn("present", F.lit(True)), "name", "left")
-        .groupBy("slug", "pos", "ref", "has_featured")
+        .groupBy("media", "pos", "ref", "has_featured")
         .agg(F.max(F.coalesce("present", F.lit(False))).alias("present"))
         .where(~F.col("present"))
     )
     label = F.when((F.col("pos") == 0) & F.col("has_featured"), "image file not found: ").otherwise("gallery image not found: ")
-    missing = found.groupBy("slug").agg(
+    missing = found.groupBy("media").agg(
         F.array_sort(F.collect_list(F.struct("pos", F.concat(label, F.col("ref")).alias("message")))).alias("lost")
     )
     lost = F.coalesce(F.transform("lost", lambda m: m["message"]), F.array().cast("array<string>"))
-    return metadata.select("slug", "own").join(missing, "slug", "left").select("slug", F.concat("own", lost).alias("issues"))
+    return metadata.select("slug", "own", "media").join(missing, "media", "left").select("slug", F.concat("own", lost).alias("issues"))
 
 
 def duplicate_slugs(posts: DataFrame) -> DataFrame:

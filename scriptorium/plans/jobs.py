@@ -39,12 +39,14 @@ def normalize_metadata(posts: DataFrame, rules: NormalizationRules) -> DataFrame
 
 def normalize_corpus(posts: DataFrame, assets: DataFrame, rules: NormalizationRules) -> tuple[DataFrame, DataFrame]:
     """``(posts, issues)``: normalized posts with renumbered media, and what is wrong with each."""
-    ready = normalize_metadata(posts, rules)
-    media_names = normalize.renamed_media(normalize.media_refs(posts, assets))
+    keyed = posts.withColumn("media_key", normalize.media_key())
+    ready = normalize_metadata(keyed, rules)
+    media_names = normalize.renamed_media(normalize.media_refs(keyed, assets, "media_key"), "media_key")
     none = F.array().cast("array<string>")
     joined = (
         ready.drop("featured_image", "gallery_images")
-        .join(media_names, "slug", "left")
+        .join(media_names, "media_key", "left")
+        .drop("media_key")
         .withColumn("featured_image", F.coalesce("featured_image", F.lit("")))
         .withColumns({c: F.coalesce(c, none) for c in ("gallery_images", "original_media", "media_warnings")})
     )
@@ -152,10 +154,12 @@ def refresh_corpus(
     twice with the same input, the result is the same.
     """
     replaced = refresh.match_existing(posts, incoming.select("source_document").distinct())
+    # A post of another source whose slug comes in is replaced, too.
+    gone = replaced.select("slug").union(incoming.select("slug"))
     new_posts = refresh.replace_source(posts, incoming, order)
-    fresh = index.latest(incoming, "slug", order or [F.desc("source_document"), F.desc("section_no")])
+    fresh = index.latest(incoming, "slug", order or index.slug_order(incoming))
     rows, failed = index.ingest_posts(fresh, dictionary)
-    new_index = refresh.refresh_index(news, replaced, rows)
+    new_index = refresh.refresh_index(news, gone, rows)
     report = refresh.refresh_report(posts, new_posts, replaced, incoming, news, new_index, dry_run=dry_run)
     if dry_run:
         return Refreshed(posts, news, replaced, failed, report)

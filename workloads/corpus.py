@@ -138,15 +138,13 @@ def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = fx.spread(fx.table(spark, sf_dir, "pages").select("page_id", "html"))
-    pattern = F.lit("<(h1|p|li)>([^<]+)<")
-    kinds, texts = F.regexp_extract_all("html", pattern, 1), F.regexp_extract_all("html", pattern, 2)
-    line = F.zip_with(
-        kinds,
-        texts,
-        lambda k, t: F.struct(
-            F.when(k == "h1", 1).otherwise(0).alias("level"), t.alias("text"), (k == "li").alias("is_list"), F.lit(None).cast("string").alias("image")
+    line = F.transform(
+        fx.page_elements(F.col("html")),
+        lambda e: F.struct(
+            F.when(e["kind"] == "h1", 1).otherwise(0).alias("level"), e["text"].alias("text"), (e["kind"] == "li").alias("is_list"),
+            F.lit(None).cast("string").alias("image"),
         ),
-    )
+    )
     return pages.select(F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".docx")).alias("source_document"), line.alias("lines"))
 
 
@@ -155,11 +153,9 @@ def segment_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.select("source_document", "section_no", "title", F.size("lines").alias("n_lines"))
 
 
-_LINES_SQL = """
+_LINES_SQL = rf"""
 page_lines AS MATERIALIZED (
-  SELECT 'page-' || page_id || '.docx' AS source_document, unnest(regexp_extract_all(html, '<(h1|p|li)>([^<]+)<', 1)) AS kind,
-    unnest(regexp_extract_all(html, '<(h1|p|li)>([^<]+)<', 2)) AS text,
-    generate_subscripts(regexp_extract_all(html, '<(h1|p|li)>([^<]+)<', 1), 1) AS i FROM pages
+  SELECT 'page-' || page_id || '.docx' AS source_document, kind, text, i FROM ({fx.PAGE_ELEMENTS_SQL})
 ),
 counted AS (SELECT *, sum((kind = 'h1')::INT) OVER (PARTITION BY source_document ORDER BY i) AS sec,
   bool_or(kind = 'h1') OVER (PARTITION BY source_document) AS cut FROM page_lines),

@@ -290,6 +290,44 @@ def classification_rules(spark: SparkSession) -> ClassificationRules:
 
 # --- knowledge documents ----------------------------------------------------------
 
+# Tags that end a paragraph, list item or heading, closed or not.
+_BLOCK = "h1|h2|p|li|ul|ol|div|nav|article|footer|body|html"
+
+
+def page_elements(html: Column) -> Column:
+    """``array<struct<kind, text>>``: headings, paragraphs and list items of the article, in order.
+
+    An element goes to the next block tag, because pages leave some unclosed.
+    Inline tags are dropped, ``<br>`` is a blank; elements without text are left out.
+    """
+    article = F.regexp_extract(html, r"(?s)<article>(.*?)(?:</article>|<footer|\z)", 1)
+    pattern = F.lit(rf"(?s)<(h1|p|li)>(.*?)(?=</?(?:{_BLOCK})\b|\z)")
+
+    def plain(text: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(text, "<br ?/?>", " "), "<[^>]*>", "")
+
+    both = F.zip_with(
+        F.regexp_extract_all(article, pattern, 1),
+        F.regexp_extract_all(article, pattern, 2),
+        lambda kind, text: F.struct(kind.alias("kind"), plain(text).alias("text")),
+    )
+    return F.filter(both, lambda e: e["text"] != "")
+
+
+# Another way to the same rows: tags become marks, then the article is split at them.
+PAGE_ELEMENTS_SQL = rf"""
+  SELECT page_id, i, kind, text FROM (
+    SELECT page_id, i, split_part(piece, chr(2), 1) AS kind,
+      regexp_replace(regexp_replace(substr(piece, strpos(piece, chr(2)) + 1), '<br ?/?>', ' ', 'g'), '<[^>]*>', '', 'g') AS text
+    FROM (
+      SELECT page_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM (
+        SELECT page_id, string_split(regexp_replace(regexp_replace(
+          split_part(split_part(substr(html, strpos(html, '<article>') + 9), '</article>', 1), '<footer', 1),
+          '<(h1|p|li)>', chr(1) || '\1' || chr(2), 'g'), '</?(?:{_BLOCK})>', chr(1) || 'end' || chr(2), 'g'), chr(1)) AS pieces
+        FROM pages WHERE contains(html, '<article>'))))
+  WHERE kind IN ('h1', 'p', 'li') AND text <> ''"""
+
+
 def knowledge_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     i = F.col("page_id")
@@ -303,22 +341,26 @@ def knowledge_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("language"),
         F.when(i % 13 == 0, "").otherwise(F.element_at(F.array(F.lit("high"), F.lit("low")), (i % 2 + 1).cast("int"))).alias("priority"),
         F.when(i % 25 == 0, "news").otherwise("knowledge").alias("memory_layer"),
-        F.array_join(F.regexp_extract_all("html", F.lit("<(?:p|li)>([^<]+)<"), 1), "\n\n").alias("body"),
+        F.array_join(
+            F.transform(F.filter(page_elements(F.col("html")), lambda e: e["kind"] != "h1"), lambda e: e["text"]), "\n\n"
+        ).alias("body"),
         F.col("url").alias("source_file"),
     )
 
 
-KNOWLEDGE_SQL = r"""
+KNOWLEDGE_SQL = rf"""
 knowledge_docs AS MATERIALIZED (
+  WITH bodies AS (
+    SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY i) AS body FROM ({PAGE_ELEMENTS_SQL}) WHERE kind <> 'h1' GROUP BY page_id)
   SELECT regexp_extract(html, '<h1>([^<]+)<', 1) AS title, 'page-' || page_id AS slug,
     ['faq', 'editorial_guidelines', 'program'][page_id % 3 + 1] AS knowledge_type,
     CASE WHEN page_id % 11 = 0 THEN 'draft' ELSE 'approved' END AS status, true AS published,
     regexp_extract(html, 'lang="([a-z]+)"', 1) AS language,
     CASE WHEN page_id % 13 = 0 THEN '' ELSE ['high', 'low'][page_id % 2 + 1] END AS priority,
     CASE WHEN page_id % 25 = 0 THEN 'news' ELSE 'knowledge' END AS memory_layer,
-    array_to_string(regexp_extract_all(html, '<(?:p|li)>([^<]+)<', 1), chr(10) || chr(10)) AS body,
+    coalesce(body, '') AS body,
     url AS source_file
-  FROM pages
+  FROM pages LEFT JOIN bodies USING (page_id)
 )"""
 
 

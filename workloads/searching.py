@@ -181,7 +181,8 @@ INGEST_COUNTERS_SQL = f"""
 WITH RECURSIVE {ck.CHUNKS_CTES}
 SELECT (SELECT count(*) FROM posts) AS loaded, (SELECT count(*) FROM posts WHERE date IS NOT NULL) AS valid,
        (SELECT count(*) FROM posts WHERE date IS NULL) AS failed,
-       (SELECT count(*) FROM chunks JOIN posts USING (slug) WHERE date IS NOT NULL) AS chunks_produced"""
+       (SELECT count(*) FROM chunks JOIN posts USING (slug) WHERE date IS NOT NULL) AS chunks_produced,
+       (SELECT count(DISTINCT chunk_id) FROM chunks JOIN posts USING (slug) WHERE date IS NOT NULL) AS points_upserted"""
 
 
 def sparse_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
