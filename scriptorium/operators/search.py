@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -52,7 +53,7 @@ def dense_topk(queries: DataFrame, index: DataFrame, k: int, metric: str = "cosi
     candidates = index.where("dense IS NOT NULL").select("chunk_id", "dense")
     n_blocks = -(-shape["n"] * 8 * (shape["d"] or 1) // QUERY_BLOCK_BYTES)
 
-    def score_block(block: DataFrame) -> DataFrame:
+    def score_block(block: DataFrame) -> tuple[DataFrame, Broadcast]:
         rows = block.collect()
         ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
         matrix = np.array([r["dense"] for r in rows], dtype=np.float64)
@@ -64,11 +65,10 @@ def dense_topk(queries: DataFrame, index: DataFrame, k: int, metric: str = "cosi
             for batch in batches:
                 for part in _slices(batch, _MATRIX_CELLS // max(1, len(query_ids))):
                     flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                    scores = similarity(query_matrix, flat.reshape(part.num_rows, -1), metric)
-                    best.add(part.column(0), scores, np.ones_like(scores, dtype=bool))
+                    best.add_matrix(part.column(0), similarity(query_matrix, flat.reshape(part.num_rows, -1), metric))
             yield from best.batches()
 
-        return candidates.mapInArrow(score, _HIT_SCHEMA)
+        return candidates.mapInArrow(score, _HIT_SCHEMA), shared
 
     return _over_blocks(vectors, n_blocks, score_block, candidates, k)
 
@@ -82,19 +82,24 @@ def _query_id() -> Column:
 
 
 def _over_blocks(
-    rows: DataFrame, n_blocks: int, score_block: Callable[[DataFrame], DataFrame], candidates: DataFrame, k: int
+    rows: DataFrame, n_blocks: int, score_block: Callable[[DataFrame], tuple[DataFrame, Broadcast]], candidates: DataFrame, k: int
 ) -> DataFrame:
-    """Score query rows in ``n_blocks`` blocks of whole queries and keep the best over all."""
+    """Score query rows in ``n_blocks`` blocks of whole queries and keep the best over all.
+
+    One block is in memory at a time: its best hits are written and its
+    broadcast is dropped before the next one is collected.
+    """
     if n_blocks <= 0:
         return top_k(candidates.sparkSession.createDataFrame([], _HIT_SCHEMA), k)
-    parts = [
-        score_block(rows.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b) if n_blocks > 1 else rows)
-        for b in range(n_blocks)
-    ]
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
-    return top_k(scored, k)
+    if n_blocks == 1:
+        return top_k(score_block(rows)[0], k)
+    rows, found = written(rows), None
+    for b in range(n_blocks):
+        scored, shared = score_block(rows.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b))
+        part = written(top_k(scored, k))
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
@@ -103,45 +108,64 @@ def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, rows)
 
 
+# Hits that a task collects before it cuts them down to the best.
+_BUFFER = 1_000_000
+
+
 class _Best:
-    """The ``k`` best chunks per query seen by one task, by score, then chunk."""
+    """The ``k`` best chunks per query seen by one task, by score, then chunk.
+
+    Hits below the ``k``-th best score so far are dropped at once. The rest is
+    collected and merged now and then, so the work per hit does not depend on
+    the number of queries.
+    """
 
     def __init__(self, query_ids: np.ndarray, k: int) -> None:
         self.query_ids, self.k = query_ids, k
-        self.query = np.zeros(0, dtype=np.int64)
-        self.chunk = np.zeros(0, dtype=object)
-        self.score = np.zeros(0, dtype=np.float64)
-
-    def add(self, chunks: pa.Array, scores: np.ndarray, usable: np.ndarray) -> None:
-        """``scores`` has a row per query and a column per chunk; unusable pairs are no hits."""
-        n = scores.shape[1]
-        if n > self.k:
-            masked = np.where(usable, scores, -np.inf)
-            edge = -np.partition(-masked, self.k - 1, axis=1)[:, self.k - 1]
-            usable = usable & (scores >= edge[:, None])
-        query, column = np.nonzero(usable)
-        names = np.array(chunks.to_pylist(), dtype=object)
-        self._keep(
-            np.concatenate([self.query, query]),
-            np.concatenate([self.chunk, names[column]]),
-            np.concatenate([self.score, scores[query, column]]),
-        )
-
-    def _keep(self, query: np.ndarray, chunk: np.ndarray, score: np.ndarray) -> None:
-        by_name = np.argsort(chunk.astype(str), kind="stable")
-        order = by_name[np.lexsort((-score[by_name], query[by_name]))]
+        self.edge = np.full(len(query_ids), -np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held, self.limit = 0, max(_BUFFER, 4 * k * len(query_ids))
+
+    def add_matrix(self, chunks: pa.Array, scores: np.ndarray) -> None:
+        """``scores`` has a row per query and a column per chunk; every pair is a hit."""
+        edge = self.edge
+        if scores.shape[1] > self.k and np.isinf(edge).any():
+            edge = np.maximum(edge, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
+        query, column = np.nonzero(scores >= edge[:, None])
+        self.add(chunks, query, column, scores[query, column])
+
+    def add(self, chunks: pa.Array, query: np.ndarray, column: np.ndarray, score: np.ndarray) -> None:
+        """Hits as places of queries, places of ``chunks`` and scores, each pair once."""
+        good = score >= self.edge[query]
+        query, column, score = query[good], column[good], score[good]
+        if len(query):
+            names = np.array(chunks.to_pylist(), dtype=object)
+            self.parts.append((query, names[column], score))
+            self.held += len(query)
+            if self.held > self.limit:
+                self._merge()
+
+    def _merge(self) -> None:
+        if not self.parts:
+            return
+        query, chunk, score = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        name = np.unique(chunk.astype(str), return_inverse=True)[1]
+        order = np.lexsort((name, -score, query))
         query, chunk, score = query[order], chunk[order], score[order]
-        first = np.searchsorted(query, query, side="left")
-        kept = np.arange(len(query)) - first < self.k
-        self.query, self.chunk, self.score = query[kept], chunk[kept], score[kept]
+        place = np.arange(len(query)) - np.searchsorted(query, query, side="left")
+        last = place == self.k - 1
+        self.edge[query[last]] = score[last]
+        kept = place < self.k
+        self.parts, self.held = [(query[kept], chunk[kept], score[kept])], int(kept.sum())
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        if len(self.query):
+        self._merge()
+        for query, chunk, score in self.parts:
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(self.query_ids[self.query], type=pa.int64()),
-                    pa.array(self.chunk.tolist(), type=pa.string()),
-                    pa.array(self.score, type=pa.float64()),
+                    pa.array(self.query_ids[query], type=pa.int64()),
+                    pa.array(chunk.tolist(), type=pa.string()),
+                    pa.array(score, type=pa.float64()),
                 ],
                 names=["query_id", "chunk_id", "score"],
             )
@@ -177,7 +201,7 @@ def sparse_topk(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     postings = index.where("sparse IS NOT NULL").select("chunk_id", F.col("sparse.term").alias("terms"), F.col("sparse.w").alias("weights"))
     n_blocks = -(-terms.count() * 32 // QUERY_BLOCK_BYTES)
 
-    def score_block(block: DataFrame) -> DataFrame:
+    def score_block(block: DataFrame) -> tuple[DataFrame, Broadcast]:
         rows = block.toPandas()
         shared = postings.sparkSession.sparkContext.broadcast(_inverted(rows["query_id"].to_numpy(), rows["term"].to_numpy()))
 
@@ -186,11 +210,10 @@ def sparse_topk(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
             best, known = _Best(query_ids, k), pa.array(vocabulary, type=pa.string())
             for batch in batches:
                 for part in _slices(batch, _MATRIX_CELLS // max(1, len(query_ids))):
-                    scores = _added_weights(part, known, starts, members, len(query_ids))
-                    best.add(part.column(0), scores, scores > 0)
+                    best.add(part.column(0), *_added_weights(part, known, starts, members))
             yield from best.batches()
 
-        return postings.mapInArrow(score, _HIT_SCHEMA)
+        return postings.mapInArrow(score, _HIT_SCHEMA), shared
 
     return _over_blocks(terms, n_blocks, score_block, postings, k)
 
@@ -208,8 +231,8 @@ def _inverted(query_ids: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, lis
 _MATCHES = 4_000_000
 
 
-def _added_weights(part: pa.RecordBatch, known: pa.Array, starts: np.ndarray, members: np.ndarray, n_queries: int) -> np.ndarray:
-    """Summed weights of shared terms: a row per query, a column per chunk."""
+def _added_weights(part: pa.RecordBatch, known: pa.Array, starts: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries, chunks and summed weights of the pairs that share a term; other pairs cost nothing."""
     lists = part.column(1)
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     chunk = np.repeat(np.arange(part.num_rows), sizes)
@@ -217,7 +240,7 @@ def _added_weights(part: pa.RecordBatch, known: pa.Array, starts: np.ndarray, me
     hit = pc.is_valid(found).to_numpy(zero_copy_only=False)
     term = pc.fill_null(found, 0).to_numpy(zero_copy_only=False)[hit].astype(np.int64)
     chunk, weight = chunk[hit], part.column(2).flatten().to_numpy(zero_copy_only=False)[hit]
-    scores = np.zeros(n_queries * part.num_rows)
+    cells, sums = np.zeros(0, np.int64), np.zeros(0)
     counts = starts[term + 1] - starts[term]
     ends = np.cumsum(counts)
     low = 0
@@ -227,10 +250,14 @@ def _added_weights(part: pa.RecordBatch, known: pa.Array, starts: np.ndarray, me
         n = counts[low:high]
         offsets = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         query = members[np.repeat(starts[term[low:high]], n) + offsets]
-        cell = query * part.num_rows + np.repeat(chunk[low:high], n)
-        scores += np.bincount(cell, weights=np.repeat(weight[low:high], n), minlength=len(scores))
+        more = query * part.num_rows + np.repeat(chunk[low:high], n)
+        added = np.concatenate((sums, np.repeat(weight[low:high], n)))
+        cells, place = np.unique(np.concatenate((cells, more)), return_inverse=True)
+        sums = np.bincount(place, weights=added, minlength=len(cells))
         low = high
-    return np.round(scores.reshape(n_queries, part.num_rows), 6)
+    sums = np.round(sums, 6)
+    good = sums > 0
+    return cells[good] // part.num_rows, cells[good] % part.num_rows, sums[good]
 
 
 def rrf_fuse(ranked: list[DataFrame], limit: int, threshold: float = 0.0) -> DataFrame:

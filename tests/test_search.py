@@ -1,6 +1,8 @@
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ def brute(scores, k):
 @pytest.mark.parametrize("block_bytes", [1 << 25, 200])
 def test_dense_against_brute_force(spark, monkeypatch, metric, block_bytes):
     monkeypatch.setattr(search, "QUERY_BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(search, "_BUFFER", 20)
     rng = np.random.default_rng(1)
     vectors = rng.integers(-2, 3, size=(300, 4)).astype(float)
     queries = rng.integers(-2, 3, size=(9, 4)).astype(float)
@@ -42,6 +45,7 @@ def test_dense_against_brute_force(spark, monkeypatch, metric, block_bytes):
 @pytest.mark.parametrize("block_bytes", [1 << 25, 300])
 def test_sparse_against_brute_force(spark, monkeypatch, block_bytes):
     monkeypatch.setattr(search, "QUERY_BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(search, "_BUFFER", 20)
     monkeypatch.setattr(search, "_MATCHES", 50)
     monkeypatch.setattr(search, "_MATRIX_CELLS", 200)
     rng = random.Random(5)
@@ -58,6 +62,22 @@ def test_sparse_against_brute_force(spark, monkeypatch, block_bytes):
         assert got.get(i, []) == brute({c: s for c, s in scores.items() if s > 0}, 6)
 
 
+def test_work_per_hit_does_not_grow_with_the_queries():
+    rng = np.random.default_rng(2)
+    seconds = {}
+    for n in (500, 5000):
+        queries = rng.normal(size=(n, 16))
+        best = search._Best(np.arange(n), 24)
+        start = time.process_time()
+        for i in range(40_000_000 // n // 500):
+            vectors = rng.normal(size=(500, 16))
+            best.add_matrix(pa.array([f"c{i}-{j}" for j in range(500)]), search.similarity(queries, vectors, "dot"))
+        list(best.batches())
+        seconds[n] = time.process_time() - start
+    # As many pairs either way.
+    assert seconds[5000] < 3 * seconds[500] + 1
+
+
 def test_term_counts_and_weights(spark):
     df = spark.createDataFrame([("B a b. A, b",), ("",)], "t string").select(ix.term_counts(F.col("t")).alias("c"))
     df = df.select("c", ix.sparse_vector(F.col("c")).alias("s"), ix.hashed_vector(F.col("c")).alias("v"))
