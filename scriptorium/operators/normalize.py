@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from scriptorium.functions import text as tx
 from scriptorium.functions.matching import inline_substrings, joined_hits, text_key
@@ -200,15 +200,16 @@ def tag_rules(topics: DataFrame, dictionary: DataFrame) -> DataFrame:
     # Entity types that become tags, in this order.
     types = F.array(*[F.lit(t) for t in ("organizations", "locations", "credentials")])
     entities = dictionary.where(F.array_contains(types, F.col("etype"))).select(
-        F.lit(1).alias("part"),
         F.array_position(types, F.col("etype")).cast("int").alias("a"),
         F.col("entry_pos").alias("b"),
         tx.slugify(F.col("canonical"), "tag").alias("name"),
         F.lower("alias").alias("keyword"),
     )
-    own = topics.select(F.lit(0).alias("part"), F.lit(0).alias("a"), F.col("rule_pos").alias("b"), "name", "keyword")
-    rank = F.dense_rank().over(Window.orderBy("part", "a", "b"))
-    return own.unionByName(entities).select(rank.alias("rule_pos"), "name", "keyword")
+    # Positions behind the last topic, by type, then entry: two small aggregates instead of a global order.
+    behind = F.coalesce(topics.agg(F.max("rule_pos")).scalar(), F.lit(0)) + 1
+    step = F.coalesce(entities.agg(F.max("b")).scalar(), F.lit(0)) + 1
+    placed = entities.select((behind + (F.col("a") - 1) * step + F.col("b")).cast("int").alias("rule_pos"), "name", "keyword")
+    return topics.select(F.col("rule_pos").cast("int").alias("rule_pos"), "name", "keyword").unionByName(placed)
 
 
 def clean_summary(body: Column, stored: Column, limit: int = 200) -> Column:

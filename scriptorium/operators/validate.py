@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from scriptorium.functions.text import blank
 
@@ -176,17 +176,27 @@ def alias_conflicts(dictionary: DataFrame) -> DataFrame:
 
     ``dictionary(etype, entry_pos, alias_pos, canonical, alias)``.
     """
-    key = F.lower(F.trim("alias"))
-    order = Window.partitionBy("key").orderBy("entry_pos", "alias_pos")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        dictionary.where("alias <> ''")
-        .withColumn("key", key)
-        .withColumn("owner", F.first("canonical").over(so_far))
-        .withColumn("owner_type", F.last(F.when(F.col("canonical") == F.col("owner"), F.col("etype")), ignorenulls=True).over(so_far))
-        .where(F.col("canonical") != F.col("owner"))
-        .select("alias", "owner_type", "owner", F.col("etype").alias("claimant_type"), F.col("canonical").alias("claimant"))
+    place = F.struct("entry_pos", "alias_pos")
+    rows = dictionary.where("alias <> ''").withColumn("key", F.lower(F.trim("alias"))).withColumn("place", place)
+    # Counted on the map side; only aliases with a second name go on.
+    owners = (
+        rows.groupBy("key")
+        .agg(F.min_by("canonical", "place").alias("owner"), F.min("canonical").alias("low"), F.max("canonical").alias("high"))
+        .where("low <> high")
+        .select("key", "owner")
     )
+    shared = rows.join(owners, "key")
+    # The rows in which the owner itself lists the alias: one per listing.
+    own = shared.where(F.col("canonical") == F.col("owner")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "etype"))).alias("own"))
+    earlier = F.filter("own", lambda o: o["place"] < F.col("place"))
+    return (
+        shared.where(F.col("canonical") != F.col("owner"))
+        .join(own, "key")
+        .select(
+            "alias", F.element_at(earlier, -1)["etype"].alias("owner_type"), "owner",
+            F.col("etype").alias("claimant_type"), F.col("canonical").alias("claimant"),
+        )
+    )
 
 
 # Payload fields that must never be null.

@@ -97,3 +97,20 @@ def test_shared_folder_is_asked_for_on_a_cluster():
 
     assert runs_in_one_process("local[8]") and runs_in_one_process("local")
     assert not runs_in_one_process("local-cluster[3,2,1024]") and not runs_in_one_process("spark://host:7077") and not runs_in_one_process("yarn")
+
+
+def test_tag_rules_order(spark):
+    topics = spark.createDataFrame([(0, "topic", "t"), (4, "late", "l")], "rule_pos int, name string, keyword string")
+    dictionary = spark.createDataFrame(
+        [("credentials", 0, "Cert", "cert"), ("organizations", 1, "Org B", "b"), ("organizations", 0, "Org A", "a"), ("people", 0, "P", "p"), ("locations", 7, "L", "l")],
+        "etype string, entry_pos int, canonical string, alias string",
+    )
+    rules = normalize.tag_rules(topics, dictionary).orderBy("rule_pos").collect()
+    assert [r["name"] for r in rules] == ["topic", "late", "org-a", "org-b", "l", "cert"]
+    assert len({r["rule_pos"] for r in rules}) == 6
+
+
+def test_alias_conflicts_with_a_shared_alias(spark):
+    rows = [("people", 0, 0, "A", "x"), ("people", 1, 0, "B", "X "), ("places", 2, 0, "A", "x"), ("people", 3, 0, "C", "x"), ("people", 4, 0, "D", "only"), ("people", 5, 0, "E", "")]
+    d = spark.createDataFrame(rows, "etype string, entry_pos int, alias_pos int, canonical string, alias string")
+    assert sorted(map(tuple, validate.alias_conflicts(d).collect())) == [("X ", "people", "A", "people", "B"), ("x", "places", "A", "people", "C")]
