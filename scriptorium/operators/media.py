@@ -7,6 +7,7 @@ first leader close to it. Members do not recruit.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
@@ -18,7 +19,6 @@ from scriptorium.session import checkpointed, written
 BITS = 64
 # A band value shared by more distinct fingerprints than this is split over several tasks.
 HOT_BUCKET = 50_000
-MAX_SALTS = 64
 
 
 def quality_score(assets: DataFrame) -> DataFrame:
@@ -140,23 +140,32 @@ def _probing_bands(items: DataFrame, layout: list[tuple[int, int]], radius: int,
     return rows.withColumn("mask", F.explode(per_band)).withColumn("key", F.col("key").bitwiseXOR(F.col("mask"))).drop("mask")
 
 
-def _salted(later: DataFrame, earlier: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Add ``salt`` to both sides: later rows of a hot bucket are dealt out, earlier ones repeated.
+def _dealt(later: DataFrame, earlier: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Add ``cell`` to both sides, so that every pair of a hot bucket meets in one cell of a grid.
 
-    Hot buckets number at most the rows of ``earlier`` divided by ``HOT_BUCKET``,
-    so the table of them is small enough to be broadcast.
+    A bucket of ``n`` rows has ``n / HOT_BUCKET`` lines of cells either way: later rows
+    lie in one line and are repeated along it, earlier rows in one column. What
+    a cell holds does not grow with the bucket.
     """
     keys = ["part", "band", "key"]
-    size = F.count("*")
-    hot = F.broadcast(
+    # A stored table, whose size is known: Spark sends it around only if it is small.
+    hot = written(
         earlier.groupBy(*keys)
-        .agg(size.alias("n"))
+        .agg(F.count("*").alias("n"))
         .where(F.col("n") > HOT_BUCKET)
-        .select(*keys, F.least(F.lit(MAX_SALTS), F.ceil(F.col("n") / HOT_BUCKET).cast("int")).alias("salts"))
+        .select(*keys, F.ceil(F.col("n") / HOT_BUCKET).cast("long").alias("side"))
+    )
+
+    def cells(rows: DataFrame, bits: str, cell: Callable[[Column, Column, Column], Column]) -> DataFrame:
+        side = F.coalesce("side", F.lit(1).cast("long"))
+        mine = F.pmod(F.xxhash64(bits), side)
+        along = F.transform(F.sequence(F.lit(0).cast("long"), side - 1), lambda other: cell(mine, other, side))
+        return rows.join(hot, keys, "left").withColumn("cell", F.explode(along)).drop("side")
+
+    return (
+        cells(later, "bits", lambda mine, other, side: mine * side + other),
+        cells(earlier, "o_bits", lambda mine, other, side: other * side + mine),
     )
-    dealt = later.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64("bits"), F.coalesce("salts", F.lit(1))).cast("int"))
-    copies = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
-    return dealt.drop("salts"), earlier.join(hot, keys, "left").withColumn("salt", F.explode(copies)).drop("salts")
 
 
 def _close_earlier(
@@ -168,8 +177,8 @@ def _close_earlier(
     b = _plain_bands(earlier, layout, "o_")
     keys = ["part", "band", "key"]
     if large:
-        a, b = _salted(a, b)
-        keys.append("salt")
+        a, b = _dealt(a, b)
+        keys.append("cell")
     on = [a[k] == b[k] for k in keys] + [b["o_name"] < a["name"], hamming(a["bits"], b["o_bits"]) <= threshold]
     joined = a.join(b, on, how)
     if how == "left_semi":
