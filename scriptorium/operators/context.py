@@ -110,6 +110,7 @@ _LANES = {
 }
 # The title of each block of a context text.
 _BLOCK_TITLES = {
+    "entities": "DETECTED ENTITIES",
     "news": "NEWS / EVENT EVIDENCE",
     "knowledge": "INSTITUTIONAL KNOWLEDGE",
     "editorial": "EDITORIAL GUIDANCE",
@@ -151,11 +152,11 @@ def entity_block(entities: DataFrame) -> DataFrame:
 
 
 def context_pack(
-    queries: DataFrame, lanes: DataFrame, graph: DataFrame, *, max_output_tokens: int = 4096, window_tokens: int = 200_000
+    queries: DataFrame, lanes: DataFrame, graph: DataFrame, entities: DataFrame | None = None, *, max_output_tokens: int = 4096, window_tokens: int = 200_000
 ) -> DataFrame:
-    """``(query_id, context, over_budget)``: lane blocks and graph profiles under their titles.
+    """``(query_id, context, over_budget)``: entity names, lane blocks and graph profiles under their titles.
 
-    ``lanes(query_id, lane, block)``, ``graph(query_id, pos, block)``. About four
+    ``lanes(query_id, lane, block)``, ``graph(query_id, pos, block)``, ``entities(query_id, block)``. About four
     characters make a token; the flag tells that input and output exceed the window.
     """
     profiles = graph.groupBy("query_id").agg(
@@ -164,6 +165,8 @@ def context_pack(
     blocks = lanes.select("query_id", "lane", "block").unionByName(
         profiles.select("query_id", F.lit("graph").alias("lane"), "block")
     )
+    if entities is not None:
+        blocks = blocks.unionByName(entities.select("query_id", F.lit("entities").alias("lane"), "block"))
     per_lane = blocks.groupBy("query_id").agg(
         *[F.max(F.when(F.col("lane") == lane, F.col("block"))).alias(lane) for lane in _BLOCK_TITLES]
     )

@@ -15,12 +15,15 @@ def eval_slugs(hits: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def eval_text(hits: DataFrame, cases: DataFrame, top: int = 5) -> DataFrame:
-    """``cases(query_id, expected_text_contains, min_results)``: the pattern in text or title of the best hits."""
-    texts = hits.where(F.col("rank") <= top).select(
-        "query_id", F.lower(F.concat_ws(" ", F.coalesce("chunk_text", F.lit("")), F.coalesce("title", F.lit("")))).alias("t")
+    """``cases(query_id, expected_text_contains, min_results)``: the pattern in the texts and titles of the best hits, joined by rank."""
+    text = F.concat_ws(" ", F.coalesce("chunk_text", F.lit("")), F.coalesce("title", F.lit("")))
+    # At most ``top`` texts per query.
+    joined = hits.where(F.col("rank") <= top).groupBy("query_id").agg(
+        F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("rank", F.lower(text).alias("t")))).alias("ts")
     )
-    found = cases.select("query_id", F.lower("expected_text_contains").alias("p")).join(texts, "query_id").groupBy("query_id").agg(
-        F.count("*").alias("n"), F.bool_or(F.col("t").contains(F.col("p"))).alias("matched")
+    all_texts = F.array_join(F.transform("ts", lambda r: r["t"]), " ")
+    found = cases.select("query_id", F.lower("expected_text_contains").alias("p")).join(joined, "query_id").select(
+        "query_id", "n", all_texts.contains(F.col("p")).alias("matched")
     )
     return _judged(cases, found, F.coalesce("expected_text_contains", F.lit("")) == "")
 

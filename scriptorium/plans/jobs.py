@@ -84,7 +84,8 @@ def routed_context(
     blocks = context.lane_blocks(shown)
     names = _names_of_hits(shown)
     profiles = _graph_profiles(routed, names, nodes, edges)
-    packed = context.context_pack(routed, blocks, profiles)
+    entities = context.entity_block(tagging.entities_for_hits(shown.where("lane <> 'editorial'")))
+    packed = context.context_pack(routed, blocks, profiles, entities)
     return routed.select("query_id", "route").join(packed, "query_id")
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import classify, index as ix, normalize, routing, search, tagging, validate
+from scriptorium.operators import classify, context, evaluate, index as ix, normalize, routing, search, tagging, validate
 from scriptorium.plans import jobs
 from workloads import fixtures as fx
 
@@ -114,3 +114,25 @@ def test_alias_conflicts_with_a_shared_alias(spark):
     rows = [("people", 0, 0, "A", "x"), ("people", 1, 0, "B", "X "), ("places", 2, 0, "A", "x"), ("people", 3, 0, "C", "x"), ("people", 4, 0, "D", "only"), ("people", 5, 0, "E", "")]
     d = spark.createDataFrame(rows, "etype string, entry_pos int, alias_pos int, canonical string, alias string")
     assert sorted(map(tuple, validate.alias_conflicts(d).collect())) == [("X ", "people", "A", "people", "B"), ("x", "places", "A", "people", "C")]
+
+
+def test_context_holds_entities_lanes_and_profiles_in_order(spark):
+    queries = spark.createDataFrame([(1, "topic one"), (2, "topic two")], "query_id int, query string")
+    lanes = spark.createDataFrame([(1, "knowledge", "K"), (1, "news", "N"), (1, "editorial", "  ")], "query_id int, lane string, block string")
+    graph = spark.createDataFrame([(1, 2, "second"), (1, 1, "first")], "query_id int, pos int, block string")
+    entities = context.entity_block(
+        spark.createDataFrame([(1, "people", "Zoe"), (1, "organizations", "B"), (1, "organizations", "A"), (1, "people", "Zoe")], "query_id int, etype string, name string")
+    )
+    got = {r["query_id"]: r["context"] for r in context.context_pack(queries, lanes, graph, entities).collect()}
+    assert got[1] == (
+        "Topic: topic one\n\n=== DETECTED ENTITIES ===\n\n  Organizations: A, B\n  People: Zoe\n\n=== NEWS / EVENT EVIDENCE ===\n\nN\n\n"
+        "=== INSTITUTIONAL KNOWLEDGE ===\n\nK\n\n=== KNOWLEDGE GRAPH CONTEXT ===\n\nfirst\n\nsecond"
+    )
+    assert got[2] == "Topic: topic two"
+
+
+def test_pattern_is_found_across_the_joined_texts(spark):
+    hits = spark.createDataFrame([(1, 2, "two", "T2"), (1, 1, "one", "T1"), (1, 6, "six", "T6")], "query_id int, rank int, chunk_text string, title string")
+    cases = spark.createDataFrame([(1, "T1 TWO", 2)], "query_id int, expected_text_contains string, min_results int")
+    (row,) = evaluate.eval_text(hits, cases).collect()
+    assert (row["n_results"], row["matched"], row["passed"]) == (2, True, True)

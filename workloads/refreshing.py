@@ -216,7 +216,7 @@ def routed_context(spark: SparkSession, sf_dir: str) -> DataFrame:
         fx.queries(spark, sf_dir), fx.route_signals(spark), sw.news_index(spark, sf_dir), sw.knowledge_index(spark, sf_dir),
         graphs.nodes(spark, sf_dir), graphs.edges(spark, sf_dir),
     )
-    return packed.select("query_id", "route", F.length("context").alias("n_chars"), "over_budget")
+    return packed.select("query_id", "route", "context", "over_budget")
 
 
 def draft_qa(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workloads import assets, chunks, corpus, drafts, graphs, labels, refreshing, searching
+from workloads import assets, chunks, corpus, drafts, graphs, labels, refreshing, roundtrips, searching
 
-_MODULES = (corpus, chunks, labels, searching, graphs, drafts, assets, refreshing)
+_MODULES = (corpus, chunks, labels, searching, graphs, drafts, assets, refreshing, roundtrips)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -456,7 +456,8 @@ def eval_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVAL_TEXT_SQL = f"""WITH RECURSIVE {INDEX_SQL}, {HITS_SQL}, j AS (
-  SELECT query_id, count(*) AS n_results, bool_or(contains(lower(chunk_text || ' ' || title), lower(query))) AS matched
+  SELECT query_id, count(*) AS n_results,
+    contains(string_agg(lower(chunk_text || ' ' || title), ' ' ORDER BY rank), lower(any_value(query))) AS matched
   FROM hits JOIN chunks USING (chunk_id) JOIN posts USING (slug) JOIN queries USING (query_id) WHERE rank <= 5 GROUP BY query_id)
 SELECT q.query_id, coalesce(n_results, 0) AS n_results, coalesce(matched, false) AS matched,
   coalesce(n_results, 0) >= 1 AND coalesce(matched, false) AS passed FROM queries q LEFT JOIN j USING (query_id)"""
