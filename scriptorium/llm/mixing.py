@@ -42,7 +42,7 @@ def sized(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("shuffle"),
+        F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\n"), text_of(text_col))).alias("shuffle"),
     )
 
 
@@ -82,13 +82,13 @@ def source_targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: f
     )
 
 
-def schedule(targets: DataFrame, block: int, repeat: int = REPEAT) -> DataFrame:
+def schedule(targets: DataFrame, block: int, words: float, repeat: int = REPEAT) -> DataFrame:
     """``(slot, place, rank, block, round)``: which block of which source every slot of the mix takes.
 
-    Slots behind the last round that a source may have are left out.
+    ``words`` is the sum of the targets. Slots behind the last round that a
+    source may have are left out.
     """
     spark = targets.sparkSession
-    words = targets.agg(F.sum("target").alias("n")).first()["n"] or 0.0
     before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     spans = (
         targets.where("target > 0")
@@ -103,7 +103,7 @@ def schedule(targets: DataFrame, block: int, repeat: int = REPEAT) -> DataFrame:
     by_cell = spans.select("place", "blocks", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"))
     point = F.col("id") * F.lit(_GOLDEN)
     slots = (
-        spark.range(round(words / block))
+        spark.range(math.floor(words / block + 0.5))
         .select(F.col("id").alias("slot"), (point - F.floor(point)).alias("point"))
         .withColumn("cell", cell(F.col("point")))
         .join(by_cell, "cell")
@@ -142,16 +142,17 @@ def mix_sources(
     """
     rows = written(sized(docs, id_col, text_col, source_col, key_col))
     targets = written(source_targets(rows, weights, total, repeat))
-    words = targets.agg(F.sum("target").alias("n")).first()["n"] or 0.0
+    # What the targets sum up to, without rounding on the way.
+    words = min(total, repeat) * float(targets.agg(F.sum("source_size").alias("n")).first()["n"] or 0)
     block = max(1, math.ceil(words / slots))
 
     placed = rows.join(targets.select("place", F.col("source").alias("__s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("__s"))).withColumn(
-        "cell", F.shiftrightunsigned("shuffle", 52) % ORDER_CELLS
+        "cell", F.conv(F.substring("shuffle", 1, 6), 16, 10).cast("int") % ORDER_CELLS
     )
     cells = placed.groupBy("place", "cell").agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("place").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select("place", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("place", "cell").orderBy("shuffle", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("place", "cell").orderBy("shuffle").rowsBetween(Window.unboundedPreceding, -1)
     # Stored with a row key, so that all readers see the same rows.
     placed = written(
         placed.join(starts, ["place", "cell"])
@@ -164,7 +165,7 @@ def mix_sources(
         .select("row", "place", "begin", end.alias("end"), F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((end - 1) / block))).alias("block"))
         .select("row", "place", "block", (F.least("end", (F.col("block") + 1) * block) - F.greatest("begin", F.col("block") * block)).alias("words"))
     )
-    draws = schedule(targets, block, repeat).groupBy("place", "block").agg(F.count("*").alias("times"))
+    draws = schedule(targets, block, words, repeat).groupBy("place", "block").agg(F.count("*").alias("times"))
     taken = pieces.join(draws, ["place", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     return placed.join(taken, "row", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *(["key"] if key_col else [])

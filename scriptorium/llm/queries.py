@@ -92,6 +92,67 @@ SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict
 FROM located LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (n)
 """
 
+_OP7 = r"""
+WITH rows_ AS (
+  SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5(coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(text, '')) AS h
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS place FROM rows_ GROUP BY source),
+weighed AS (SELECT *, [5.0, 2.0, 1.0][((place - 1) % 3 + 1)::INT]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap FROM sources),
+filled AS (
+  SELECT *, sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER upto, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER upto, 0) AS open_
+  FROM weighed WINDOW upto AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS MATERIALIZED (
+  SELECT place, source, source_size,
+    CASE WHEN cap * open_ <= rest * weight THEN cap ELSE weight * max(CASE WHEN cap * open_ > rest * weight THEN rest / open_ END) OVER () END AS target FROM filled),
+size_ AS MATERIALIZED (SELECT words, greatest(1, ceil(words / 1000000))::BIGINT AS block FROM (
+  SELECT coalesce(sum(source_size), 0)::BIGINT * 1.5::DOUBLE AS words FROM targets)),
+spans AS MATERIALIZED (
+  SELECT place, blocks, lo, coalesce(lead(lo) OVER (ORDER BY place), 2.0) AS hi FROM (
+    SELECT place, ceil(source_size / block)::BIGINT AS blocks,
+      coalesce(sum(target) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / words AS lo
+    FROM targets, size_ WHERE target > 0)),
+slots AS (
+  SELECT slot, slot * ((sqrt(5.0::DOUBLE) - 1) / 2) - floor(slot * ((sqrt(5.0::DOUBLE) - 1) / 2)) AS point
+  FROM (SELECT unnest(range(floor(words / block + 0.5)::BIGINT)) AS slot FROM size_)),
+draws AS (
+  SELECT place, rank % blocks AS block_no, count(*) AS times FROM (
+    SELECT place, blocks, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS rank FROM slots JOIN spans ON lo <= point AND point < hi)
+  WHERE rank < 2 * blocks GROUP BY 1, 2),
+placed AS (
+  SELECT r, doc_id, size, source_size, target, place,
+    coalesce(sum(size) OVER (PARTITION BY place ORDER BY ('0x' || h[1:6])::BIGINT % 4096, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_
+  FROM rows_ JOIN targets ON rows_.source IS NOT DISTINCT FROM targets.source),
+pieces AS (
+  SELECT r, place, begin_, begin_ + size AS end_, block, unnest(range(begin_ // block, (begin_ + size - 1) // block + 1)) AS block_no
+  FROM placed, size_ WHERE size > 0),
+taken AS (
+  SELECT r, sum((least(end_, (block_no + 1) * block) - greatest(begin_, block_no * block)) * times)::BIGINT AS taken
+  FROM pieces JOIN draws USING (place, block_no) GROUP BY r)
+SELECT doc_id, size::BIGINT AS size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN taken USING (r)
+"""
+
+_OP10 = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS MATERIALIZED (
+  SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT r, h, unnest(range(len(h) // 2 - 399)) AS i FROM d WHERE len(h) >= 800)),
+starts AS (SELECT r, i FROM windows SEMI JOIN (SELECT k FROM windows GROUP BY k HAVING count(*) > 1) USING (k)),
+runs AS (
+  SELECT r, i, sum((before IS NULL OR i > before + 400)::INT) OVER (PARTITION BY r ORDER BY i) AS g
+  FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM starts)),
+spans AS MATERIALIZED (SELECT r, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY r, g),
+pieces AS (
+  SELECT r, a AS pos, substr(h, 2 * before + 1, 2 * (a - before)) AS s
+  FROM (SELECT r, a, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans) JOIN d USING (r)
+  UNION ALL SELECT r, 1099511627776, substr(h, 2 * b + 1) FROM (SELECT r, max(b) AS b FROM spans GROUP BY r) JOIN d USING (r)),
+kept AS (SELECT r, string_agg(s, '' ORDER BY pos) AS s FROM pieces GROUP BY r),
+counts AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(s, h))) AS kept_sha256
+FROM d LEFT JOIN counts USING (r) LEFT JOIN kept USING (r)
+"""
+
 QUERIES = {
     "op1_quality": (op1_quality, None),
     "op2_lm_scores": (op2_lm_scores, None),
@@ -99,8 +160,8 @@ QUERIES = {
     "op4_decontamination": (op4_decontamination, None),
     "op5_simhash_groups": (op5_simhash_groups, None),
     "op6_token_counts": (op6_token_counts, None),
-    "op7_mixing": (op7_mixing, None),
+    "op7_mixing": (op7_mixing, _OP7),
     "op8_language_id": (op8_language_id, None),
     "op9_url_filter": (op9_url_filter, _OP9),
-    "op10_suffix_dedup": (op10_suffix_dedup, None),
+    "op10_suffix_dedup": (op10_suffix_dedup, _OP10),
 }

@@ -110,7 +110,7 @@ def test_mix_follows_targets(spark, seed, slots):
 
 def test_slots_spread_evenly(spark):
     targets = spark.createDataFrame([(1, "a", 10_000, 6000.0), (2, "b", 10_000, 3000.0), (3, "c", 10_000, 1000.0)], "place int, source string, source_size long, target double")
-    places = [r["place"] for r in mixing.schedule(targets, 1).orderBy("slot").collect()]
+    places = [r["place"] for r in mixing.schedule(targets, 1, 10_000.0).orderBy("slot").collect()]
     assert len(places) == 10_000
     for start in range(0, 9000, 500):
         part = places[start : start + 1000]
