@@ -19,7 +19,7 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scriptorium.llm.common import content_key, text_of
-from scriptorium.session import shared_folder
+from scriptorium.session import shared_folder, written
 
 # Executors need not have this package on their path.
 register_pickle_by_value(sys.modules[__name__])
@@ -104,7 +104,10 @@ def count_tokens(
     misses = contents.join(stored.select("content"), "content", "left_anti")
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
 
-    counted = read_cache(spark, cache_path).where(F.col("version") == version).groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
+    # Stored, so that the join below reads two tables and adaptive execution can split the rows of a content with many copies.
+    counted = written(
+        read_cache(spark, cache_path).where(F.col("version") == version).groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
+    )
     sizes = keyed.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes"))
     return sizes.join(counted, "content").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
