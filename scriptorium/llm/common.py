@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from scriptorium.session import written
+from scriptorium.session import shared_folder, written
 
 # Executors need not have this package on their path.
 register_pickle_by_value(sys.modules[__name__])
@@ -74,6 +75,26 @@ def shared(sent: Broadcast) -> object:
     return cloudpickle.loads(sent.value)
 
 
+class Scratch:
+    """Stored tables of one job that are emptied when their last reader is done."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+        self.folder = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+
+    def written(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def empty(self) -> None:
+        """Write tables without rows over them; what read them must have been computed."""
+        for path in self.paths:
+            self.spark.range(0).coalesce(1).write.mode("overwrite").parquet(path)
+        self.paths = []
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components as ``(node, root)``, root being the least node; nodes without edges are absent.
 

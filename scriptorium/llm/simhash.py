@@ -86,15 +86,19 @@ def text_fingerprints(texts: pa.Array, shingle: int = 3) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` for every row; ``fp`` holds the 64 bits as a signed long."""
+    """``(doc_id, key, fp)`` for every row; ``fp`` holds the 64 bits as a signed long, ``key`` stands for id and text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = text_fingerprints(batch.column(1), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = text_fingerprints(batch.column(2), shingle)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return picked.mapInArrow(work, "doc_id long, fp long")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), _row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
+    return picked.mapInArrow(work, "doc_id long, key binary, fp long")
+
+
+def _row_key(id_col: str, text_col: str) -> Column:
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\n"), text_of(text_col))))
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -150,6 +154,20 @@ def covering_links(nodes: DataFrame, radius: int = 2, pair_limit: int = PAIR_LIM
     return pairs.union(stars).distinct()
 
 
+def _labelled(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
+    """``(doc_id, key, fp, root, component_id)`` for every row."""
+    prints = written(fingerprints(docs, id_col, text_col))
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = components(covering_links(nodes.select("fp"), radius))
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+    )
+    rooted = written(rooted)
+    names = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    labels = written(rooted.select("fp", "root").join(names, "root"))
+    return prints.join(labels, "fp")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row per row of ``docs``.
 
@@ -161,30 +179,19 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     * ``component_id`` is the least non-null id of the component, null if it has
       none. Repeated ids and rows stay as they are. Other columns are ignored.
     """
-    prints = written(fingerprints(docs, id_col, text_col))
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(covering_links(nodes.select("fp"), radius))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    rooted = written(rooted)
-    names = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    labels = written(rooted.select("fp", "root").join(names, "root").select("fp", "component_id"))
-    return prints.join(labels, "fp").select(
+    return _labelled(docs, id_col, text_col, radius).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """``docs`` with one row of every component: that of the least id, null ids first; all columns kept."""
-    row = unused(docs, "__row")
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
-    groups = simhash_groups(rows, row, text_col, radius).select(F.col("doc_id").alias("__member"), "component_id")
-    ids = rows.select(F.col(row).alias("__member"), F.col(id_col).alias("__id"))
     chosen = (
-        ids.join(groups, "__member")
-        .groupBy("component_id")
-        .agg(F.min(F.struct("__id", "__member")).alias("first"))
-        .select(F.col("first.__member").alias(row))
+        _labelled(docs, id_col, text_col, radius)
+        .groupBy("root")
+        .agg(F.min(F.struct("doc_id", "key")).alias("first"))
+        .select(F.col("first.key").alias(key := unused(docs, "__key")))
     )
-    return rows.join(written(chosen), row, "left_semi").drop(row)
+    # Rows that agree in id and text meet on the way, and one of them stays.
+    keyed = docs.withColumn(key, _row_key(id_col, text_col))
+    return keyed.join(written(chosen), key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scriptorium.llm.common import blocks, text_of, unused
+from scriptorium.llm.common import Scratch, blocks, text_of, unused
 from scriptorium.llm.suffix_array import suffix_array
 from scriptorium.session import written
 
@@ -226,7 +226,7 @@ def _array_spans(slices: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(work, "name long, content long, a long, b long")
 
 
-def _digest_spans(slices: DataFrame, length: int) -> DataFrame:
+def _digest_spans(slices: DataFrame, length: int, store: Scratch) -> DataFrame:
     """``(name, content, a, b)`` for crowded names: windows dealt out by digest and counted."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,8 +240,8 @@ def _digest_spans(slices: DataFrame, length: int) -> DataFrame:
                     names=["name", "content", "a", "digest"],
                 )
 
-    windows = written(slices.select("name", "content", "raw").repartition("name", "content").mapInArrow(work, "name long, content long, a long, digest binary"))
-    often = written(windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
+    windows = store.written(slices.select("name", "content", "raw").repartition("name", "content").mapInArrow(work, "name long, content long, a long, digest binary"))
+    often = store.written(windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
     return windows.join(often, "digest").select("name", "content", "a", F.col("a").alias("b"))
 
 
@@ -249,27 +249,28 @@ def _row_key(sha: Column) -> Column:
     return F.substring(F.unhex(sha), 1, 16)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text", max_texts: int = MAX_TEXTS) -> DataFrame:
+def repeated_spans(docs: DataFrame, store: Scratch, length: int = LENGTH, text_col: str = "text", max_texts: int = MAX_TEXTS) -> DataFrame:
     """``(key, text, spans)`` for the distinct texts that hold a repeated string.
 
     ``key`` is the start of the text's sha256, ``spans`` the byte intervals ``(start, end)`` to
     remove, one per stretch; they may overlap. Every string of ``length`` bytes that
     starts at two or more places, in one text or several, copies of a text
-    included, is covered.
+    included, is covered. Tables on the way lie in ``store``; empty it when the
+    result has been written.
     """
     keyed = docs.select(text_of(text_col).alias("text")).withColumn("key", _row_key(F.sha2("text", 256)))
     long = keyed.where(F.octet_length("text") >= length)
-    rows = written(_stretch_rows(long.select("key", "text"), length))
+    rows = store.written(_stretch_rows(long.select("key", "text"), length))
     # Names that occur at least twice, then the stretches that have them.
-    names = written(rows.groupBy("name").agg(F.sum("n").alias("total")).where("total > 1").select("name"))
-    again = written(rows.join(names, "name"))
-    kinds = written(
+    names = store.written(rows.groupBy("name").agg(F.sum("n").alias("total")).where("total > 1").select("name"))
+    again = store.written(rows.join(names, "name"))
+    kinds = store.written(
         again.groupBy("name", "content", "run", "anchor").agg(F.sum("n").alias("n"), F.min(F.struct("key", "pos")).alias("at"))
     )
-    crowds = written(kinds.groupBy("name").agg(F.count("*").alias("texts")))
-    kinds = written(kinds.join(crowds, "name"))
+    crowds = store.written(kinds.groupBy("name").agg(F.count("*").alias("texts")))
+    kinds = store.written(kinds.join(crowds, "name"))
     # Copies of a text have the same stretches.
-    placed = written(
+    placed = store.written(
         again.select("key", "pos", "reach", "run", "name", "content").distinct()
         .join(kinds.select("name", "content", F.col("n").alias("times"), "texts"), ["name", "content"])
     )
@@ -278,7 +279,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
     )
     touched = placed.where("times > 1 OR texts > 1").select("key").distinct()
     # The texts that matter, once each.
-    texts = written(
+    texts = store.written(
         long.groupBy("key").agg(F.first("text").alias("text")).join(touched, "key").join(wanted, "key", "left")
     )
 
@@ -292,14 +293,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
                     names=["name", "content", "run", "anchor", "texts", "raw"],
                 )
 
-    slices = written(
+    slices = store.written(
         texts.where("wanted IS NOT NULL").select(F.encode("text", "UTF-8").alias("raw"), "wanted")
         .mapInArrow(cut, "name long, content long, run long, anchor long, texts long, raw binary")
     )
     found = _array_spans(slices.where(F.col("texts") <= max_texts), length)
     if slices.where(F.col("texts") > max_texts).limit(1).count():
-        found = found.union(_digest_spans(slices.where(F.col("texts") > max_texts), length))
-    found = written(found.groupBy("name", "content").agg(F.collect_list(F.struct("a", "b")).alias("runs")))
+        found = found.union(_digest_spans(slices.where(F.col("texts") > max_texts), length, store))
+    found = store.written(found.groupBy("name", "content").agg(F.collect_list(F.struct("a", "b")).alias("runs")))
 
     whole = placed.where("times > 1").select("key", F.array(F.struct(F.col("pos").alias("start"), (F.col("reach") + F.col("run") + length).alias("end"))).alias("spans"))
     single = placed.where("times = 1").select("key", "pos", "name", "content").join(found, ["name", "content"])
@@ -348,8 +349,10 @@ def removal_counts(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 names=["key", "n_removed", "n_spans", "kept"],
             )
 
-    spans = repeated_spans(docs, length, text_col, max_texts).select("key", F.encode("text", "UTF-8").alias("raw"), "spans")
+    store = Scratch(docs.sparkSession)
+    spans = repeated_spans(docs, store, length, text_col, max_texts).select("key", F.encode("text", "UTF-8").alias("raw"), "spans")
     counts = written(spans.mapInArrow(work, "key binary, n_removed long, n_spans long, kept string"))
+    store.empty()
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
     none = F.lit(0).cast("long")
@@ -381,8 +384,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
                 kept.append(b"".join([*parts, raw[at:]]).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=["key", "kept"])
 
-    spans = repeated_spans(docs, length, text_col, max_texts).select("key", F.encode("text", "UTF-8").alias("raw"), "spans")
+    store = Scratch(docs.sparkSession)
+    spans = repeated_spans(docs, store, length, text_col, max_texts).select("key", F.encode("text", "UTF-8").alias("raw"), "spans")
     kept = written(spans.mapInArrow(work, "key binary, kept string"))
+    store.empty()
     key, new = unused(docs, "__key"), unused(docs, "__kept")
     keyed = docs.withColumn(key, _row_key(F.sha2(text_of(text_col), 256)))
     joined = keyed.join(kept.select(F.col("key").alias(key), F.col("kept").alias(new)), key, "left")
