@@ -1,10 +1,10 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A seed is the hash of some tokens of a window, chosen by a fixed mask; the
-tokens the mask skips may differ. The two masks find every stretch of 13 tokens
-with at most two substitutions. Training windows are looked up among the seeds
-of the benchmark, and around every hit the two texts are laid side by side and
-the best-matching stretch is measured token by token.
+tokens the mask skips may differ. Every stretch that counts as an overlap,
+however its substitutions lie, holds a seed of some mask. Training windows are
+looked up among the seeds of the benchmark, and around every hit the two texts
+are laid side by side and the best-matching stretch is measured token by token.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 13
 SIMILARITY = 0.8
-MASKS = ((0, 2, 4, 5, 6, 7), (0, 1, 2, 5, 6, 8))
+# No stretch of any length with 0.8 equal tokens, 11 at least, avoids all of these.
+MASKS = ((0, 2, 4, 5, 6, 7), (0, 1, 2, 5, 6, 8), (0, 1, 2, 4, 9, 10), (0, 1, 3, 4, 5, 6))
 # For items shorter than the window.
-SHORT_MASK = (0, 1, 2, 3, 4)
-MIN_TOKENS = len(SHORT_MASK)
+SHORT_MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 2, 3, 4, 5), (0, 1, 2, 3, 5), (0, 1, 3, 4, 5), (0, 1, 2, 3, 6))
+MIN_TOKENS = len(SHORT_MASKS[0])
 # The benchmark is looked up in blocks of about so many bytes, one pass over the texts per block.
 BENCHMARK_BLOCK = 8 << 20
 
@@ -83,6 +84,11 @@ def seeds(hashes: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return _mixed(total)
 
 
+def _top(seed: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The leading bits of the seeds, as places of a table whose size is a power of two."""
+    return seed >> np.uint64(65 - len(table).bit_length())
+
+
 def _lowered(texts: pa.Array) -> pa.Array:
     return pa.array([(t or "").lower() for t in texts.to_pylist()], pa.large_string())
 
@@ -106,15 +112,15 @@ class SeedIndex:
         flat, firsts = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.array(first)
         of_token = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
         masks = []
-        for mask in (*MASKS, SHORT_MASK):
+        for mask, for_short in [(m, False) for m in MASKS] + [(m, True) for m in SHORT_MASKS]:
             seed = seeds(flat, mask)
             at = np.arange(len(seed))
             short = np.diff(firsts)[of_token[at]] < WINDOW if len(seed) else np.zeros(0, bool)
             own = of_token[at] == of_token[at + mask[-1]] if len(seed) else np.zeros(0, bool)
-            keep = np.flatnonzero(own & (short if mask is SHORT_MASK else True))
+            keep = np.flatnonzero(own & (short if for_short else True))
             keep = keep[np.argsort(seed[keep], kind="stable")]
-            table = np.zeros(1 << _TABLE_BITS, bool)
-            table[seed[keep] >> np.uint64(64 - _TABLE_BITS)] = True
+            table = np.zeros(1 << min(_TABLE_BITS, len(keep).bit_length() + 6), bool)
+            table[_top(seed[keep], table)] = True
             masks.append((mask, seed[keep], of_token[keep], keep - firsts[of_token[keep]], table))
         return cls(ids, flat, firsts, masks)
 
@@ -125,7 +131,7 @@ class SeedIndex:
             seed = seeds(hashes, mask)
             if not len(seed) or not len(keys):
                 continue
-            at = np.flatnonzero(table[seed >> np.uint64(64 - _TABLE_BITS)])
+            at = np.flatnonzero(table[_top(seed, table)])
             at = at[of_token[at] == of_token[at + mask[-1]]]
             low, high = np.searchsorted(keys, seed[at], "left"), np.searchsorted(keys, seed[at], "right")
             n = high - low

@@ -2,9 +2,11 @@
 
 import hashlib
 import itertools
+import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -25,6 +27,86 @@ def test_masks_find_two_substitutions_in_thirteen_tokens():
         assert any(not {start + o for o in mask} & set(errors) for mask in decontamination.MASKS for start in range(13 - mask[-1]))
 
 
+def patterns(size, need):
+    """The places of substitutions in all stretches of ``size`` tokens with equal ends that qualify with ``need`` matches."""
+    most = min(size - need, math.floor(size / 5))
+    return [set(c) for n in range(most + 1) for c in itertools.combinations(range(1, size - 1), n)]
+
+
+def seeded(size, errors, masks):
+    return any(not {start + o for o in mask} & errors for mask in masks for start in range(size - mask[-1]))
+
+
+def test_every_qualifying_pattern_has_a_seed():
+    lost = [(size, e) for size in range(11, 22) for e in patterns(size, max(11, math.ceil(size * 4 / 5))) if not seeded(size, e, decontamination.MASKS)]
+    for item in range(5, 13):
+        need = max(5, math.ceil(item * 4 / 5))
+        assert need == decontamination._needed(item)
+        lost += [
+            (size, e) for size in range(need, item + 1) for e in patterns(size, max(need, math.ceil(size * 4 / 5)))
+            if not seeded(size, e, decontamination.SHORT_MASKS)
+        ]
+    assert not lost
+
+
+def test_no_length_escapes_the_masks():
+    # Best sum of +1 per match and -4 per substitution on the way to every state (the last tokens,
+    # matches so far) without a seed; a stretch qualifies if its sum is not negative.
+    span = max(mask[-1] for mask in decontamination.MASKS)
+    states = np.arange(1 << span)
+    best = np.full((1 << span, 12), -(10**9))
+    best[0, 0] = 0
+    masks = [sum(1 << (mask[-1] - o) for o in mask) for mask in decontamination.MASKS]
+    for _ in range(500):
+        new = best.copy()
+        for bit, gain in ((0, -4), (1, 1)):
+            word = states << 1 | bit
+            free = ~np.any([(word & m) == m for m in masks], axis=0)
+            to, moved = word[free] & ((1 << span) - 1), best[free] + gain
+            if bit:
+                last = np.maximum(moved[:, 10], moved[:, 11])
+                moved = np.concatenate((np.full((len(moved), 1), -(10**9)), moved[:, :10], last[:, None]), axis=1)
+            np.maximum.at(new, to, moved)
+        if (new == best).all():
+            break
+        best = new
+    else:
+        raise AssertionError("sums grow without end")
+    assert best[:, 11].max() < 0
+
+
+def test_overlaps_match_brute_force_alignment(spark):
+    rnd = random.Random(11)
+    items = [words(rnd, rnd.choice([5, 6, 7, 8, 10, 12, 13, 15, 18, 21, 30]), VOCABULARY) for _ in range(60)]
+    # Three substitutions in 15 tokens, one in the middle of six.
+    items += [words(rnd, 15, VOCABULARY), words(rnd, 6, VOCABULARY)]
+    planted = [items[60].split(), items[61].split()]
+    for k in (7, 8, 12):
+        planted[0][k] = "other"
+    planted[1][3] = "other"
+    docs = [words(rnd, 8, VOCABULARY) + " " + " ".join(p) + " " + words(rnd, 8, VOCABULARY) for p in planted]
+    for _ in range(400):
+        own = rnd.choice(items).split()
+        own = [rnd.choice(VOCABULARY) if rnd.random() < 0.2 else w for w in own]
+        docs.append(words(rnd, rnd.randrange(5), VOCABULARY) + " " + " ".join(own) + " " + words(rnd, rnd.randrange(5), VOCABULARY))
+
+    def overlaps(text, item):
+        need = max(5, math.ceil(min(13, len(item)) * 4 / 5))
+        for shift in range(-len(item) + 1, len(text)):
+            equal = [0 <= shift + k < len(text) and text[shift + k] == w for k, w in enumerate(item)]
+            inside = [k for k in range(len(item)) if 0 <= shift + k < len(text)]
+            for a in inside:
+                for b in range(a + need, inside[-1] + 2):
+                    if sum(equal[a:b]) >= need and 5 * sum(equal[a:b]) >= 4 * (b - a):
+                        return True
+        return False
+
+    want = {(i, j) for i, d in enumerate(docs) for j, t in enumerate(items) if overlaps(d.split(), t.split())}
+    assert {(0, 60), (1, 61)} <= want
+    found = decontamination.find_overlaps(frame(spark, list(enumerate(docs))), spark.createDataFrame([*enumerate(items)], "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
+
+
 def test_finds_planted_overlaps_and_nothing_else(spark):
     rnd = random.Random(3)
     items = [words(rnd, n, VOCABULARY) for n in (40, 13, 20, 7, 5, 30, 30)] + ["", None, "one two", words(rnd, 3, VOCABULARY)]
