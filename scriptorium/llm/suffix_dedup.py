@@ -16,6 +16,7 @@ task: its windows are dealt out singly by their digests and counted.
 from __future__ import annotations
 
 import hashlib
+import re
 import sys
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scriptorium.llm.common import Scratch, blocks, text_of, unused
+from scriptorium.llm.common import SPACE, Scratch, blocks, text_of, unused
 from scriptorium.llm.suffix_array import suffix_array
 from scriptorium.session import written
 
@@ -37,6 +38,8 @@ UNIT = 16
 MAX_TEXTS = 8192
 # Bytes of the stretches that share one suffix array, beyond the last name.
 ARRAY_BYTES = 1 << 20
+# Bytes that stand for a word where words are compared; seven bits each, so that they are text.
+WORD_BYTES = 6
 # Longer texts are cut into segments that overlap by a window.
 SEGMENT = 1 << 21
 
@@ -362,33 +365,102 @@ def removal_counts(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", max_texts: int = MAX_TEXTS) -> DataFrame:
+class _Codes(dict):
+    """Words to the bytes that stand for them."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > 300_000:
+            self.clear()
+        code = self[word] = bytes(b & 0x7F for b in hashlib.blake2b(word, digest_size=WORD_BYTES).digest())
+        return code
+
+
+def _coded(docs: DataFrame, text_col: str) -> DataFrame:
+    """``(key, code)``, one row per row: the text's key and its words as codes of equal size, white space left out."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code_of = _Codes().__getitem__
+        for batch in batches:
+            for first, last, offsets, data in blocks(batch.column(1)):
+                raw = data.tobytes()
+                codes = [b"".join(map(code_of, raw[a:b].split())).decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(codes, pa.string())], names=["key", "code"])
+
+    text = text_of(text_col)
+    return docs.select(_row_key(F.sha2(text, 256)).alias("key"), text.alias("text")).mapInArrow(work, "key binary, code string")
+
+
+def _word_spans(docs: DataFrame, store: Scratch, words: int, text_col: str, max_texts: int) -> DataFrame:
+    """``(key, runs)`` for the distinct texts that hold a repeated run of ``words`` words: ``repeated_spans`` over their codes."""
+    coded = _coded(docs, text_col).where(F.octet_length("code") >= words * WORD_BYTES)
+    found = store.written(repeated_spans(coded, store, words * WORD_BYTES, "code", max_texts).select(F.col("key").alias("code_key"), F.col("spans").alias("runs")))
+    # Texts that differ in white space share a code.
+    texts = store.written(coded.select("key", _row_key(F.sha2("code", 256)).alias("code_key")).distinct())
+    return texts.join(found, "code_key").select("key", "runs")
+
+
+def _whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    for a, b in spans:
+        while a < b and raw[a] & 0xC0 == 0x80:
+            a += 1
+        while a < b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b -= 1
+        yield a, b
+
+
+def _of_words(raw: bytes, runs: list[dict]) -> Iterator[tuple[int, int]]:
+    """Intervals of codes as bytes of the text, from the first word's start to the last one's end.
+
+    Not merged before: the white space between two runs that touch belongs to neither.
+    """
+    places = [m.span() for m in re.finditer(rb"[^" + SPACE + rb"]+", raw)]
+    for run in runs:
+        first, last = -(-run["start"] // WORD_BYTES), run["end"] // WORD_BYTES
+        if first < last:
+            yield places[first][0], places[last - 1][1]
+
+
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, text_col: str = "text", max_texts: int = MAX_TEXTS, words: int | None = None
+) -> DataFrame:
     """``docs`` with the repeated strings taken out of their texts, all rows and columns kept.
 
     As ``removal_counts``, but a character of which only some bytes would go
-    stays whole. Null texts stay null.
+    stays whole. With ``words``, runs of so many words between ASCII white space
+    that start at two or more places go too, however few bytes they have and
+    whatever white space is between them; words are compared by 42 bits of a
+    digest. Both are judged on the input. Null texts stay null.
     """
+    at = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for text, own in zip(batch.column(1), batch.column(2), strict=True):
-                raw, parts, at = text.as_py(), [], 0
-                for a, b in _merged(own.as_py()):
-                    while a < b and raw[a] & 0xC0 == 0x80:
-                        a += 1
-                    while a < b < len(raw) and raw[b] & 0xC0 == 0x80:
-                        b -= 1
-                    parts.append(raw[at:a])
-                    at = b
-                kept.append(b"".join([*parts, raw[at:]]).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=["key", "kept"])
+            for text, own, runs in zip(batch.column(at), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
+                if not own.is_valid and not runs.is_valid:
+                    kept.append(text.as_py())
+                    continue
+                raw, parts, done = text.as_py().encode(), [], 0
+                spans = [*_whole_characters(raw, _merged(own.as_py() or [])), *_of_words(raw, runs.as_py() or [])]
+                for a, b in _merged([{"start": a, "end": b} for a, b in spans]):
+                    parts.append(raw[done:a])
+                    done = b
+                kept.append(b"".join([*parts, raw[done:]]).decode())
+            columns = batch.columns[:-2]
+            columns[at] = pa.array(kept, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-2])
 
     store = Scratch(docs.sparkSession)
-    spans = repeated_spans(docs, store, length, text_col, max_texts).select("key", F.encode("text", "UTF-8").alias("raw"), "spans")
-    kept = written(spans.mapInArrow(work, "key binary, kept string"))
+    cuts = written(repeated_spans(docs, store, length, text_col, max_texts).select("key", "spans"))
     store.empty()
-    key, new = unused(docs, "__key"), unused(docs, "__kept")
+    if words:
+        store = Scratch(docs.sparkSession)
+        runs = written(_word_spans(docs, store, words, text_col, max_texts))
+        store.empty()
+        cuts = cuts.join(runs, "key", "full")
+    else:
+        cuts = cuts.withColumn("runs", F.lit(None).cast(cuts.schema["spans"].dataType))
+    key, spans, runs = unused(docs, "__key"), unused(docs, "__spans"), unused(docs, "__runs")
     keyed = docs.withColumn(key, _row_key(F.sha2(text_of(text_col), 256)))
-    joined = keyed.join(kept.select(F.col("key").alias(key), F.col("kept").alias(new)), key, "left")
-    return joined.withColumn(text_col, F.coalesce(new, text_col)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = keyed.join(cuts.select(F.col("key").alias(key), F.col("spans").alias(spans), F.col("runs").alias(runs)), key, "left")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], spans, runs).mapInArrow(work, docs.schema)

@@ -1,11 +1,13 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from scriptorium.llm import suffix_dedup
 from scriptorium.llm.suffix_array import suffix_array
 from tests.llm.helpers import frame, hard_texts
@@ -74,6 +76,55 @@ def test_texts_without_repeats(spark):
         assert got[i] == (None if text is None else kept)
 
 
+def word_mask(texts, n):
+    """Bytes under runs of ``n`` words that start at two or more places."""
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    words = [(t or "").encode().split() for t in texts]
+    counts = Counter(tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1))
+    masks = []
+    for text, own, w in zip(texts, places, words, strict=True):
+        mask = np.zeros(len((text or "").encode()), bool)
+        for i in range(len(w) - n + 1):
+            if counts[tuple(w[i : i + n])] > 1:
+                mask[own[i][0] : own[i + n - 1][1]] = True
+        masks.append(mask)
+    return masks
+
+
+@pytest.mark.parametrize("max_texts", [8192, 2])
+def test_runs_of_words_against_brute_force(spark, max_texts):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdeé") for _ in range(rnd.choice([1, 1, 2, 12])))
+    passages = [[word() for _ in range(n)] for n in (9, 10, 11, 14, 30)]
+    texts = hard_texts(4) + ["x " * 10, "y " * 11]
+    for _ in range(80):
+        parts = [w for _ in range(3) for w in ([word() for _ in range(rnd.randrange(12))] + rnd.choice(passages)[rnd.randrange(3) :])]
+        texts.append("".join(w + rnd.choice([" ", " ", "\n", " \t "]) for w in parts))
+    docs = frame(spark, list(enumerate(texts + texts[-3:])))
+    texts += texts[-3:]
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.remove_repeats(docs, 60, max_texts=max_texts, words=10).collect()}
+    for i, (text, raw, mask, by_word) in enumerate(zip(texts, *removed_mask(texts, 60), word_mask(texts, 10), strict=True)):
+        kept, at = "", 0
+        for c in text or "":
+            size = len(c.encode())
+            if not (mask[at : at + size].all() or by_word[at : at + size].all()):
+                kept += c
+            at += size
+        assert got[i] == (None if text is None else kept)
+
+
+def test_stage_takes_passages_of_51_short_words(spark):
+    rnd = random.Random(6)
+    word = lambda: rnd.choice("abcdefghij") + rnd.choice("aeiou")
+    passage, short = " ".join(word() for _ in range(51)), " ".join(word() for _ in range(50))
+    assert len(passage.encode()) < suffix_dedup.LENGTH
+    texts = [f"begin{i} {passage} mid{i} {short} end{i}" for i in range(3)] + [f"begin3 {passage.replace(' ', chr(10))} end3"]
+    docs = frame(spark, [(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.repeat_removal(spark, docs, "").collect()}
+    want = [f"begin{i}  mid{i} {short} end{i}" for i in range(3)] + ["begin3  end3"]
+    assert got == {i: (t, len(t)) for i, t in enumerate(want)}
+
+
 def test_empty_table(spark):
     docs = frame(spark, [(1, "x")]).where(F.lit(False))
     assert suffix_dedup.removal_counts(docs).count() == 0
