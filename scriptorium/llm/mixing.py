@@ -25,6 +25,8 @@ TOTAL = 1.5
 REPEAT = 2
 # The schedule has about so many slots; a block has at least one word.
 SLOTS = 1_000_000
+# Where every source has its own block: at least so many blocks per source, or blocks of one word.
+OWN_BLOCKS = 2000
 # Cells of the shuffled order of a source, of the slots, and of the unit interval.
 ORDER_CELLS = 4096
 SLOT_CELL = 4096
@@ -120,6 +122,36 @@ def schedule(targets: DataFrame, block: int, words: float, repeat: int = REPEAT)
     )
 
 
+def own_draws(targets: DataFrame, repeat: int = REPEAT) -> DataFrame:
+    """``(place, block, times)`` where every source has blocks of its own ``block_words``.
+
+    A source's share of the slots is the number it needs to reach its target.
+    What the points give beyond that is left out, what they fail to give comes
+    as its next ranks, so every source ends within half a block of its target.
+    """
+    blocks = F.ceil(F.col("source_size") / F.col("block_words"))
+    # A whole round is the source itself, short last block included.
+    rounds = F.floor(F.col("target") / F.col("source_size"))
+    rest = F.floor((F.col("target") - rounds * F.col("source_size")) / F.col("block_words") + 0.5)
+    # In blocks instead of words, so that a block of the schedule is one unit.
+    needs = written(
+        targets.where("target > 0").select(
+            "place", blocks.cast("long").alias("source_size"), F.least(rounds * blocks + rest, blocks * repeat).cast("double").alias("target")
+        )
+    )
+    n = float(needs.agg(F.sum("target").alias("n")).first()["n"] or 0)
+    drawn = schedule(needs, 1, n, repeat).select("place", "rank")
+    given = drawn.groupBy("place").agg(F.count("*").alias("given"))
+    missing = (
+        needs.join(given, "place", "left")
+        .select("place", "target", F.coalesce("given", F.lit(0)).cast("long").alias("given"))
+        .where("given < target")
+        .select("place", F.explode(F.sequence("given", F.col("target").cast("long") - 1)).alias("rank"))
+    )
+    ranks = drawn.unionByName(missing).join(needs, "place").where("rank < target")
+    return ranks.groupBy("place", (F.col("rank") % F.col("source_size")).alias("block")).agg(F.count("*").alias("times"))
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -130,6 +162,7 @@ def mix_sources(
     repeat: int = REPEAT,
     slots: int = SLOTS,
     key_col: str | None = None,
+    own_blocks: int | None = None,
 ) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)``, one row per row of ``docs``.
 
@@ -139,14 +172,23 @@ def mix_sources(
     are ids like others; rows that agree in id and text share an order. A rerun
     takes the same blocks. Other columns are ignored, but ``key_col`` is copied
     as a last column ``key`` if it is named.
+
+    All sources share one block size, that of ``slots`` blocks in the mix, so a
+    source of few blocks can miss its target by a large part of it. With
+    ``own_blocks``, a source's blocks have at most that share of its size and of
+    its target (one word at least), and every source ends within half a block.
     """
     rows = written(sized(docs, id_col, text_col, source_col, key_col))
     targets = written(source_targets(rows, weights, total, repeat))
     # What the targets sum up to, without rounding on the way.
     words = min(total, repeat) * float(targets.agg(F.sum("source_size").alias("n")).first()["n"] or 0)
     block = max(1, math.ceil(words / slots))
+    size = F.lit(block).cast("long")
+    if own_blocks:
+        size = F.greatest(F.lit(1), F.least(size, F.floor(F.least("source_size", "target") / own_blocks).cast("long")))
+    targets = targets.withColumn("block_words", size)
 
-    placed = rows.join(targets.select("place", F.col("source").alias("__s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("__s"))).withColumn(
+    placed = rows.join(targets.select("place", F.col("source").alias("__s"), "source_size", "target", "block_words"), F.col("source").eqNullSafe(F.col("__s"))).withColumn(
         "cell", F.conv(F.substring("shuffle", 1, 6), 16, 10).cast("int") % ORDER_CELLS
     )
     cells = placed.groupBy("place", "cell").agg(F.sum("size").alias("n"))
@@ -157,15 +199,18 @@ def mix_sources(
     placed = written(
         placed.join(starts, ["place", "cell"])
         .withColumn("begin", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .select("doc_id", "size", "source_size", "target", "place", "begin", "key", F.monotonically_increasing_id().alias("row"))
+        .select("doc_id", "size", "source_size", "target", "place", "block_words", "begin", "key", F.monotonically_increasing_id().alias("row"))
     )
-    end = F.col("begin") + F.col("size")
+    end, block_of = F.col("begin") + F.col("size"), F.col("block_words")
     pieces = (
         placed.where("size > 0")
-        .select("row", "place", "begin", end.alias("end"), F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((end - 1) / block))).alias("block"))
-        .select("row", "place", "block", (F.least("end", (F.col("block") + 1) * block) - F.greatest("begin", F.col("block") * block)).alias("words"))
+        .select("row", "place", "block_words", "begin", end.alias("end"), F.explode(F.sequence(F.floor(F.col("begin") / block_of), F.floor((end - 1) / block_of))).alias("block"))
+        .select("row", "place", "block", (F.least("end", (F.col("block") + 1) * block_of) - F.greatest("begin", F.col("block") * block_of)).alias("words"))
     )
-    draws = schedule(targets, block, words, repeat).groupBy("place", "block").agg(F.count("*").alias("times"))
+    if own_blocks:
+        draws = own_draws(targets, repeat)
+    else:
+        draws = schedule(targets, block, words, repeat).groupBy("place", "block").agg(F.count("*").alias("times"))
     taken = pieces.join(draws, ["place", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     return placed.join(taken, "row", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *(["key"] if key_col else [])

@@ -190,6 +190,23 @@ def test_mix_follows_targets(spark, seed, slots):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_small_sources_reach_their_targets_beside_a_hot_one(spark):
+    # With 20 slots a block of the mix is far larger than the small sources, as in a large corpus.
+    rnd = random.Random(5)
+    small = {"a": 300, "b": 100, "d": 800, "e": 7, "f": 1}
+    rows = [(i, words(rnd, 40), "hot") for i in range(300)]
+    rows += [(1000 + i, words(rnd, 1), s) for s, n in small.items() for i in range(n)]
+    docs = frame(spark, rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs, slots=20, key_col="source", own_blocks=mixing.OWN_BLOCKS).collect()
+    taken, target = defaultdict(int), {}
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["key"]] += r["taken"]
+        target[r["key"]] = r["target"]
+    assert target == pytest.approx(brute_targets({"hot": 12_000, **small}))
+    assert all(abs(taken[s] - t) <= max(0.5, 0.001 * t) for s, t in target.items()), (taken, target)
+
+
 def test_slots_spread_evenly(spark):
     targets = spark.createDataFrame([(1, "a", 10_000, 6000.0), (2, "b", 10_000, 3000.0), (3, "c", 10_000, 1000.0)], "place int, source string, source_size long, target double")
     places = [r["place"] for r in mixing.schedule(targets, 1, 10_000.0).orderBy("slot").collect()]
