@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import decontamination, fingerprints, language_id, lm_scoring, mixing, quality, simhash, suffix_dedup, token_counts, url_filter
+from scriptorium.llm import decontamination, divergence, fingerprints, language_id, lm_scoring, mixing, quality, simhash, suffix_dedup, token_counts, url_filter
 from scriptorium.llm.common import fold
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -74,6 +74,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_counts(_table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(_table(spark, sf_dir, "documents"))
+
+
 _OP9 = r"""
 WITH rules(r_host, r_path, r_verdict) AS (VALUES
   ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
@@ -164,4 +168,5 @@ QUERIES = {
     "op8_language_id": (op8_language_id, None),
     "op9_url_filter": (op9_url_filter, _OP9),
     "op10_suffix_dedup": (op10_suffix_dedup, _OP10),
+    "op11_divergence": (op11_divergence, divergence.SQL),
 }
