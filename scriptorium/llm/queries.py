@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import decontamination, divergence, fingerprints, language_id, lm_scoring, mixing, quality, simhash, suffix_dedup, token_counts, url_filter
+from scriptorium.llm import decontamination, divergence, fingerprints, language_id, lm_scoring, mixing, prefix_trie, quality, simhash, suffix_dedup, token_counts, url_filter
 from scriptorium.llm.common import fold
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -78,6 +78,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 _OP9 = r"""
 WITH rules(r_host, r_path, r_verdict) AS (VALUES
   ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
@@ -169,4 +173,5 @@ QUERIES = {
     "op9_url_filter": (op9_url_filter, _OP9),
     "op10_suffix_dedup": (op10_suffix_dedup, _OP10),
     "op11_divergence": (op11_divergence, divergence.SQL),
+    "op12_prefix_trie": (op12_prefix_trie, prefix_trie.SQL),
 }
