@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import decontamination, divergence, fingerprints, language_id, lm_scoring, mixing, prefix_trie, quality, simhash, suffix_dedup, token_counts, url_filter
+from scriptorium.llm import decontamination, divergence, fingerprints, jaccard_join, language_id, lm_scoring, mixing, prefix_trie, quality, simhash, suffix_dedup, token_counts, url_filter
 from scriptorium.llm.common import fold
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -82,6 +82,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
 _OP9 = r"""
 WITH rules(r_host, r_path, r_verdict) AS (VALUES
   ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
@@ -174,4 +178,5 @@ QUERIES = {
     "op10_suffix_dedup": (op10_suffix_dedup, _OP10),
     "op11_divergence": (op11_divergence, divergence.SQL),
     "op12_prefix_trie": (op12_prefix_trie, prefix_trie.SQL),
+    "op13_jaccard_join": (op13_jaccard_join, jaccard_join.SQL),
 }
