@@ -3,7 +3,8 @@
 A document can only be linked if nearly all of its shingles occur in other documents.
 So shingles are first counted: every run of texts sends short hashes to buckets, and
 what comes back is how many shingles of each document are known elsewhere. Documents
-that pass are collapsed to classes of equal sets and get exact inverted lists.
+that pass are collapsed to classes of equal sets, counted once more among these, and
+get exact inverted lists.
 
 Classes that share a rare shingle at positions that leave room for enough others meet
 in blocks. A search in a block is DivideSkip: the query's longest inverted lists are
@@ -39,7 +40,9 @@ register_pickle_by_value(sys.modules[__name__])
 WORDS = 4
 PERCENT = 85
 # Hashes that one bucket counts, on average.
-BUCKET = 1 << 22
+BUCKET = 1 << 21
+# Texts of one run; their numbers have 16 bits.
+MOST_ROWS = 1 << 16
 # Shingles of the classes that one block holds, on average.
 BLOCK = 1 << 20
 # How much dearer a step of the heap is than one of a binary search; decides how many lists are long.
@@ -94,12 +97,13 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, width: int = WORDS) -> t
 
 def _runs(texts: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[bytes]]]:
     """Per run of texts: first row, rows, where each row's hashes begin, the hashes, and a digest of each set."""
-    for first, last, offsets, data in blocks(texts):
-        row, hashes = shingle_sets(offsets, data, width)
-        edges = np.searchsorted(row, np.arange(last - first + 1))
-        raw = hashes.tobytes()
-        digests = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-        yield first, last - first, edges, hashes, digests
+    for part in range(0, len(texts), MOST_ROWS):
+        for first, last, offsets, data in blocks(texts.slice(part, MOST_ROWS)):
+            row, hashes = shingle_sets(offsets, data, width)
+            edges = np.searchsorted(row, np.arange(last - first + 1))
+            raw = hashes.tobytes()
+            digests = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            yield part + first, last - first, edges, hashes, digests
 
 
 def _longs(digests: list[bytes]) -> np.ndarray:
@@ -123,71 +127,149 @@ def set_prints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
     return picked.mapInArrow(work, f"doc_id {schema}, text_hash long, set_a long, set_b long, n long")
 
 
-def _known_shingles(docs: DataFrame, text_col: str, width: int, bits: int) -> DataFrame:
-    """``(set_a, known)``: at least as many as the set's shingles that another set has.
-
-    Hashes are cut to 32 bits within their bucket, which can only raise the numbers. A
-    shingle of several texts of a run is sent once, so a frequent one is not many entries.
+_SENT = "run binary, bucket int, sets binary, members binary, counts binary, hashes binary, shared binary, rows int"
+# Bytes of a hash within its bucket.
+REST = 3
+
+
+def _run_rows(keys: np.ndarray, edges: np.ndarray, hashes: np.ndarray, bits: int) -> Iterator[tuple]:
+    """Rows of ``_SENT`` for at most 65 536 sets: a head, and the set members of each bucket with their hashes."""
+    keys, pick = np.unique(keys, return_index=True)
+    sizes = np.diff(edges)[pick]
+    keys, pick, sizes = keys[sizes > 0], pick[sizes > 0], sizes[sizes > 0]
+    if not len(pick):
+        return
+    own = np.concatenate([hashes[edges[i] : edges[i + 1]] for i in pick.tolist()])
+    owner = np.repeat(np.arange(len(pick)), sizes)
+    _, back, times = np.unique(own, return_inverse=True, return_counts=True)
+    single = times[back] == 1
+    # What sets of the run share is known already, and other runs need it once.
+    local = np.bincount(owner[~single], minlength=len(pick))
+    shared = np.unique(own[~single])
+    lone, lone_owner = own[single], owner[single]
+    order = np.lexsort((lone_owner, _bucket(lone, bits)))
+    lone, lone_owner = lone[order], lone_owner[order]
+    at, shared_at = _bucket(lone, bits), _bucket(shared, bits)
+    buckets = np.unique(np.concatenate((at, shared_at)))
+    run = hashlib.blake2b(keys.tobytes(), digest_size=16).digest()
+    yield run, -1 - int(keys[0] % max(1024, 1 << bits)), keys.tobytes(), b"", local.astype(np.int64).tobytes(), b"", b"", len(buckets)
+    for b in buckets.tolist():
+        x, y = np.searchsorted(at, [b, b + 1])
+        members, counts = np.unique(lone_owner[x:y], return_counts=True)
+        i, j = np.searchsorted(shared_at, [b, b + 1])
+        yield run, b, b"", members.astype(np.uint16).tobytes(), _packed(counts), _cut(lone[x:y], bits), _cut(shared[i:j], bits), 0
+
+
+def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+
+
+def _cut(hashes: np.ndarray, bits: int) -> bytes:
+    rest = (hashes >> np.uint64(64 - bits - 8 * REST)).astype("<u4")
+    return rest.view(np.uint8).reshape(-1, 4)[:, :REST].tobytes()
+
+
+def _uncut(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // REST, 4), np.uint8)
+    wide[:, :REST] = np.frombuffer(raw, np.uint8).reshape(-1, REST)
+    return wide.view("<u4").ravel()
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return counts.astype(np.uint16 if not len(counts) or counts.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint32 if len(raw) > 2 * n else np.uint16).astype(np.int64)
+
+
+def _count_bucket(key: tuple, table: pa.Table) -> pa.Table:
+    """How many hashes of each member are in the bucket more than once; heads pass through."""
+    rows = table.to_pylist()
+    if key[0].as_py() < 0:
+        return table.select(["run", "sets", "members", "counts", "rows"])
+    members = [np.frombuffer(r["members"], np.uint16) for r in rows]
+    counts = [_unpacked(r["counts"], len(m)) for r, m in zip(rows, members, strict=True)]
+    lone = [_uncut(r["hashes"]) for r in rows]
+    shared = np.unique(np.concatenate([_uncut(r["shared"]) for r in rows]))
+    whole = np.concatenate(lone)
+    _, back, times = np.unique(whole, return_inverse=True, return_counts=True)
+    again = (times[back] > 1) | np.isin(whole, shared)
+    out, at = [], 0
+    for m, c, h in zip(members, counts, lone, strict=True):
+        known = np.bincount(np.repeat(np.arange(len(m)), c)[again[at : at + len(h)]], minlength=len(m))
+        at += len(h)
+        out.append((m[known > 0].tobytes(), _packed(known[known > 0])))
+    return pa.table({
+        "run": table["run"], "sets": pa.array([b""] * len(rows), pa.binary()), "members": pa.array([o[0] for o in out], pa.binary()),
+        "counts": pa.array([o[1] for o in out], pa.binary()), "rows": table["rows"],
+    })
+
+
+def _sum_run(key: tuple, table: pa.Table) -> pa.Table:
+    """The sums over the buckets of a run. Equal runs have equal rows.
+
+    A run of which rows are missing, because a task that was lost read its rows in another order, lets all of its sets pass.
+    """
+    rows = table.to_pylist()
+    heads = [r for r in rows if r["sets"]]
+    if not heads:
+        return pa.table({"set_a": pa.array([], pa.int64()), "known": pa.array([], pa.int64())})
+    sets = np.frombuffer(heads[0]["sets"], np.int64)
+    if len(rows) != len(heads) * (1 + heads[0]["rows"]):
+        return pa.table({"set_a": sets, "known": np.full(len(sets), 1 << 40)})
+    known = np.zeros(len(sets), np.int64)
+    for r in rows:
+        if not r["sets"]:
+            members = np.frombuffer(r["members"], np.uint16)
+            known[members] += _unpacked(r["counts"], len(members))
+    return pa.table({"set_a": sets, "known": known // len(heads) + np.frombuffer(heads[0]["counts"], np.int64)})
+
+
+def _known_shingles(runs: DataFrame) -> DataFrame:
+    """``(set_a, known)`` from rows of ``_SENT``: at least as many as the set's shingles that other texts have.
+
+    Hashes are cut within their bucket, which can only raise the numbers. A shingle of
+    several sets of a run is sent once, so a frequent one is not many entries, and what
+    comes back for a run and a bucket is one row.
     """
+    counted = runs.groupBy("bucket").applyInArrow(_count_bucket, "run binary, sets binary, members binary, counts binary, rows int")
+    return counted.groupBy("run").applyInArrow(_sum_run, "set_a long, known long").groupBy("set_a").agg(F.max("known").alias("known"))
+
+
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.binary(), pa.int32(), *[pa.binary()] * 5, pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in _SENT.split(", ")])
 
-    spread = max(1024, 1 << bits)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _text_runs(docs: DataFrame, text_col: str, width: int, bits: int) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, rows, edges, hashes, digests in _runs(batch.column(0), width):
-                keys = _longs(digests)[:, 0]
-                distinct, pick = np.unique(keys, return_index=True)
-                sizes = np.diff(edges)
-                pick = pick[sizes[pick] > 0]
-                if not len(pick):
-                    continue
-                own = np.concatenate([hashes[edges[i] : edges[i + 1]] for i in pick.tolist()])
-                owner = np.repeat(np.arange(len(pick)), sizes[pick])
-                _, back, times = np.unique(own, return_inverse=True, return_counts=True)
-                single = times[back] == 1
-                local = np.bincount(owner[~single], minlength=len(pick))
-                shared = np.unique(own[~single])
-                lone, lone_owner = own[single], owner[single]
-                bucket_of = [(h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64) for h in (lone, shared)]
-                order = np.lexsort((lone_owner, bucket_of[0]))
-                lone, lone_owner, lone_bucket = lone[order], lone_owner[order], bucket_of[0][order]
-                out = [(-1 - int(keys[pick[0]] % spread), keys[pick], local, b"", b"")]
-                for b in np.unique(np.concatenate(bucket_of)).tolist():
-                    x, y = np.searchsorted(lone_bucket, [b, b + 1])
-                    members, counts = np.unique(lone_owner[x:y], return_counts=True)
-                    rest = shared[bucket_of[1] == b]
-                    out.append((b, keys[pick][members], counts, _cut(lone[x:y]), _cut(rest)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([o[0] for o in out], pa.int32()), pa.array([o[1].astype(np.int64).tobytes() for o in out], pa.binary()),
-                     pa.array([o[2].astype(np.int32).tobytes() for o in out], pa.binary()), pa.array([o[3] for o in out], pa.binary()), pa.array([o[4] for o in out], pa.binary())],
-                    names=["bucket", "sets", "counts", "lone", "shared"],
-                )
-
-    def _cut(h: np.ndarray) -> bytes:
-        return (h >> np.uint64(32 - bits)).astype(np.uint32).tobytes()
-
-    def count(key: tuple, table: pa.Table) -> pa.Table:
-        if key[0].as_py() < 0:
-            # What a run knows by itself.
-            sets = np.concatenate([np.frombuffer(s, np.int64) for s in table["sets"].to_pylist()])
-            found = np.concatenate([np.frombuffer(c, np.int32) for c in table["counts"].to_pylist()]).astype(np.int64)
-            return pa.table({"set_a": sets, "elsewhere": np.zeros(len(sets), np.int64), "near_by": found})
-        sets = np.concatenate([np.frombuffer(s, np.int64) for s in table["sets"].to_pylist()])
-        counts = np.concatenate([np.frombuffer(c, np.int32) for c in table["counts"].to_pylist()])
-        lone = np.concatenate([np.frombuffer(x, np.uint32) for x in table["lone"].to_pylist()])
-        # Copies of a set count once.
-        new = np.zeros(len(sets), bool)
-        new[np.unique(sets, return_index=True)[1]] = True
-        lone, owners, counts = lone[np.repeat(new, counts)], sets[new], counts[new]
-        shared = np.unique(np.concatenate([np.frombuffer(s, np.uint32) for s in table["shared"].to_pylist()]))
-        _, back, times = np.unique(lone, return_inverse=True, return_counts=True)
-        again = (times[back] > 1) | np.isin(lone, shared)
-        of = np.repeat(np.arange(len(owners)), counts)
-        return pa.table({"set_a": owners, "elsewhere": np.bincount(of[again], minlength=len(owners)), "near_by": np.zeros(len(owners), np.int64)})
-
-    sent = docs.select(text_of(text_col).alias("text")).mapInArrow(send, "bucket int, sets binary, counts binary, lone binary, shared binary")
-    counted = sent.groupBy("bucket").applyInArrow(count, "set_a long, elsewhere long, near_by long")
-    return counted.groupBy("set_a").agg((F.sum("elsewhere") + F.max("near_by")).alias("known"))
+            for _, _, edges, hashes, digests in _runs(batch.column(0), width):
+                rows = list(_run_rows(_longs(digests)[:, 0], edges, hashes, bits))
+                if rows:
+                    yield _sent(rows)
+
+    return docs.select(text_of(text_col).alias("text")).mapInArrow(work, _SENT)
+
+
+def _class_runs(classes: DataFrame, bits: int) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), MOST_ROWS):
+                part = batch.slice(at, MOST_ROWS)
+                lists = part.column(1)
+                edges = lists.offsets.to_numpy().astype(np.int64)
+                hashes = lists.values.to_numpy().view(np.uint64)[edges[0] : edges[-1]]
+                rows = list(_run_rows(part.column(0).to_numpy(), edges - edges[0], hashes, bits))
+                if rows:
+                    yield _sent(rows)
+
+    return classes.select("set_a", "hashes").mapInArrow(work, _SENT)
+
+
+def _bits(total: int | None, bucket: int) -> int:
+    return ((total or 0) // bucket).bit_length()
 
 
 def t_occurrence(query: int, tokens: list[np.ndarray], index: tuple[np.ndarray, np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -360,9 +442,11 @@ def jaccard_groups(
     sets = written(
         prints.where("n > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min("text_hash").alias("text_hash"), F.max("n").alias("n"))
     )
-    total = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
-    known = _known_shingles(docs, text_col, width, max(0, (total // bucket).bit_length()))
-    passed = written(sets.join(known, "set_a").where(F.col("known") * 100 >= F.col("n") * percent).select("set_a", "set_b", "text_hash"))
+    bits = _bits(sets.agg(F.sum("n").alias("n")).first()["n"], bucket)
+    known = _known_shingles(_text_runs(docs, text_col, width, bits))
+    # A set without a number counts as known.
+    enough = F.coalesce(F.col("known") * 100 >= F.col("n") * percent, F.lit(True))
+    passed = written(sets.join(known, "set_a", "left").where(enough).select("text_hash"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -374,10 +458,13 @@ def jaccard_groups(
                 )
 
     texts = docs.select(text_of(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    texts = texts.join(passed.select("text_hash"), "text_hash", "left_semi").select("text")
+    texts = texts.join(passed, "text_hash", "left_semi").select("text")
     full = texts.mapInArrow(work, "set_a long, set_b long, n long, hashes array<long>").where("n > 0").dropDuplicates(["set_a", "set_b"])
     classes = written(full.withColumn("id", F.monotonically_increasing_id()))
-    roots = similar_classes(classes.select("id", "n", "hashes"), percent, block)
+    # Once more without copies, which know all shingles of each other.
+    known = _known_shingles(_class_runs(classes, _bits(classes.agg(F.sum("n").alias("n")).first()["n"], bucket)))
+    passed = written(classes.select("set_a", "id", "n").join(known, "set_a", "left").where(enough).select("id"))
+    roots = similar_classes(classes.select("id", "n", "hashes").join(passed, "id", "left_semi"), percent, block)
     linked = classes.select("set_a", "set_b", "id").join(roots.withColumnRenamed("node", "id"), "id").select("set_a", "set_b", "root")
     rooted = written(sets.join(linked, ["set_a", "set_b"]))
     firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
