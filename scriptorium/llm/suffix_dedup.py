@@ -40,8 +40,9 @@ MAX_TEXTS = 8192
 ARRAY_BYTES = 1 << 20
 # Bytes that stand for a word where words are compared; seven bits each, so that they are text.
 WORD_BYTES = 6
-# Longer texts are cut into segments that overlap by a window.
-SEGMENT = 1 << 21
+# Texts are handled in runs of this size, longer ones cut into segments that overlap by a window;
+# a run takes about a hundred times its size while it is cut into stretches.
+SEGMENT = 1 << 18
 
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -68,7 +69,10 @@ class _Hashes:
     """Hashes of any stretch of ``data``, independent of where it lies."""
 
     def __init__(self, data: np.ndarray, seed: int) -> None:
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_byte_values(seed)[data] * _powers(_BASE, len(data)))))
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        scaled = _powers(_BASE, len(data))
+        scaled *= _byte_values(seed)[data]
+        np.cumsum(scaled, out=self.sums[1:])
         self.inverse = _powers(_INVERSE, len(data) + 1)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -98,7 +102,9 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
     hashes = _Hashes(data, 1)
     at = np.arange(len(data) - GRAM + 1)
     grams = hashes.of(at, at + GRAM)
+    del hashes
     least = _sliding_least((grams & ~_PLACE) | at.astype(np.uint64), length - GRAM + 1)
+    del at
     row = np.repeat(np.arange(len(sizes)), n_windows)
     start = np.arange(total) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows) + offsets[:-1][row]
     place = (least[start] & _PLACE).astype(np.int64)
