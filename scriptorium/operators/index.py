@@ -268,13 +268,16 @@ def superseded(posts: DataFrame) -> DataFrame:
     return posts.groupBy("slug").agg((F.count("*") - 1).alias("n_superseded")).where("n_superseded > 0")
 
 
-def ingest_posts(posts: DataFrame, dictionary: DataFrame, *, vectors: DataFrame | None = None, **checks: bool) -> tuple[DataFrame, DataFrame]:
+def ingest_posts(
+    posts: DataFrame, dictionary: DataFrame, *, vectors: DataFrame | None = None, one_each: bool = False, **checks: bool
+) -> tuple[DataFrame, DataFrame]:
     """``(index rows, failed posts)``. Posts are tagged once and chunked in place.
 
     Of valid posts with the same slug one is indexed, so chunk ids are unique.
+    ``one_each`` says that no slug repeats, which spares the search for those that do.
     """
     valid, failed = split_valid(validate_posts(posts, **checks))
-    tagged = tag_entities(one_per_slug(valid), dictionary)
+    tagged = tag_entities(valid if one_each else one_per_slug(valid), dictionary)
     carried = tuple(c for c in _CARRIED if c in posts.columns) + tuple(f"entities_{t}" for t in ENTITY_TYPES)
     chunks = chunking.make_chunks(tagged, *chunking.NEWS_LIMITS, keep=carried)
     rows = with_vectors(news_payload(chunks), vectors)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from scriptorium.operators import context, graph, index, media, normalize, qa, refresh, routing, search, tagging, validate
+from scriptorium.operators import buckets, context, graph, index, media, normalize, qa, refresh, routing, search, tagging, validate
 from scriptorium.session import written
 from scriptorium.sources import writers
 
@@ -167,6 +167,132 @@ def refresh_corpus(
     return Refreshed(new_posts, new_index, replaced, failed, report)
 
 
+def refresh_stored(
+    posts: DataFrame, layout: buckets.Layout, incoming: DataFrame, dictionary: DataFrame, *, order: list[Column] | None = None
+) -> tuple[DataFrame, buckets.Change]:
+    """:func:`refresh_corpus` for an index on disk: the new posts, and what changed in the index at ``layout``.
+
+    Only the buckets that hold replaced slugs or receive new chunks are read and written.
+    """
+    fresh = written(index.latest(incoming, "slug", order or index.slug_order(incoming)))
+    sources = written(incoming.select("source_document").distinct())
+    gone = refresh.match_existing(posts, sources).select("slug").union(fresh.select("slug"))
+    rows, _ = index.ingest_posts(fresh, dictionary, one_each=True)
+    changed = buckets.change_index(posts.sparkSession, layout, rows, gone)
+    return index.upsert(refresh.without_sources(posts, sources), fresh, "slug"), changed
+
+
+@dataclass(frozen=True)
+class RefreshOptions:
+    """Which stages of :func:`refresh_archive` run."""
+
+    dry_run: bool = False
+    backup: bool = True
+    delete_existing: bool = True
+    reinsert: bool = True
+    regenerate: bool = True
+    cms_manifest: bool = True
+    base_url: str = ""
+    title: str = "News"
+
+
+@dataclass(frozen=True)
+class Archive:
+    """``records`` are the incoming posts as they were published, ``issues`` what validation says about them."""
+
+    posts: DataFrame
+    records: DataFrame
+    issues: DataFrame
+    failed: DataFrame
+    orphans: DataFrame
+    changed: buckets.Change
+    report: DataFrame
+
+
+def refresh_archive(
+    posts: DataFrame, layout: buckets.Layout, incoming: DataFrame, dictionary: DataFrame, rules: NormalizationRules, assets: DataFrame, path: str, stamp: str,
+    options: RefreshOptions = RefreshOptions(), order: list[Column] | None = None,
+) -> Archive:
+    """Bring new versions of whole sources into the archive, stage by stage.
+
+    1. Posts of the incoming sources are found and, with ``backup``, kept under
+       ``path/snapshots`` (in a dry run as well: nothing is lost by it).
+    2. With ``regenerate`` the incoming posts are normalized, else they are taken as they are.
+    3. With ``delete_existing`` the found posts and their chunks go; else they stay
+       where no incoming post has their slug. Of incoming posts with the same slug one stays, the first by ``order``.
+    4. With ``reinsert`` the incoming posts are tagged, chunked and put into the
+       index at ``layout``, of which only the touched buckets are written.
+    5. Feeds of all posts, manifest and review sheet of the incoming ones and, with
+       ``cms_manifest``, their CMS records are written under ``path``.
+    6. Media that no post refers to any more are listed.
+
+    A dry run changes neither posts nor index and writes nothing but the snapshot.
+    The new posts are returned, not written over the old ones. Run twice with
+    the same input, the result is the same.
+    """
+    spark, o = posts.sparkSession, options
+    sources = written(incoming.select("source_document").distinct())
+    matched, found = _counted(refresh.match_existing(posts, sources))
+    if o.backup and found:
+        refresh.write_snapshot(matched, f"{path}/snapshots", stamp)
+    old_index = buckets.read_index(spark, layout)
+    points_found = index.count_for_slugs(old_index, matched.select("slug").distinct()).first()["n_chunks"]
+
+    if o.regenerate:
+        ready, issues = normalize_corpus(incoming, assets, rules)
+        issues = written(issues)
+    else:
+        ready, issues = incoming, spark.createDataFrame([], "slug string, issues array<string>")
+    records, extracted = _counted(ready)
+    fresh = written(index.latest(records, "slug", order or index.slug_order(records)))
+    kept = refresh.without_sources(posts, sources) if o.delete_existing else posts
+    after = posts if o.dry_run else written(index.upsert(kept, fresh, "slug"))
+
+    rows, failed, produced = None, spark.createDataFrame([], incoming.schema), 0
+    if o.reinsert:
+        made, failed = index.ingest_posts(fresh, dictionary, one_each=True)
+        rows, produced = _counted(made)
+    changed = buckets.Change([], 0)
+    if not o.dry_run and (rows is not None or o.delete_existing):
+        # A post of another source whose slug comes in is replaced, too.
+        gone = matched.select("slug").union(fresh.select("slug")) if o.reinsert else matched.select("slug")
+        changed = buckets.change_index(spark, layout, rows, gone if o.delete_existing else None)
+    points = produced
+    if not o.dry_run:
+        points = index.count_for_slugs(buckets.read_index(spark, layout), fresh.select("slug")).first()["n_chunks"]
+        _publish_refresh(after, records, issues, path, o)
+    orphans = written(validate.orphan_media(assets, after))
+
+    refs = matched.select(F.explode(validate.media_list(F.col("featured_image"), F.col("gallery_images"))).alias("ref"))
+    images = refs.agg(F.countDistinct(validate.basename(F.col("ref"))).alias("images_found"))
+    report = images.select(
+        F.lit(o.dry_run).alias("dry_run"), F.lit(found).alias("posts_found"), "images_found", F.lit(points_found).alias("points_found"),
+        F.lit(extracted).alias("posts_extracted"), F.lit(produced).alias("chunks_produced"), F.lit(changed.upserted).alias("points_upserted"),
+        F.lit(points).alias("index_points"), after.agg(F.count("*")).scalar().alias("posts_after"),
+        issues.where(F.size("issues") > 0).agg(F.count("*")).scalar().alias("missing_metadata"),
+        validate.duplicate_slugs(records).agg(F.count("*")).scalar().alias("duplicate_slugs"),
+        orphans.agg(F.count("*")).scalar().alias("orphan_images"),
+    )
+    return Archive(after, records, issues, failed, orphans, changed, report)
+
+
+def _counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` as a stored table, and its rows, counted while they are written."""
+    seen = Observation()
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return table, seen.get["rows"]
+
+
+def _publish_refresh(posts: DataFrame, records: DataFrame, issues: DataFrame, path: str, options: RefreshOptions) -> None:
+    writers.write_posts_feed(posts, f"{path}/posts", options.base_url)
+    writers.write_json_feed(posts, f"{path}/feed", options.title, options.base_url)
+    writers.publishing_manifest(records).write.mode("overwrite").json(f"{path}/manifest")
+    writers.write_review_csv(writers.review_sheet(records, issues.dropDuplicates(["slug"])), f"{path}/review")
+    if options.cms_manifest:
+        writers.cms_articles(records).write.mode("overwrite").json(f"{path}/cms_articles")
+        writers.cms_media(records).write.mode("overwrite").json(f"{path}/cms_media")
+
+
 # --- publishing ------------------------------------------------------------------------------
 
 def publish(posts: DataFrame, assets: DataFrame, path: str, *, title: str, base_url: str = "") -> None:

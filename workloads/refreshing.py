@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scriptorium.operators import index as ix, refresh, validate as va
+from scriptorium.operators import buckets, index as ix, refresh, validate as va
 from scriptorium.plans import jobs
-from scriptorium.session import written
+from scriptorium.session import shared_folder, written
 from scriptorium.sources import readers, writers
 from workloads import assets as mw, chunks as ck, corpus, drafts as dw, fixtures as fx, graphs, labels, searching as sw
 
@@ -107,6 +108,99 @@ SELECT false AS dry_run, (SELECT count(*) FROM posts) AS posts_before, (SELECT c
   (SELECT count(*) FROM f_chunks) + (SELECT count(*) FROM chunks JOIN posts USING (slug) WHERE NOT ({_IN})) AS chunks_after"""
 
 
+# --- the archive on disk, stage by stage ------------------------------------------------
+
+def _fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(ix.latest(incoming(spark, sf_dir), "slug", _order()))
+
+
+@cache
+def _archive(spark: SparkSession, sf_dir: str, by: str, **flags: bool) -> tuple[jobs.Archive, buckets.Layout]:
+    folder = f"{shared_folder(spark)}/archive/{uuid.uuid4().hex}"
+    layout = buckets.Layout(f"{folder}/index", by, 32)
+    buckets.create_index(sw.news_index(spark, sf_dir), layout)
+    rules = jobs.NormalizationRules(fx.ordered_rules(spark), fx.ordered_rules(spark), "general", min_tags=3, max_tags=5)
+    done = jobs.refresh_archive(
+        written(fx.posts(spark, sf_dir)), layout, _fresh(spark, sf_dir), fx.dictionary(spark), rules, fx.image_names(spark, sf_dir), folder, "2024-06-01",
+        jobs.RefreshOptions(**flags),
+    )
+    return done, layout
+
+
+def archive_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _archive(spark, sf_dir, "source_document")[0].report
+
+
+def archive_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _archive(spark, sf_dir, "source_document")[0].orphans
+
+
+def archive_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    issues = _archive(spark, sf_dir, "source_document")[0].issues
+    return issues.select("slug", F.size("issues").alias("n_issues"))
+
+
+def archive_as_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts are not normalized, and found ones are not deleted."""
+    return _archive(spark, sf_dir, "slug", regenerate=False, delete_existing=False, cms_manifest=False, backup=False)[0].report
+
+
+def archive_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index on disk after that."""
+    _, layout = _archive(spark, sf_dir, "slug", regenerate=False, delete_existing=False, cms_manifest=False, backup=False)
+    return buckets.read_index(spark, layout).select("chunk_id", "chunk_text")
+
+
+def archive_without_reinsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _archive(spark, sf_dir, "slug", regenerate=False, reinsert=False, cms_manifest=False)[0].report
+
+
+def archive_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _archive(spark, sf_dir, "source_document", dry_run=True)[0].report
+
+
+_NORMAL = f"{fx.ORDERED_RULES_SQL}, {corpus._RULE_HITS}, {corpus._BACKFILLED}"
+for _name in ("rule_hits", "dated"):
+    _NORMAL = sw._rename(_NORMAL, _name, f"f_{_name}")
+_NORMAL = sw._rename(_NORMAL, "posts", "fresh")
+_ARCHIVE_CTES = f"""{_BOTH}, {fx.IMAGE_NAMES_SQL}, {_NORMAL},
+f_r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY rule_pos) AS rn FROM f_rule_hits),
+f_named AS (SELECT slug, count(name) FILTER (WHERE rn <= 5) AS n_tags FROM fresh LEFT JOIN f_r USING (slug) GROUP BY slug),
+f_refs AS (
+  SELECT slug, unnest(m) AS old_ref, generate_subscripts(m, 1) AS seq FROM (
+    SELECT slug, CASE WHEN featured_image <> '' THEN list_concat([featured_image], gallery_images) ELSE gallery_images END AS m FROM fresh)),
+f_moved AS MATERIALIZED (
+  SELECT slug, list(CASE WHEN name IS NULL THEN substr(old_ref, 8) ELSE slug || '-' || lpad(seq::VARCHAR, 2, '0') || '.' || regexp_extract(old_ref, '\\.([a-z]+)$', 1) END) AS m,
+    count(*) FILTER (WHERE name IS NULL) AS lost
+  FROM f_refs LEFT JOIN image_names ON name = substr(old_ref, 8) GROUP BY slug),
+f_issues AS (
+  SELECT slug, ((n_tags = 0)::INT + (m IS NULL)::INT + (n_tags < 3)::INT + coalesce(lost, 0) + (title = '')::INT + (body = '')::INT)::INT AS n_issues
+  FROM f_dated JOIN f_named USING (slug) LEFT JOIN f_moved USING (slug)),
+old_refs AS (SELECT source_document, unnest(list_concat([featured_image], gallery_images)) AS ref FROM posts),
+f_orphans AS (
+  SELECT name FROM image_names WHERE name NOT IN (SELECT unnest(m) FROM f_moved)
+    AND name NOT IN (SELECT substr(ref, 8) FROM old_refs WHERE ref <> '' AND NOT ({_IN}))),
+o_orphans AS (SELECT name FROM image_names WHERE name NOT IN (SELECT substr(ref, 8) FROM old_refs WHERE ref <> ''))"""
+
+
+def _archive_sql(dry_run: str, produced: str, upserted: str, points: str, posts_after: str, missing: str, orphans: str) -> str:
+    return f"""WITH RECURSIVE {_ARCHIVE_CTES}
+SELECT {dry_run} AS dry_run, (SELECT count(*) FROM posts WHERE {_IN}) AS posts_found,
+  (SELECT count(DISTINCT ref) FROM old_refs WHERE ref <> '' AND {_IN}) AS images_found, (SELECT count(*) FROM chunks JOIN posts USING (slug) WHERE {_IN}) AS points_found,
+  (SELECT count(*) FROM fresh) AS posts_extracted, {produced} AS chunks_produced, {upserted} AS points_upserted, {points} AS index_points, {posts_after} AS posts_after,
+  {missing} AS missing_metadata, 0::BIGINT AS duplicate_slugs, (SELECT count(*) FROM {orphans}) AS orphan_images"""
+
+
+_MADE, _ISSUES = "(SELECT count(*) FROM f_chunks)", "(SELECT count(*) FROM f_issues WHERE n_issues > 0)"
+# Without deletion chunks with a number that the new version lacks stay.
+_LEFT = f"{_MADE} + (SELECT count(*) FROM chunks JOIN posts USING (slug) WHERE {_IN} AND chunk_id NOT IN (SELECT chunk_id FROM f_chunks))"
+_ALL_POSTS = "(SELECT count(*) FROM posts)"
+ARCHIVE_REPORT_SQL = _archive_sql("false", _MADE, _MADE, _MADE, _ALL_POSTS, _ISSUES, "f_orphans")
+AS_EXTRACTED_SQL = _archive_sql("false", _MADE, _MADE, _LEFT, _ALL_POSTS, "0::BIGINT", "o_orphans")
+WITHOUT_REINSERT_SQL = _archive_sql("false", "0::BIGINT", "0::BIGINT", "0::BIGINT", _ALL_POSTS, "0::BIGINT", "o_orphans")
+DRY_RUN_SQL = _archive_sql("true", _MADE, "0::BIGINT", _MADE, _ALL_POSTS, _ISSUES, "o_orphans")
+
+
 def _source_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.posts(spark, sf_dir).where(F.col("source_document").isin(*SOURCES)).select("slug")
 
@@ -246,6 +340,13 @@ BATCH_INDEX_SQL = f"""{labels.CLASSIFIED_CTES}
 SELECT slug, category, subcategory, source AS classification_source, category_score, round(entity_extraction_score * 6 / 100.0)::INT AS detected_entity_types, true AS ok FROM classified"""
 
 QUERIES = {
+    "archive_report": (archive_report, ARCHIVE_REPORT_SQL),
+    "archive_orphans": (archive_orphans, f"WITH RECURSIVE {_ARCHIVE_CTES} SELECT name FROM f_orphans"),
+    "archive_issues": (archive_issues, f"WITH RECURSIVE {_ARCHIVE_CTES} SELECT slug, n_issues FROM f_issues"),
+    "archive_as_extracted": (archive_as_extracted, AS_EXTRACTED_SQL),
+    "archive_index": (archive_index, UPSERT_SQL),
+    "archive_without_reinsert": (archive_without_reinsert, WITHOUT_REINSERT_SQL),
+    "archive_dry_run": (archive_dry_run, DRY_RUN_SQL),
     "match_existing": (match_existing, f"WITH {fx.POSTS_SQL} SELECT slug, source_document FROM posts WHERE {_IN}"),
     "snapshot_manifest": (snapshot_manifest, SNAPSHOT_SQL),
     "replace_source": (replace_source, REPLACE_SQL),
