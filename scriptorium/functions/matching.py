@@ -8,9 +8,11 @@ Two equivalent ways for each kind of match:
   so the cost grows with the text and not with text times terms. For term
   tables of any size; only matches are shuffled, never texts.
 
-Windows are runs of *segments*. Segments are what a text falls into when it is
-cut between word characters and other characters, so a window of ``m`` segments
-is the only place where a term of ``m`` segments can occur.
+Texts are cut between word characters and other characters into *segments*. A term of
+several segments can only occur where its cuts are cuts of the text, so its key is what
+stands to the left or right of one of them; a term within one segment has a gram of it as
+its key. Of all grams that a term offers it takes the rarest one: the number of terms
+that offer the same gram, times how often texts hold it, is least.
 """
 
 from __future__ import annotations
@@ -18,10 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from scriptorium.functions.text import WORD_CHAR, let, word_list
+from scriptorium.session import written
 
 _SEGMENT = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
-_GRAM = 3
+# Characters of a gram within a segment, and beside a cut.
+_GRAM = 8
+_EDGE = 16
 MAX_BROADCAST_TERMS = 200_000
+# One of so many texts is looked at for the frequency of grams. That decides how long a join takes, not what it finds.
+_SAMPLE = 16
 
 
 def segments(text: Column) -> Column:
@@ -88,72 +95,119 @@ def inline_substrings(text: Column, terms: Column) -> Column:
 
 # --- joined ------------------------------------------------------------------
 
-def _term_shape(term: Column, whole_words: bool) -> Column:
-    """Segments ``m``, and for one-segment terms the length ``g`` of their gram.
+# Separates the fields of a window; taken out of texts and terms beforehand.
+_MARK = "\u0001"
+# Keys are whole words, grams inside a segment, and grams to the left and right of a cut.
+_WORD, _INSIDE, _LEFT, _RIGHT = "W", "I", "L", "R"
 
-    A single word that only matches whole words needs no gram: ``g`` is 0 and
-    the word itself is the key.
-    """
-    m = F.size(segments(term))
-    return F.struct(
-        m.alias("m"),
-        F.when((m > 1) | (is_word(term) & F.lit(whole_words)), F.lit(0))
-        .otherwise(F.least(F.lit(_GRAM), F.length(term)))
-        .alias("g"),
-    )
 
+def _unmarked(text: Column) -> Column:
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), _MARK, " ")
+
+
+def _offers(term: Column, whole_words: bool) -> Column:
+    """The keys a term could have: ``array<struct<kind, g, gram, off>>``; ``off`` characters of the term lie before its cut."""
+    def offer(kind: str, gram: Column, off: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.length(gram).alias("g"), gram.alias("gram"), off.alias("off"))
+
+    def beside(s: Column, kind: str) -> Column:
+        def at(i: Column) -> Column:
+            left, right = F.array_join(F.slice(s, F.lit(1), i), ""), F.array_join(F.slice(s, i + 1, F.size(s)), "")
+            gram = F.right(left, F.lit(_EDGE)) if kind == _LEFT else F.left(right, F.lit(_EDGE))
+            return offer(kind, gram, F.length(left))
+
+        return F.transform(F.sequence(F.lit(1), F.size(s) - 1), at)
 
-def _term_key(term: Column, shape: Column) -> Column:
-    """What a window must share with a term: the text around its first cut, or its first gram."""
+    length = F.least(F.lit(_GRAM), F.length(term))
+    inside = F.transform(F.sequence(F.lit(1), F.length(term) - length + 1), lambda p: offer(_INSIDE, F.substring(term, p, length), F.lit(0)))
+    word = F.array(F.struct(F.lit(_WORD).alias("kind"), F.lit(0).alias("g"), term.alias("gram"), F.lit(0).alias("off")))
     return let(
         segments(term),
-        lambda s: F.when((shape["m"] == 1) & (shape["g"] == 0), term)
-        .when(shape["m"] == 1, F.substring(term, F.lit(1), shape["g"]))
-        .when(shape["m"] == 2, F.concat(F.right(F.get(s, 0), F.lit(1)), F.left(F.get(s, 1), F.lit(1))))
-        .otherwise(F.concat(F.right(F.get(s, 0), F.lit(1)), F.get(s, 1), F.left(F.get(s, 2), F.lit(1)))),
+        lambda s: F.when((F.size(s) == 1) & is_word(term) & F.lit(whole_words), word)
+        .when(F.size(s) == 1, inside)
+        .otherwise(F.concat(beside(s, _LEFT), beside(s, _RIGHT))),
     )
 
 
-# Separates the fields of a window; taken out of texts and terms beforehand.
-_MARK = "\u0001"
+def _windows(segs: Column, shapes: list[tuple[str, int]], reach: int) -> Column:
+    """Distinct windows of a text, each as marked string kind, length, gram, before, window, after.
 
+    Beside a cut, before and after hold ``reach`` segments and one more. Strings,
+    because distinct strings are found by hashing and structs are not.
+    """
+    def packed(kind: str, g: int, gram: Column, before: Column, window: Column, after: Column) -> Column:
+        return F.concat_ws(_MARK, F.lit(kind), F.lit(str(g)), gram, before, window, after)
 
-def _unmarked(text: Column) -> Column:
-    return F.translate(F.lower(F.coalesce(text, F.lit(""))), _MARK, " ")
+    def places(first: Column, last: Column) -> Column:
+        return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
+    none = F.lit("")
 
-def _windows(segs: Column, m: int, g: int) -> Column:
-    """Distinct windows of ``m`` segments, each as marked string key, before, window, after.
+    def in_segment(kind: str, g: int) -> Column:
+        def around(i: Column, gram: Column) -> Column:
+            before = F.coalesce(F.right(F.get(segs, i - 1), F.lit(1)), none)
+            after = F.coalesce(F.left(F.get(segs, i + 1), F.lit(1)), none)
+            return packed(kind, g, gram, before, F.get(segs, i), after)
 
-    Strings, because distinct strings are found by hashing and structs are not.
-    """
-    def at(i: Column, k: int) -> Column:
-        return F.get(segs, i + k)
-
-    def packed(i: Column, key: Column) -> Column:
-        window = F.concat(*[at(i, k) for k in range(m)]) if m > 1 else at(i, 0)
-        before = F.coalesce(F.right(F.get(segs, i - 1), F.lit(1)), F.lit(""))
-        after = F.coalesce(F.left(at(i, m), F.lit(1)), F.lit(""))
-        return F.concat_ws(_MARK, F.lit(f"{m},{g}"), key, before, window, after)
-
-    none = F.array().cast("array<int>")
-    starts = F.when(F.size(segs) >= m, F.sequence(F.lit(0), F.size(segs) - m)).otherwise(none)
-    if m == 1 and g == 0:
-        return F.array_distinct(F.transform(starts, lambda i: packed(i, at(i, 0))))
-    if m == 1:
         def grams(i: Column) -> Column:
-            length = F.length(at(i, 0))
-            positions = F.when(length >= g, F.sequence(F.lit(1), length - g + 1)).otherwise(none)
-            return F.transform(positions, lambda p: packed(i, F.substring(at(i, 0), p, F.lit(g))))
+            starts = places(F.lit(1), F.length(F.get(segs, i)) - g + 1)
+            return F.transform(starts, lambda p: around(i, F.substring(F.get(segs, i), p, F.lit(g))))
+
+        every = places(F.lit(0), F.size(segs) - 1)
+        return F.transform(every, lambda i: around(i, F.get(segs, i))) if kind == _WORD else F.flatten(F.transform(every, grams))
+
+    def cut(i: Column) -> Column:
+        first = F.greatest(F.lit(1), i - reach)
+        return F.struct(
+            F.array_join(F.slice(segs, first, i - first + 1), "").alias("before"), F.array_join(F.slice(segs, i + 1, F.lit(reach + 1)), "").alias("after")
+        )
+
+    def at_cuts(cuts: Column, kind: str, g: int) -> Column:
+        side = "before" if kind == _LEFT else "after"
+        long = F.filter(cuts, lambda c: F.length(c[side]) >= g)
+        take = F.right if kind == _LEFT else F.left
+        return F.transform(long, lambda c: packed(kind, g, take(c[side], F.lit(g)), c["before"], none, c["after"]))
+
+    inner = [in_segment(kind, g) for kind, g in shapes if kind in (_WORD, _INSIDE)]
+    outer = [(kind, g) for kind, g in shapes if kind in (_LEFT, _RIGHT)]
+    if outer:
+        cuts = F.transform(places(F.lit(1), F.size(segs) - 1), cut)
+        inner.append(let(cuts, lambda c: F.concat(*[at_cuts(c, kind, g) for kind, g in outer])))
+    return F.array_distinct(F.concat(*inner))
 
-        return F.array_distinct(F.flatten(F.transform(starts, grams)))
-    if m == 2:
-        def edge(i: Column) -> Column:
-            return F.concat(F.right(at(i, 0), F.lit(1)), F.left(at(i, 1), F.lit(1)))
-    else:
-        def edge(i: Column) -> Column:
-            return F.concat(F.right(at(i, 0), F.lit(1)), at(i, 1), F.left(at(i, 2), F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: packed(i, edge(i))))
+
+_FIELDS = ("kind", "g", "gram", "before", "window", "after")
+
+
+def _cut_windows(texts: DataFrame, text_id: list[str], text: str, shapes: list[tuple[str, int]], reach: int) -> DataFrame:
+    cut = texts.select(*text_id, segments(_unmarked(F.col(text))).alias("__segs"))
+    exploded = cut.select(*text_id, F.explode_outer(_windows(F.col("__segs"), shapes, reach)).alias("__w")).where("__w IS NOT NULL")
+    return exploded.select(*text_id, *[F.split_part("__w", F.lit(_MARK), F.lit(n + 1)).alias(f"__{f}") for n, f in enumerate(_FIELDS)])
+
+
+def _shapes(keys: DataFrame) -> list[tuple[str, int]]:
+    """The kinds and lengths of the keys, at most three dozen whatever the number of terms."""
+    return sorted((r["__kind"], int(r["__g"])) for r in keys.select("__kind", "__g").distinct().collect())
+
+
+_KEY = ["__kind", "__g", "__gram"]
+
+
+def rarest_keys(texts: DataFrame, text: str, lowered: DataFrame, whole_words: bool) -> DataFrame:
+    """``(__t, __kind, __g, __gram, __off)``: the key of each term of ``lowered(__t)``."""
+    offers = lowered.select("__t").distinct().select("__t", F.explode(_offers(F.col("__t"), whole_words)).alias("o"))
+    offers = written(offers.select("__t", F.col("o.kind").alias("__kind"), F.col("o.g").cast("string").alias("__g"), F.col("o.gram").alias("__gram"), F.col("o.off").alias("__off")))
+    shapes = _shapes(offers)
+    if not shapes:
+        return offers
+    grams = written(offers.groupBy(*_KEY).agg(F.countDistinct("__t").alias("terms")))
+    some = texts.select(text).where(F.pmod(F.xxhash64(text_key(F.col(text))), F.lit(_SAMPLE)) == 0)
+    seen = _cut_windows(some, [], text, shapes, 1).groupBy(*_KEY).agg(F.count("*").alias("texts"))
+    weighed = grams.join(seen, _KEY, "left").withColumn("weight", F.col("terms") * (F.coalesce("texts", F.lit(0)) + 1))
+    # Of equally rare grams the longer one.
+    choice = F.struct("weight", (-F.col("__g").cast("int")).alias("short"), "__kind", "__gram", "__off")
+    best = offers.join(weighed.select(*_KEY, "weight"), _KEY).groupBy("__t").agg(F.min_by(F.struct(*_KEY, "__off"), choice).alias("k"))
+    return written(best.select("__t", "k.*"))
 
 
 def joined_hits(
@@ -172,40 +226,31 @@ def joined_hits(
     dictionary  single words are bounded, other terms occur anywhere
     bounded     no word character next to the term
     """
-    lowered = _unmarked(F.col(term))
-    shaped = (
-        terms.where(F.col(term) != "")
-        .select(*term_id, lowered.alias("__t"))
-        .withColumn("__s", _term_shape(F.col("__t"), mode != "substring"))
-        .withColumn("__key", _term_key(F.col("__t"), F.col("__s")))
-        .select(*term_id, "__t", F.col("__s.m").alias("m"), F.col("__s.g").alias("g"), F.col("__key").alias("key"))
-        .withColumn("shape", F.concat_ws(",", "m", "g"))
-        .withColumn("__guard", guarded_pattern(F.col("__t")))
-        .withColumn("__word", is_word(F.col("__t")))
-    )
-    # The shapes are a handful of small numbers, whatever the number of terms.
-    found = shaped.agg(F.count("*").alias("n"), F.collect_set(F.struct("m", "g")).alias("shapes")).first()
-    shapes = sorted((r["m"], r["g"]) for r in found["shapes"])
+    if mode not in ("substring", "dictionary", "bounded"):
+        raise ValueError(f"unknown mode {mode!r}")
+    lowered = terms.where(F.col(term) != "").select(*term_id, _unmarked(F.col(term)).alias("__t"))
+    keys = rarest_keys(texts, text, lowered, mode != "substring")
+    shapes = _shapes(keys)
     if not shapes:
         fields = texts.select(*text_id).schema.fields + terms.select(*term_id).schema.fields
         return texts.sparkSession.createDataFrame([], T.StructType(fields))
-    fields = ["shape", "key", "before", "window", "after"]
-    cut = texts.select(*text_id, segments(_unmarked(F.col(text))).alias("__segs"))
-    windows = (
-        cut.select(*text_id, F.explode_outer(F.concat(*[_windows(F.col("__segs"), m, g) for m, g in shapes])).alias("__w"))
-        .where("__w IS NOT NULL")
-        .select(*text_id, *[F.split_part("__w", F.lit(_MARK), F.lit(n + 1)).alias(f) for n, f in enumerate(fields)])
+    size = keys.agg(F.max(F.size(segments(F.col("__t")))).alias("m"), F.count("*").alias("n")).first()
+    shaped = (
+        lowered.join(keys, "__t")
+        .withColumn("__guard", guarded_pattern(F.col("__t")))
+        .withColumn("__whole", is_word(F.col("__t")))
+        .withColumn("__rest", F.length("__t") - F.col("__off"))
     )
+    windows = _cut_windows(texts, text_id, text, shapes, size["m"])
     # Terms are broadcast up to a checked number; beyond it both sides are sorted.
-    shaped = F.broadcast(shaped) if found["n"] <= MAX_BROADCAST_TERMS else shaped.hint("merge")
-    contains = F.col("window").contains(F.col("__t"))
-    alone = F.regexp_like(F.concat("before", "window", "after"), F.col("__guard"))
-    if mode == "substring":
-        verified = contains
-    elif mode == "dictionary":
-        verified = F.when(F.col("__word"), F.col("window") == F.col("__t")).otherwise(contains)
-    elif mode == "bounded":
-        verified = F.when(F.col("__word"), F.col("window") == F.col("__t")).otherwise(contains & alone)
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
-    return windows.join(shaped, ["shape", "key"]).where(verified).select(*text_id, *term_id).distinct()
+    shaped = F.broadcast(shaped) if size["n"] <= MAX_BROADCAST_TERMS else shaped.hint("merge")
+    contains = F.col("__window").contains(F.col("__t"))
+    alone = F.regexp_like(F.concat("__before", "__window", "__after"), F.col("__guard"))
+    # Beside a cut the term has one place.
+    placed = F.concat(F.expr("right(__before, __off)"), F.expr("left(__after, __rest)")) == F.col("__t")
+    edges = F.concat(F.expr("right(__before, __off + 1)"), F.expr("left(__after, __rest + 1)"))
+    if mode == "bounded":
+        contains, placed = contains & alone, placed & F.regexp_like(edges, F.col("__guard"))
+    inside = contains if mode == "substring" else F.when(F.col("__whole"), F.col("__window") == F.col("__t")).otherwise(contains)
+    verified = F.when(F.col("__kind").isin(_LEFT, _RIGHT), placed).otherwise(inside)
+    return windows.join(shaped, _KEY).where(verified).select(*text_id, *term_id).distinct()

@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.functions import matching
 from scriptorium.functions.matching import inline_hits, inline_substrings, joined_hits, prepare_terms
 from scriptorium.functions.rules import inline_array
 
@@ -47,3 +48,33 @@ def test_inline(frames, mode):
     hits = inline_substrings(F.col("text"), literal) if mode == "substring" else inline_hits(F.col("text"), literal, bounded=mode == "bounded")
     got = docs.select("id", F.explode(F.transform(hits, lambda h: h["term"])).alias("term")).collect()
     assert {(r["id"], r["term"]) for r in got} == expected(mode)
+
+
+def test_names_that_share_most_of_their_text_have_keys_of_their_own(spark):
+    names = [f"Supplier#{i:09}" for i in range(1, 401)] + [f"Customer#{i:09}" for i in range(1, 401)]
+    docs = spark.createDataFrame([(i, f"The supplier supplier#{i % 400 + 1:09}, not Customer#{i % 77 + 1:09}x.") for i in range(300)], "id int, text string")
+    terms = spark.createDataFrame([(n,) for n in names], "term string")
+    lowered = terms.select(F.lower("term").alias("__t"))
+    keys = matching.rarest_keys(docs, "text", lowered, True)
+    largest = keys.groupBy("__kind", "__g", "__gram").count().agg(F.max("count")).first()[0]
+    assert keys.count() == 800 and largest <= 2
+    # What the join compares before it verifies.
+    windows = matching._cut_windows(docs, ["id"], "text", matching._shapes(keys), 3)
+    compared = windows.join(keys, ["__kind", "__g", "__gram"]).count()
+    hits = {m: joined_hits(docs, ["id"], "text", terms, ["term"], "term", mode=m).collect() for m in ("dictionary", "bounded")}
+    assert len(hits["dictionary"]) == 600 and len(hits["bounded"]) == 300 and compared <= 2 * 600
+
+
+def test_keys_avoid_what_texts_are_full_of(spark):
+    docs = spark.createDataFrame([(i, "the end, the end " * 5 + f"z{i}") for i in range(400)], "id int, text string")
+    terms = spark.createDataFrame([("the#q",), ("the end",)], "term string")
+    keys = {r["__t"]: r["__gram"] for r in matching.rarest_keys(docs, "text", terms.withColumnRenamed("term", "__t"), True).collect()}
+    assert "#" in keys["the#q"]
+
+
+def test_no_terms_and_repeated_terms(spark, frames):
+    docs, terms = frames
+    assert joined_hits(docs, ["id"], "text", terms.where("false"), ["term"], "term", mode="bounded").count() == 0
+    double = spark.createDataFrame([(1, "ab"), (2, "AB"), (3, "a b"), (4, "")], "k int, term string")
+    got = {(r["id"], r["k"]) for r in joined_hits(docs, ["id"], "text", double, ["k"], "term", mode="substring").collect()}
+    assert got == {(i, k) for i, t in texts() for k, term in ((1, "ab"), (2, "ab"), (3, "a b")) if term in t.lower()}
