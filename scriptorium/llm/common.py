@@ -131,15 +131,16 @@ def components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(roots)
 
 
-def heavy_join(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, least: int = 1000) -> DataFrame:
+def heavy_join(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, least: int = 1000, sort: bool = False) -> DataFrame:
     """``rows`` inner-joined to ``facts``, which has one row per ``keys`` and in ``weight`` the number of rows that have them.
 
     Rows of heavy keys stay where they are and meet a broadcast: with a limit of
     a 50 000th of all rows there are at most 50 000 such keys. Both sides are stored tables.
+    With ``sort`` the other facts are never broadcast, so the plan is the same at every size.
     """
     total = facts.agg(F.sum(weight).alias("n")).first()["n"] or 0
     limit = max(least, total // 50_000)
     heavy = facts.where(F.col(weight) > limit).drop(weight)
     light = facts.where(F.col(weight) <= limit).drop(weight)
     rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(heavy), keys).unionByName(rest.join(light, keys))
+    return rows.join(F.broadcast(heavy), keys).unionByName(rest.join(light.hint("merge") if sort else light, keys))

@@ -393,7 +393,7 @@ def similar_classes(classes: DataFrame, percent: int, block: int = BLOCK) -> Dat
     occurrences = written(classes.select("id", "n", F.explode("hashes").alias("h")))
     lists = written(occurrences.groupBy("h").agg(F.count("*").alias("often")).where("often > 1"))
     rare_first = F.sort_array(F.collect_list(F.struct("often", "h")))
-    common = heavy_join(occurrences, lists.withColumn("rows_", F.col("often")), ["h"], "rows_").groupBy("id", "n").agg(rare_first.alias("found"))
+    common = heavy_join(occurrences, lists.withColumn("rows_", F.col("often")), ["h"], "rows_", sort=True).groupBy("id", "n").agg(rare_first.alias("found"))
     ordered = common.select("id", "n", F.col("found.h").alias("tokens")).where(F.size("tokens") * 100 >= F.col("n") * percent)
     ordered = written(ordered.withColumn("alone", F.col("n") - F.size("tokens")))
     # Shingles that no other class has come first; they are not in the lists, but count as positions.
