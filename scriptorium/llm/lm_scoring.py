@@ -1,13 +1,21 @@
 """Language-model scores from a probabilistic suffix tree, next to a unigram baseline.
 
-The tree's symbols are the most frequent words, one symbol for all other words,
-and the end of a text. It grows by levels: contexts seen often enough are
-counted with what follows them over all training texts; a context stays if its
-next-symbol distribution diverges from that of its longest kept suffix by more
-than chance explains. Distributions are smoothed with those of the suffix. A
-token is scored in the longest kept context before it, times the share that its
-word has of its symbol in the unigram model, so tree and baseline are
-distributions over the same tokens, all unknown words being one of them.
+Contexts are the last one, two or three words, whatever words they are. A
+context becomes a state if its next-symbol distribution diverges from that of
+its longest state among the shorter suffixes: told by every occurrence with
+that occurrence left out, so a context seen once says nothing and two copies of
+a rare passage say much. Distributions are smoothed with those of the suffix.
+Symbols are the frequent words, the end of a text, and one for all other words;
+a token is scored in the longest state before it, times the share that its word
+has of its symbol in the unigram model, so tree and baseline are distributions
+over the same tokens, all unknown words being one of them.
+
+All suffixes of a context share its last word, so the tree falls apart into
+branches, one per last word, that are counted, tested and asked apart: tokens
+travel to the branches and bring back what they gain. A last word with more
+tokens than a group should have is split by the word before it; each part gets
+the word's own distribution, which is counted beforehand. Nothing of the tree
+is held anywhere as a whole, and it grows with the corpus.
 
 The unigram model needs the corpus count of every word. Frequent words ride
 along as a table of bounded size; all others are joined.
@@ -23,6 +31,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import Broadcast, TaskContext
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,75 +44,142 @@ from scriptorium.session import written
 register_pickle_by_value(sys.modules[__name__])
 
 # Longest context, in words.
-DEPTH = 2
-# Words that are symbols of their own. The model has (contexts kept) x (symbols) numbers.
-SYMBOLS = 1022
-# Contexts of a level that are counted: those seen most often, at least MIN_COUNT times.
-MAX_CONTEXTS = 4096
-MIN_COUNT = 200
+DEPTH = 3
+# Occurrences that a state needs, and how many nats its distribution must save over its suffix's.
+MIN_COUNT = 2
+KEEP = 4.0
+# A group of branches has about so many tokens.
+GROUP_TOKENS = 1 << 20
 # Bounds the table of frequent words that is sent to the executors.
 MAX_WORDS = 131_072
 MAX_WORD_BYTES = 64
 
 
 @dataclass
-class SuffixTree:
-    """``levels[d - 1]`` maps packed contexts of ``d`` symbols to states, -1 for none; state 0 is the empty context.
+class Branches:
+    """What every task knows of the model: symbols, their unigram probabilities, and where contexts go.
 
-    ``gain[state, symbol]`` is log10 of the symbol's probability in the state
-    over that in the unigram model. Symbols count up from the most frequent
-    word; the last but one stands for all other words, the last for the end.
+    Symbols count up from the most frequent word; the last but one stands for
+    all other words, the last for the end. As part of a context, a word that is
+    no symbol has a number of its own, beyond all symbols.
     """
 
     code: dict[bytes, int]
-    width: int
-    levels: list[tuple[np.ndarray, np.ndarray]]
-    gain: np.ndarray
+    root: np.ndarray
+    groups: int
+    # Symbols whose branch is split, sorted, and into how many parts.
+    split: np.ndarray
+    parts: np.ndarray
+    depth: int = DEPTH
+    min_count: int = MIN_COUNT
+    keep: float = KEEP
 
     @property
     def end(self) -> int:
-        return self.width - 1
+        return len(self.root) - 1
 
-    def stream(self, lists: list[list[bytes]]) -> np.ndarray:
-        """End, text, end, text, ..., end as symbols."""
-        get, other = self.code.get, self.width - 2
+    def tokens(self, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(text, symbol, before)`` of every token; ``before[d - 1]`` is the word ``d`` back, -1 beyond the text's beginning."""
+        get, other = self.code.get, self.end - 1
         flat = [self.end]
         for words in lists:
-            flat += [get(word, other) for word in words]
+            flat += [get(word) if word in self.code else _BEYOND | xxhash.xxh3_64_intdigest(word) >> 2 for word in words]
             flat.append(self.end)
-        return np.array(flat, np.int64)
-
-    def contexts(self, stream: np.ndarray, depth: int) -> np.ndarray:
-        """The packed ``depth`` symbols before every token behind the first end; -1 where the text has not as many."""
+        stream = np.array(flat, np.int64)
         n = len(stream) - 1
-        if depth > 1:
-            padded = np.concatenate((np.full(depth - 1, self.end), stream))
-        else:
-            padded = stream
-        packed, alive = np.zeros(n, np.int64), np.ones(n, bool)
-        for d in range(depth):
-            before = padded[depth - 1 - d : depth - 1 - d + n]
-            packed += before * self.width**d
-            if d < depth - 1:
-                alive &= before != self.end
-        return np.where(alive, packed, -1)
-
-    def states(self, stream: np.ndarray) -> np.ndarray:
-        state = np.zeros(len(stream) - 1, np.int64)
-        for depth, (keys, ids) in enumerate(self.levels, 1):
-            if len(keys):
-                at = _place(keys, self.contexts(stream, depth))
-                state = np.where(at >= 0, ids[at], state)
-        return state
-
-    def gains(self, stream: np.ndarray) -> np.ndarray:
-        return self.gain[self.states(stream), stream[1:]]
-
-
-def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Where sorted ``keys`` hold ``wanted``, else -1."""
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+        padded = np.concatenate((np.full(self.depth, self.end, np.int64), stream))
+        before = np.empty((self.depth, n), np.int64)
+        alive = np.ones(n, bool)
+        for d in range(1, self.depth + 1):
+            word = padded[self.depth + 1 - d : self.depth + 1 - d + n]
+            before[d - 1] = np.where(alive, word, -1)
+            alive &= word != self.end
+        symbol = np.where(stream[1:] > self.end, other, stream[1:]).astype(np.int32)
+        return np.repeat(np.arange(len(lists)), [len(words) + 1 for words in lists]), symbol, before
+
+    def group(self, symbol: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The group that has the branch of every token."""
+        home = _mixed(before[0])
+        if len(self.split):
+            at = np.minimum(np.searchsorted(self.split, before[0]), len(self.split) - 1)
+            parts = np.where(self.split[at] == before[0], self.parts[at], 1).astype(np.uint64)
+            # Behind the beginning there are no longer contexts to keep together.
+            by = before[1] if self.depth > 1 else np.full(len(symbol), -1)
+            home = home + _mixed(np.where(by < 0, symbol, by)) % parts
+        return (home % np.uint64(self.groups)).astype(np.int64)
+
+    def gains(self, symbol: np.ndarray, before: np.ndarray, times: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """log10 of every token's probability in its state over that in the unigram model.
+
+        ``times`` says how often the token occurs in training texts, 0 for held-out ones.
+        ``known`` has the distributions of split words: ``(word, symbol, n)``.
+        """
+        word, follower, n = known
+        probability = self.root[symbol]
+        # At the first level the counted distribution of a split word takes the place of the tokens here.
+        first = _deeper(
+            np.concatenate((before[0], word)), np.concatenate((symbol, follower)),
+            np.concatenate((np.where(np.isin(before[0], self.split), 0, times), n)),
+            np.concatenate((probability, self.root[follower])), self.min_count, self.keep,
+        )
+        probability, key = first[: len(symbol)], _mixed(before[0])
+        for d in range(1, self.depth):
+            key = _mixed(key ^ before[d].astype(np.uint64))
+            at = np.flatnonzero(before[d] >= 0)
+            if len(at):
+                probability[at] = _deeper(key[at], symbol[at], times[at], probability[at], self.min_count, self.keep)
+        return np.log10(probability / self.root[symbol])
+
+
+# Numbers of words that are no symbols have this bit.
+_BEYOND = 1 << 62
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def _deeper(context: np.ndarray, symbol: np.ndarray, times: np.ndarray, below: np.ndarray, min_count: int, keep: float) -> np.ndarray:
+    """The probability of every token one level deeper: that of its context if this diverges from ``below``, else ``below``."""
+    if not len(context):
+        return below
+    order = np.lexsort((symbol, context))
+    new_context = np.concatenate(([True], np.diff(context[order]) != 0))
+    new_pair = new_context | np.concatenate(([True], np.diff(symbol[order]) != 0))
+    pairs = np.flatnonzero(new_pair)
+    n = np.add.reduceat(times[order], pairs).astype(np.float64)
+    suffix = below[order][pairs]
+    contexts = np.flatnonzero(new_context[pairs])
+    of_pair = np.cumsum(new_context[pairs]) - 1
+    seen = np.add.reduceat(n, contexts)
+    distinct = np.maximum(np.add.reduceat((n > 0).astype(np.float64), contexts), 1)
+    # Every occurrence as foretold by the others.
+    others = (np.maximum(n - 1, 0) + distinct[of_pair] * suffix) / (np.maximum(seen - 1, 0) + distinct)[of_pair]
+    divergence = np.add.reduceat(n * np.log(others / suffix), contexts)
+    kept = (seen >= min_count) & (divergence > keep)
+    smoothed = (n + distinct[of_pair] * suffix) / (seen + distinct)[of_pair]
+    out = np.empty(len(context))
+    out[order] = np.where(kept[of_pair], smoothed, suffix)[np.cumsum(new_pair) - 1]
+    return out
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, bytes of equal weight side by side, compressed."""
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _unpacked(data: bytes, *types: type) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    widths = [np.dtype(t).itemsize for t in types]
+    n, out, at = len(raw) // sum(widths), [], 0
+    for kind, width in zip(types, widths, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).reshape(-1).view(kind))
+        at += n * width
+    return out
 
 
 def _token_lists(texts: pa.Array) -> Iterator[list[list[bytes]]]:
@@ -148,88 +226,144 @@ def _frequent(words: DataFrame, limit: int) -> dict[bytes, int]:
     return dict(zip(table.column("word").to_pylist(), table.column("n").to_pylist(), strict=True))
 
 
-def _followers(texts: DataFrame, tree: SuffixTree, depth: int, contexts: np.ndarray) -> DataFrame:
-    """``(context, symbol, n)``: how often each symbol follows each of the sorted packed ``contexts``."""
-    sent = share(texts.sparkSession, (tree, contexts))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, contexts = shared(sent)
-        counts = np.zeros(len(contexts) * tree.width, np.int64)
-        for batch in batches:
-            for lists in _token_lists(batch.column(0)):
-                stream = tree.stream(lists)
-                at = _place(contexts, tree.contexts(stream, depth))
-                known = at >= 0
-                counts += np.bincount(at[known] * tree.width + stream[1:][known], minlength=len(counts))
-        for part in np.array_split(np.flatnonzero(counts), max(1, len(counts) // 500_000)):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(contexts[part // tree.width]), pa.array((part % tree.width).astype(np.int32)), pa.array(counts[part])],
-                names=["context", "symbol", "n"],
-            )
-
-    return texts.mapInArrow(work, "context long, symbol int, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-
-
-def grow_tree(
-    texts: DataFrame,
+def plan_branches(
     frequent: dict[bytes, int],
     ends: int,
     total: int,
     kinds: int,
     depth: int = DEPTH,
-    symbols: int = SYMBOLS,
-    max_contexts: int = MAX_CONTEXTS,
     min_count: int = MIN_COUNT,
-) -> SuffixTree:
-    """Grow the tree over ``texts`` (one column) from the unigram counts: ``total`` tokens of ``kinds`` kinds."""
-    first = sorted(frequent.items(), key=lambda item: (-item[1], item[0]))[:symbols]
-    code = {word: i for i, (word, _) in enumerate(first)}
-    width = len(first) + 2
+    keep: float = KEEP,
+    group_tokens: int = GROUP_TOKENS,
+) -> Branches:
+    """Symbols and groups from the unigram counts: ``total`` tokens of ``kinds`` kinds."""
+    first = sorted(frequent.items(), key=lambda item: (-item[1], item[0]))
     counts = np.array([n for _, n in first] + [0, ends], np.float64)
     root = (counts + 1) / (total + kinds + 1)
     root[-2] = max(1 - root.sum() + root[-2], 1e-12)
-    tree = SuffixTree(code, width, [], np.zeros((1, width), np.float32))
-    if not total:
-        return tree
-    probability = [root]
-    contexts = np.arange(width)
-    for level in range(1, depth + 1):
-        rows = written(_followers(texts, tree, level, contexts))
-        # The suffix of every context, and its distribution for the test and for smoothing.
-        suffix = np.zeros(len(contexts), np.int64)
-        for d, (keys, ids) in enumerate(tree.levels, 1):
-            if len(keys):
-                at = _place(keys, contexts % width**d)
-                suffix = np.where(at >= 0, ids[at], suffix)
-        # At most max_contexts x symbols counts, the size of the model.
-        table = rows.toArrow()
-        matrix = np.zeros((len(contexts), width), np.float64)
-        at = np.searchsorted(contexts, table.column("context").to_numpy())
-        matrix[at, table.column("symbol").to_numpy()] = table.column("n").to_numpy()
-        seen, distinct = matrix.sum(axis=1), (matrix > 0).sum(axis=1)
-        below = np.stack([probability[s] for s in suffix])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(matrix > 0, np.log(matrix / seen[:, None] / below), 0.0)
-        divergence = 2 * (matrix * ratio).sum(axis=1)
-        # Without dependence this has mean and half variance of about the number of symbols seen.
-        kept = (seen >= min_count) & (divergence > distinct + 4 * np.sqrt(2 * distinct))
-        ids = len(probability) + np.arange(kept.sum())
-        smoothed = (matrix[kept] + distinct[kept, None] * below[kept]) / (seen[kept] + distinct[kept])[:, None]
-        probability += list(smoothed)
-        tree.levels.append((contexts[kept], ids))
-        if level < depth:
-            # Longer candidates: a symbol before a context of this level, unless that begins with the end.
-            start = contexts[:, None] % width**level // width ** (level - 1)
-            grown = np.where(start == width - 1, 0, matrix)
-            # Rows are contexts c1..cd, columns what follows: together the next level's contexts.
-            often = np.argwhere(grown >= min_count)
-            often = often[often[:, 1] != width - 1]
-            often = often[np.argsort(-grown[often[:, 0], often[:, 1]], kind="stable")[:max_contexts]]
-            contexts = np.sort(contexts[often[:, 0]] * width + often[:, 1])
-            if not len(contexts):
-                break
-    tree.gain = np.log10(np.stack(probability) / root).astype(np.float32)
-    return tree
+    split = np.flatnonzero(counts > group_tokens)
+    groups = total // group_tokens + 1
+    parts = np.minimum(np.ceil(counts[split] / group_tokens), groups).astype(np.int64)
+    return Branches({word: i for i, (word, _) in enumerate(first)}, root, groups, split, parts, depth, min_count, keep)
+
+
+def _text_key(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
+_PARCEL = "group_ long, run long, kind int, data binary"
+# Kinds of parcels: tokens of a run for a group, the keys of a run's texts, the distribution of a split word, gains of a run's texts.
+_TOKENS, _KEYS, _KNOWN, _GAINS = range(4)
+
+
+def _parcels(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["group_", "run", "kind", "data"])
+
+
+def _split_words(training: DataFrame, model: Branches, sent: Broadcast) -> DataFrame:
+    """Parcels with the distributions of the split words, one for every part."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared(sent)
+        for batch in batches:
+            for lists in _token_lists(batch.column(0)):
+                _, symbol, before = model.tokens(lists)
+                at = np.isin(before[0], model.split)
+                pairs, n = np.unique(before[0][at] * len(model.root) + symbol[at], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], names=["pair", "n"])
+
+    def parcel(table: pa.Table) -> pa.Table:
+        model = shared(sent)
+        pairs = table.column("pair").to_numpy()
+        word, symbol = pairs // len(model.root), pairs % len(model.root)
+        data = _packed(word, symbol.astype(np.int32), table.column("n").to_numpy())
+        home = int(_mixed(word[:1])[0])
+        parts = int(model.parts[np.searchsorted(model.split, word[0])])
+        # Wraps around as the sum of 64 bits in Branches.group does.
+        return pa.Table.from_batches([_parcels([((home + j) % (1 << 64) % model.groups, 0, _KNOWN, data) for j in range(parts)])])
+
+    counts = training.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    # One group per split word, with a row per symbol at most.
+    return counts.groupBy(F.floor(F.col("pair") / len(model.root)).alias("word")).applyInArrow(parcel, _PARCEL)
+
+
+def tree_gains(rows: DataFrame, model: Branches) -> DataFrame:
+    """``(key, gain)`` for every distinct sequence of words in ``rows`` (``held_out, text``): log10 of the tree's over the unigram probability."""
+    spark = rows.sparkSession
+    sent = share(spark, model)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared(sent)
+        run = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            held, done = batch.column(0).to_numpy(zero_copy_only=False), 0
+            for lists in _token_lists(batch.column(1)):
+                # Copies within a run travel once.
+                texts: dict[bytes, list] = {}
+                for words, held_out in zip(lists, held[done : done + len(lists)], strict=True):
+                    texts.setdefault(_text_key(words), [words, 0])[1] += not held_out
+                done += len(lists)
+                text, symbol, before = model.tokens([words for words, _ in texts.values()])
+                times = np.array([n for _, n in texts.values()], np.int64)
+                group = model.group(symbol, before)
+                order = np.argsort(group, kind="stable")
+                bounds = np.concatenate((np.flatnonzero(np.diff(group[order], prepend=-1)), [len(order)])).tolist()
+                out = [(run % model.groups, run, _KEYS, b"".join(texts))]
+                for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+                    at = order[low:high]
+                    step = np.diff(text[at], prepend=0).astype(np.uint32)
+                    data = _packed(step, times[text[at]], symbol[at], *before[:, at])
+                    out.append((int(group[at[0]]), run, _TOKENS, data))
+                yield _parcels(out)
+                run += 1
+
+    def ask(table: pa.Table) -> pa.Table:
+        model = shared(sent)
+        out, owners, tokens, known = [], [], [], [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))]
+        for run, kind, data in zip(*(table.column(c).to_pylist() for c in ("run", "kind", "data")), strict=True):
+            if kind == _KEYS:
+                out.append((0, run, _KEYS, data))
+            elif kind == _KNOWN:
+                known.append(_unpacked(data, np.int64, np.int32, np.int64))
+            else:
+                step, *rest = _unpacked(data, np.uint32, np.int64, np.int32, *[np.int64] * model.depth)
+                owners.append((run, np.cumsum(step, dtype=np.int64)))
+                tokens.append(rest)
+        if tokens:
+            times, symbol, *before = (np.concatenate(x) for x in zip(*tokens, strict=True))
+            gains = model.gains(symbol, np.stack(before), times, tuple(np.concatenate(x) for x in zip(*known, strict=True)))
+            done = 0
+            for run, text in owners:
+                starts = np.flatnonzero(np.diff(text, prepend=-1))
+                sums = np.add.reduceat(gains[done : done + len(text)], starts).astype(np.float32)
+                out.append((0, run, _GAINS, _packed(np.diff(text[starts], prepend=0).astype(np.uint32), sums)))
+                done += len(text)
+        return pa.Table.from_batches([_parcels(out)])
+
+    def gather(table: pa.Table) -> pa.Table:
+        keys, parts = b"", []
+        for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True):
+            if kind == _KEYS:
+                keys = data
+            else:
+                parts.append(_unpacked(data, np.uint32, np.float32))
+        texts = [keys[i : i + 16] for i in range(0, len(keys), 16)]
+        total = np.zeros(len(texts))
+        for step, gain in parts:
+            total[np.cumsum(step, dtype=np.int64)] += gain
+        return pa.table({"key": pa.array(texts, pa.binary()), "gain": pa.array(total)})
+
+    parcels = rows.select("held_out", "text").mapInArrow(send, _PARCEL)
+    if len(model.split):
+        training = rows.where(~F.col("held_out")).select("text")
+        parcels = parcels.unionByName(_split_words(training, model, sent))
+    # As many partitions as groups, at least one per task slot: parcels are compressed, so sizes do not tell the work.
+    width = max(model.groups, spark.sparkContext.defaultParallelism)
+    answers = parcels.repartition(width, "group_").groupBy("group_").applyInArrow(ask, _PARCEL)
+    gains = answers.drop("group_").groupBy("run").applyInArrow(gather, "key binary, gain double")
+    return gains.groupBy("key").agg(F.min("gain").alias("gain"))
 
 
 def score_texts(
@@ -239,18 +373,17 @@ def score_texts(
     folds: int = 7,
     held: int = 2,
     depth: int = DEPTH,
-    symbols: int = SYMBOLS,
-    max_contexts: int = MAX_CONTEXTS,
     min_count: int = MIN_COUNT,
     max_words: int = MAX_WORDS,
+    group_tokens: int = GROUP_TOKENS,
 ) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per row of ``docs``.
 
     Learns from all rows outside fold ``held``, repeated rows as often as they
     occur. Tokens are the words between ASCII white space, A-Z lower-cased, and
     the end of the text; a null text is empty and has only its end. Without
-    training rows every token is unknown. Ids are only copied, other columns
-    ignored.
+    training rows every token is unknown; an empty table gives an empty one. Ids
+    are only copied, other columns ignored. Texts of any length are read whole.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(
@@ -261,27 +394,24 @@ def score_texts(
     sizes = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.octet_length("word") == 0, F.col("n"))).alias("ends")).first()
     total, kinds, ends = sizes["n"] or 0, sizes["v"], sizes["ends"] or 0
     frequent = _frequent(words, max_words)
-    tree = grow_tree(training, frequent, ends, total, kinds, depth, symbols, max_contexts, min_count)
+    gains = written(tree_gains(rows, plan_branches(frequent, ends, total, kinds, depth, min_count, KEEP, group_tokens)))
     log_divisor = math.log10(total + kinds + 1)
-    sent = share(docs.sparkSession, (tree, frequent))
+    sent = share(docs.sparkSession, frequent)
     schema = (
-        f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, gain double, "
+        f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, key binary, "
         "rare array<struct<word: binary, n: long>>"
     )
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, frequent = shared(sent)
+        frequent = shared(sent)
         logs = {word: math.log10(n + 1) - log_divisor for word, n in frequent.items()}
         end_log = math.log10(ends + 1) - log_divisor
         for batch in batches:
-            n_tokens, n_known, base, gain, rare = [], [], [], [], []
+            n_tokens, n_known, base, keys, rare = [], [], [], [], []
             for lists in _token_lists(batch.column(2)):
-                stream = tree.stream(lists)
-                sums = np.concatenate(([0.0], np.cumsum(tree.gains(stream), dtype=np.float64)))
-                at = np.flatnonzero(stream == tree.end)
-                gain += (sums[at[1:]] - sums[at[:-1]]).tolist()
                 for ws in lists:
+                    keys.append(_text_key(ws))
                     known, sum_logs, unknown = int(ends > 0), end_log, []
                     for word, n in Counter(ws).items():
                         log = logs.get(word)
@@ -296,8 +426,8 @@ def score_texts(
                     rare.append(unknown)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
-                 pa.array(base, pa.float64()), pa.array(gain, pa.float64()), pa.array(rare, rare_type)],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "gain", "rare"],
+                 pa.array(base, pa.float64()), pa.array(keys, pa.binary()), pa.array(rare, rare_type)],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "key", "rare"],
             )
 
     # The row key is stored with the rows, so every reader sees the same.
@@ -316,6 +446,7 @@ def score_texts(
     return (
         scored.drop("rare")
         .join(rest, "row", "left")
+        .join(gains, "key")
         .withColumn("base_score", F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.coalesce("tokens", none) * F.lit(log_divisor))
         .select(
             "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", none)).alias("n_known"),

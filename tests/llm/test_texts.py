@@ -123,24 +123,79 @@ def test_baseline_matches_brute_force(spark, max_words):
     assert {r["train_tokens"] for r in got} == {total} and all(r["score"] < 0 for r in got)
 
 
-def test_states_are_distributions_and_beat_the_baseline(spark):
+def test_tree_beats_the_baseline(spark):
     rnd = random.Random(4)
     pairs = [("red", "apple"), ("blue", "sea"), ("old", "stone")]
     rows = [(i, " ".join(" ".join(rnd.choice(pairs)) for _ in range(60))) for i in range(80)]
     docs = frame(spark, rows)
     got = lm_scoring.score_texts(docs, min_count=20).where("held_out").collect()
     assert got and all(r["score"] > r["base_score"] + 10 for r in got)
-    texts = docs.select("text")
-    counts = {r["word"]: r["n"] for r in lm_scoring._word_counts(texts).collect()}
-    ends = counts.pop(b"")
-    frequent = {bytes(w): n for w, n in counts.items()}
-    total, kinds = sum(frequent.values()) + ends, len(frequent) + 1
-    tree = lm_scoring.grow_tree(texts, frequent, ends, total, kinds, min_count=20)
-    first = sorted(frequent.items(), key=lambda item: (-item[1], item[0]))
-    root = [(n + 1) / (total + kinds + 1) for _, n in first] + [1 / (total + kinds + 1), (ends + 1) / (total + kinds + 1)]
-    for state in tree.gain:
-        assert sum(p * 10.0**g for p, g in zip(root, state, strict=True)) == pytest.approx(1, abs=1e-4)
-    assert len(tree.gain) > 3
+
+
+class PlainTree:
+    """The suffix tree over all training texts at once, symbol by symbol."""
+
+    def __init__(self, lists, frequent, total, kinds, ends, depth, min_count, keep):
+        self.frequent, self.depth = frequent, depth
+        known = {w: (n + 1) / (total + kinds + 1) for w, n in frequent.items()}
+        known[b""] = (ends + 1) / (total + kinds + 1)
+        self.root = {**known, None: max(1 - sum(known.values()), 1e-12)}
+        self.followers, self.states = {}, {}
+        for words in lists:
+            for context, symbol in self.tokens(words):
+                for d in range(1, len(context) + 1):
+                    self.followers.setdefault(context[-d:], Counter())[symbol] += 1
+        for context in sorted(self.followers, key=len):
+            counts = self.followers[context]
+            below, n, k = self.state(context[1:]), counts.total(), len(counts)
+            saved = sum(c * math.log((c - 1 + k * below[s]) / (n - 1 + k) / below[s]) for s, c in counts.items())
+            if n >= min_count and saved > keep:
+                self.states[context] = {s: (counts[s] + k * p) / (n + k) for s, p in below.items()}
+
+    def state(self, context):
+        while context and context not in self.states:
+            context = context[1:]
+        return self.states.get(context, self.root)
+
+    def tokens(self, words):
+        line = [b"", *words, b""]
+        for i in range(1, len(line)):
+            yield tuple(line[max(0, i - self.depth) : i]), line[i] if line[i] in self.root else None
+
+    def gain(self, words):
+        return sum(math.log10(self.state(c)[s] / self.root[s]) for c, s in self.tokens(words))
+
+
+@pytest.mark.parametrize("max_words, group_tokens", [(1000, 1 << 20), (1000, 300), (12, 1 << 20), (12, 300)])
+def test_tree_matches_brute_force(spark, max_words, group_tokens):
+    rnd = random.Random(4)
+    copied = [" ".join(f"w{rnd.randrange(400)}" for _ in range(40)) for _ in range(4)]
+    texts = hard_texts() + [words(rnd, 40, ["red apple", "blue sea", "old stone", "The"]) for _ in range(30)] + copied * 2
+    rows = list(enumerate(texts)) + [(None, copied[0]), (3, copied[1])]
+    got = lm_scoring.score_texts(frame(spark, rows), max_words=max_words, group_tokens=group_tokens).collect()
+    lists = [((t or "").translate({c: c + 32 for c in range(65, 91)}).encode().split(), crc(i, 7) == 2) for i, t in rows]
+    training = [ws for ws, held in lists if not held]
+    counts = Counter(w for ws in training for w in ws)
+    total, kinds = counts.total() + len(training), len(counts) + 1
+    docs = frame(spark, [(i, t) for i, t in rows if crc(i, 7) != 2])
+    frequent = lm_scoring._frequent(lm_scoring._word_counts(docs.select(F.coalesce("text", F.lit("")).alias("text"))), max_words)
+    tree = PlainTree(training, frequent, total, kinds, len(training), lm_scoring.DEPTH, lm_scoring.MIN_COUNT, lm_scoring.KEEP)
+    assert {len(c) for c in tree.states} == {1, 2, 3} and all(sum(s.values()) == pytest.approx(1) for s in tree.states.values())
+    assert all(r["score"] < 0 for r in got)
+    assert sorted(r["score"] - r["base_score"] for r in got) == pytest.approx(sorted(tree.gain(ws) for ws, _ in lists), rel=1e-4, abs=1e-3)
+
+
+def test_tree_grows_with_the_corpus(spark):
+    """A rare passage that occurs in two documents is foretold in both, however large the rest."""
+    for size in (200, 2000):
+        rnd = random.Random(size)
+        rows = [(i, " ".join(f"w{int(rnd.paretovariate(0.6)) % 5000}" for _ in range(50))) for i in range(size)]
+        twice = [i for i in range(size, size + 40) if crc(i, 7) != 2][:20]
+        texts = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(50)) for _ in range(10)]
+        docs = frame(spark, rows + [(i, texts[n // 2]) for n, i in enumerate(twice)])
+        gain = {r["doc_id"]: (r["score"] - r["base_score"]) / r["n_tokens"] for r in lm_scoring.score_texts(docs).collect()}
+        others = sorted(g for i, g in gain.items() if i < size)
+        assert min(gain[i] for i in twice) > others[int(0.99 * len(others))]
 
 
 def test_language_model_without_training_rows(spark):
