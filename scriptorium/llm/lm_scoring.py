@@ -48,8 +48,9 @@ DEPTH = 3
 # Occurrences that a state needs, and how many nats its distribution must save over its suffix's.
 MIN_COUNT = 2
 KEEP = 4.0
-# A group of branches has about so many tokens.
-GROUP_TOKENS = 1 << 20
+# A group of branches has about so many tokens; a task takes about so many groups, one after the other.
+GROUP_TOKENS = 1 << 18
+GROUPS_PER_TASK = 4
 # Bounds the table of frequent words that is sent to the executors.
 MAX_WORDS = 131_072
 MAX_WORD_BYTES = 64
@@ -150,7 +151,7 @@ def _deeper(context: np.ndarray, symbol: np.ndarray, times: np.ndarray, below: n
     new_context = np.concatenate(([True], np.diff(context[order]) != 0))
     new_pair = new_context | np.concatenate(([True], np.diff(symbol[order]) != 0))
     pairs = np.flatnonzero(new_pair)
-    n = np.add.reduceat(times[order], pairs).astype(np.float64)
+    n = np.add.reduceat(times[order].astype(np.int64), pairs).astype(np.float64)
     suffix = below[order][pairs]
     contexts = np.flatnonzero(new_context[pairs])
     of_pair = np.cumsum(new_context[pairs]) - 1
@@ -314,7 +315,7 @@ def tree_gains(rows: DataFrame, model: Branches) -> DataFrame:
                 for low, high in zip(bounds[:-1], bounds[1:], strict=True):
                     at = order[low:high]
                     step = np.diff(text[at], prepend=0).astype(np.uint32)
-                    data = _packed(step, times[text[at]], symbol[at], *before[:, at])
+                    data = _packed(step, times[text[at]].astype(np.int32), symbol[at], *before[:, at])
                     out.append((int(group[at[0]]), run, _TOKENS, data))
                 yield _parcels(out)
                 run += 1
@@ -328,12 +329,14 @@ def tree_gains(rows: DataFrame, model: Branches) -> DataFrame:
             elif kind == _KNOWN:
                 known.append(_unpacked(data, np.int64, np.int32, np.int64))
             else:
-                step, *rest = _unpacked(data, np.uint32, np.int64, np.int32, *[np.int64] * model.depth)
+                step, *rest = _unpacked(data, np.uint32, np.int32, np.int32, *[np.int64] * model.depth)
                 owners.append((run, np.cumsum(step, dtype=np.int64)))
                 tokens.append(rest)
         if tokens:
-            times, symbol, *before = (np.concatenate(x) for x in zip(*tokens, strict=True))
-            gains = model.gains(symbol, np.stack(before), times, tuple(np.concatenate(x) for x in zip(*known, strict=True)))
+            times, symbol = (np.concatenate([x[i] for x in tokens]) for i in range(2))
+            before = np.stack([np.concatenate([x[2 + d] for x in tokens]) for d in range(model.depth)])
+            tokens.clear()
+            gains = model.gains(symbol, before, times, tuple(np.concatenate(x) for x in zip(*known, strict=True)))
             done = 0
             for run, text in owners:
                 starts = np.flatnonzero(np.diff(text, prepend=-1))
@@ -359,8 +362,8 @@ def tree_gains(rows: DataFrame, model: Branches) -> DataFrame:
     if len(model.split):
         training = rows.where(~F.col("held_out")).select("text")
         parcels = parcels.unionByName(_split_words(training, model, sent))
-    # As many partitions as groups, at least one per task slot: parcels are compressed, so sizes do not tell the work.
-    width = max(model.groups, spark.sparkContext.defaultParallelism)
+    # By the number of groups, at least one per task slot: parcels are compressed, so sizes do not tell the work.
+    width = max(model.groups // GROUPS_PER_TASK, spark.sparkContext.defaultParallelism)
     answers = parcels.repartition(width, "group_").groupBy("group_").applyInArrow(ask, _PARCEL)
     gains = answers.drop("group_").groupBy("run").applyInArrow(gather, "key binary, gain double")
     return gains.groupBy("key").agg(F.min("gain").alias("gain"))
