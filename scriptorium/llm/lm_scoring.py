@@ -51,6 +51,8 @@ KEEP = 4.0
 # A group of branches has about so many tokens; a task takes about so many groups, one after the other.
 GROUP_TOKENS = 1 << 18
 GROUPS_PER_TASK = 4
+# Pairs of a split word and what follows it that a task counts before it sends them on.
+COUNTED_PAIRS = 1_000_000
 # Bounds the table of frequent words that is sent to the executors.
 MAX_WORDS = 131_072
 MAX_WORD_BYTES = 64
@@ -268,12 +270,31 @@ def _split_words(training: DataFrame, model: Branches, sent: Broadcast) -> DataF
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared(sent)
+        empty = np.zeros(0, np.int64)
+        pairs, n, pending, waiting = empty, empty, [], 0
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            found, place = np.unique(np.concatenate((pairs, *pending)), return_inverse=True)
+            times = np.concatenate((n, np.ones(waiting, np.int64)))
+            return found, np.bincount(place, times, len(found)).astype(np.int64)
+
+        # Counted over the runs of a task, as far as COUNTED_PAIRS bounds them.
         for batch in batches:
             for lists in _token_lists(batch.column(0)):
                 _, symbol, before = model.tokens(lists)
                 at = np.isin(before[0], model.split)
-                pairs, n = np.unique(before[0][at] * len(model.root) + symbol[at], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], names=["pair", "n"])
+                pending.append(before[0][at] * len(model.root) + symbol[at])
+                waiting += len(pending[-1])
+                if waiting > COUNTED_PAIRS:
+                    (pairs, n), pending, waiting = merged(), [], 0
+                    if len(pairs) > COUNTED_PAIRS:
+                        yield rows()
+                        pairs, n = empty, empty
+        pairs, n = merged()
+        yield rows()
 
     def parcel(table: pa.Table) -> pa.Table:
         model = shared(sent)
