@@ -28,6 +28,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -84,11 +85,15 @@ class Branches:
     def tokens(self, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(text, symbol, before)`` of every token; ``before[d - 1]`` is the word ``d`` back, -1 beyond the text's beginning."""
         get, other = self.code.get, self.end - 1
-        flat = [self.end]
+        sent, flat = [b""], [self.end]
         for words in lists:
-            flat += [get(word) if word in self.code else _BEYOND | xxhash.xxh3_64_intdigest(word) >> 2 for word in words]
+            sent += words
+            flat.extend(map(get, words, repeat(-1)))
+            sent.append(b"")
             flat.append(self.end)
         stream = np.array(flat, np.int64)
+        unknown = np.flatnonzero(stream < 0)
+        stream[unknown] = [_BEYOND | xxhash.xxh3_64_intdigest(sent[i]) >> 2 for i in unknown.tolist()]
         n = len(stream) - 1
         padded = np.concatenate((np.full(self.depth, self.end, np.int64), stream))
         before = np.empty((self.depth, n), np.int64)
