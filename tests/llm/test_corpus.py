@@ -330,3 +330,11 @@ def test_stages_keep_columns_and_take_empty_tables(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs.where(F.lit(False)), sf_dir)
         assert out.count() == 0 and out.columns[: len(docs.columns)] == docs.columns
+
+
+def test_mix_keeps_columns_with_names_of_its_own(spark, sf_dir):
+    docs = spark.createDataFrame([(i, "ab cd " * i, "s", -i, f"t{i}", "kept") for i in range(6)], "doc_id long, text string, source string, Size int, taken string, taken_ string")
+    out = corpus_pipeline.mix(spark, docs, sf_dir)
+    assert out.columns == ["doc_id", "text", "source", "Size_", "taken__", "taken_", "size", "source_size", "target", "taken"]
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert all((r["Size_"], r["taken__"], r["taken_"], r["size"]) == (-i, f"t{i}", "kept", 2 * i) for i, r in rows.items()) and len(rows) == 6
