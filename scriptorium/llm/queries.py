@@ -43,7 +43,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"), own_blocks=mixing.OWN_BLOCKS)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,27 +118,24 @@ filled AS (
 targets AS MATERIALIZED (
   SELECT place, source, source_size,
     CASE WHEN cap * open_ <= rest * weight THEN cap ELSE weight * max(CASE WHEN cap * open_ > rest * weight THEN rest / open_ END) OVER () END AS target FROM filled),
-size_ AS MATERIALIZED (SELECT words, greatest(1, ceil(words / 1000000))::BIGINT AS block FROM (
-  SELECT coalesce(sum(source_size), 0)::BIGINT * 1.5::DOUBLE AS words FROM targets)),
-spans AS MATERIALIZED (
-  SELECT place, blocks, lo, coalesce(lead(lo) OVER (ORDER BY place), 2.0) AS hi FROM (
-    SELECT place, ceil(source_size / block)::BIGINT AS blocks,
-      coalesce(sum(target) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / words AS lo
-    FROM targets, size_ WHERE target > 0)),
-slots AS (
-  SELECT slot, slot * ((sqrt(5.0::DOUBLE) - 1) / 2) - floor(slot * ((sqrt(5.0::DOUBLE) - 1) / 2)) AS point
-  FROM (SELECT unnest(range(floor(words / block + 0.5)::BIGINT)) AS slot FROM size_)),
+size_ AS (SELECT greatest(1, ceil(coalesce(sum(source_size), 0)::BIGINT * 1.5::DOUBLE / 1000000))::BIGINT AS most FROM targets),
+sized AS MATERIALIZED (
+  SELECT *, greatest(1, least(most, floor(least(source_size, target) / 2000)))::BIGINT AS block FROM targets, size_),
+blocked AS (
+  SELECT *, ceil(source_size / block)::BIGINT AS blocks, floor(target / source_size) AS rounds FROM sized WHERE target > 0),
+needs AS (
+  SELECT place, blocks, least(rounds * blocks + floor((target - rounds * source_size) / block + 0.5), blocks * 2)::BIGINT AS need FROM blocked),
+-- A source's slots have the ranks from 0 to its need, in rounds over its blocks.
 draws AS (
-  SELECT place, rank % blocks AS block_no, count(*) AS times FROM (
-    SELECT place, blocks, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS rank FROM slots JOIN spans ON lo <= point AND point < hi)
-  WHERE rank < 2 * blocks GROUP BY 1, 2),
+  SELECT place, block_no, need // blocks + (block_no < need % blocks)::INT AS times
+  FROM (SELECT *, unnest(range(blocks)) AS block_no FROM needs)),
 placed AS (
-  SELECT r, doc_id, size, source_size, target, place,
+  SELECT r, doc_id, size, source_size, target, place, block,
     coalesce(sum(size) OVER (PARTITION BY place ORDER BY ('0x' || h[1:6])::BIGINT % 4096, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_
-  FROM rows_ JOIN targets ON rows_.source IS NOT DISTINCT FROM targets.source),
+  FROM rows_ JOIN sized ON rows_.source IS NOT DISTINCT FROM sized.source),
 pieces AS (
   SELECT r, place, begin_, begin_ + size AS end_, block, unnest(range(begin_ // block, (begin_ + size - 1) // block + 1)) AS block_no
-  FROM placed, size_ WHERE size > 0),
+  FROM placed WHERE size > 0),
 taken AS (
   SELECT r, sum((least(end_, (block_no + 1) * block) - greatest(begin_, block_no * block)) * times)::BIGINT AS taken
   FROM pieces JOIN draws USING (place, block_no) GROUP BY r)
