@@ -134,9 +134,47 @@ def test_finds_planted_overlaps_and_nothing_else(spark):
     assert all(r["similarity"] >= 0.8 and r["matched"] >= 5 and r["last_token"] - r["first_token"] + 1 == r["overlap"] for r in found)
     clean = decontamination.drop_contaminated(frame_, benchmark)
     assert clean.columns == frame_.columns and clean.count() == len(docs) - len({i for i, _ in want}) - 1
-    # Blocks of the benchmark give the same.
-    monkey = sum(len(decontamination.SeedIndex.overlaps(i, pa.array([t or "" for _, t in docs]))) for i in decontamination.seed_indexes(benchmark, block_bytes=100))
-    assert monkey == len(found)
+
+
+def test_full_bitmaps_and_short_pieces_change_nothing(spark, monkeypatch):
+    rnd = random.Random(8)
+    items = [words(rnd, n, VOCABULARY) for n in (40, 13, 20, 7, 300)]
+    docs = [(i, words(rnd, 40, VOCABULARY) + " " + " ".join(items[i % 5].split()[i % 3 :]) + " end " + words(rnd, i, VOCABULARY)) for i in range(40)]
+    benchmark = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    want = sorted(map(tuple, decontamination.find_overlaps(frame(spark, docs), benchmark).collect()))
+    # Five of the seven tokens of item 3 are too few.
+    assert {w[:2] for w in want} >= {(i, i % 5) for i in range(40) if (i % 5, i % 3) != (3, 2)}
+    monkeypatch.setattr(decontamination, "MAX_BITS", 10)
+    monkeypatch.setattr(decontamination, "PIECE", 3)
+    monkeypatch.setattr(decontamination, "RUN", 500)
+    assert sorted(map(tuple, decontamination.find_overlaps(frame(spark, docs), benchmark).collect())) == want
+
+
+def test_a_phrase_of_many_items_and_documents(spark):
+    # 300 x 300 with copies: every pair overlaps, one overlap is enough to drop a row; ids of any type.
+    rnd = random.Random(9)
+    phrase = words(rnd, 30, VOCABULARY)
+    items = [(f"item {i}".encode(), f"{phrase} {words(rnd, 20, VOCABULARY)}") for i in range(300)]
+    docs = [(i, f"{words(rnd, 20, VOCABULARY)} {phrase} {i}") for i in range(300)] + [(400, "clean " * 40)]
+    docs += [(1000 + i, f"{phrase} copied") for i in range(2000)]
+    benchmark = spark.createDataFrame(items, "item_id binary, text string")
+    frame_ = frame(spark, docs)
+    assert [r["doc_id"] for r in decontamination.drop_contaminated(frame_, benchmark).collect()] == [400]
+    found = decontamination.find_overlaps(frame_.where("doc_id < 1010"), benchmark)
+    got = found.agg(F.count("*"), F.countDistinct("doc_id", "item_id"), F.min("matched")).first()
+    assert tuple(got)[:2] == (310 * 300, 310 * 300) and got[2] >= 30
+
+
+def test_a_very_long_text_and_a_very_long_item(spark):
+    rnd = random.Random(10)
+    numbered = " ".join(f"w{i}" for i in range(120_000))
+    passage = words(rnd, 30, VOCABULARY)
+    docs = frame(spark, [(1, numbered + " " + passage), (2, numbered[: len(numbered) // 2]), (3, "w7 w8 w9")])
+    benchmark = spark.createDataFrame([(1, passage), (2, numbered)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in decontamination.find_overlaps(docs, benchmark).collect()}
+    assert set(found) == {(1, 1), (1, 2), (2, 2)}
+    assert found[1, 1]["first_token"] == 120_000 and found[1, 1]["matched"] == 30
+    assert found[1, 2]["matched"] == 120_000 and found[2, 2]["overlap"] == found[2, 2]["matched"] > 50_000
 
 
 def test_decontamination_of_empty_tables(spark):
