@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scriptorium.functions import text as tx
 from scriptorium.functions.matching import inline_substrings, joined_hits, text_key
 from scriptorium.functions.rules import MAX_INLINE_RULES, fits_inline, inline_array
 from scriptorium.operators.validate import basename, media_list
+from scriptorium.session import written
 
 LINE_TYPE = "struct<level:int,text:string,is_list:boolean,image:string>"
 
@@ -303,6 +304,31 @@ def sort_posts(posts: DataFrame) -> DataFrame:
     return posts.orderBy(F.col("date").isNull().desc(), F.col("date").desc(), "slug")
 
 
+def number_posts(posts: DataFrame) -> DataFrame:
+    """Add ``feed_position``, from 1 in the order of ``sort_posts``; posts that tie in date and slug in any order.
+
+    Rows count within the parts of the sorted table, which is stored once, and
+    parts start where the earlier ones end, so no task sees all posts. An empty
+    table stays empty.
+    """
+    ordered = written(sort_posts(posts).withColumn("__at", F.monotonically_increasing_id()))
+    # The id holds the part above bit 33 and the row's place in the part below.
+    part = F.shiftright("__at", 33).alias("__part")
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        ordered.groupBy(part)
+        .agg(F.count("*").alias("__n"))
+        .select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    )
+    place = F.col("__at").bitwiseAND((1 << 33) - 1)
+    return (
+        ordered.select("*", part)
+        .join(F.broadcast(starts), "__part")
+        .withColumn("feed_position", F.col("__start") + place + 1)
+        .drop("__at", "__part", "__start")
+    )
+
+
 def summarize_posts(posts: DataFrame) -> DataFrame:
     """Fresh summary and search-engine description."""
     return posts.withColumn("summary", clean_summary(F.col("body"), F.col("summary"))).withColumn(

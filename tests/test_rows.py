@@ -136,3 +136,12 @@ def test_pattern_is_found_across_the_joined_texts(spark):
     cases = spark.createDataFrame([(1, "T1 TWO", 2)], "query_id int, expected_text_contains string, min_results int")
     (row,) = evaluate.eval_text(hits, cases).collect()
     assert (row["n_results"], row["matched"], row["passed"]) == (2, True, True)
+
+
+def test_posts_are_numbered_in_feed_order(spark):
+    rows = [(f"s{i % 37:02d}", f"2024-01-{i % 28 + 1:02d}" if i % 5 else None) for i in range(400)] + [(None, None), ("s01", None), (None, "2024-01-03")]
+    posts = spark.createDataFrame(rows, "slug string, date string").select("slug", F.to_date("date").alias("date"), F.lit(0).alias("n")).repartition(7)
+    got = sorted((r["feed_position"], r["slug"], r["date"]) for r in normalize.number_posts(posts).collect())
+    want = [(r["slug"], r["date"]) for r in normalize.sort_posts(posts).collect()]
+    assert [g[0] for g in got] == list(range(1, len(rows) + 1)) and [g[1:] for g in got] == want
+    assert normalize.number_posts(posts.where("n > 0")).count() == 0

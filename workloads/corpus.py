@@ -291,11 +291,17 @@ FROM refs LEFT JOIN image_names ON name = substr(old_ref, 8)"""
 
 
 def sort_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts in feed order, numbered by it."""
+    """Posts in feed order."""
     ordered = nz.sort_posts(fx.posts(spark, sf_dir).select("slug", "date"))
     return ordered.select("slug", F.col("date").cast("string").alias("date"))
 
 
+def feed_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts numbered in feed order."""
+    numbered = nz.number_posts(fx.posts(spark, sf_dir).select("slug", "date"))
+    return numbered.select("slug", F.col("date").cast("string").alias("date"), "feed_position")
+
+
 # --- publishing --------------------------------------------------------------------------------
 
 def posts_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,6 +415,11 @@ QUERIES = {
     "clean_summary": (clean_summary, SUMMARY_SQL),
     "extract_summary": (extract_summary, EXTRACT_SQL),
     "media_refs": (media_refs, MEDIA_REFS_SQL),
+    "feed_positions": (
+        feed_positions,
+        f"""WITH {fx.POSTS_SQL}
+        SELECT slug, date::VARCHAR AS date, row_number() OVER (ORDER BY (date IS NULL) DESC, date DESC, slug) AS feed_position FROM posts""",
+    ),
     "sort_posts": (sort_posts, f"WITH {fx.POSTS_SQL} SELECT slug, date::VARCHAR AS date FROM posts"),
     "posts_feed": (posts_feed, POSTS_FEED_SQL),
     "json_feed": (json_feed, JSON_FEED_SQL),

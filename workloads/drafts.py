@@ -95,6 +95,12 @@ def merge_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.merge_warnings(checked).select("draft_id", F.size("qa_warnings").alias("n"), F.array_join(F.array_sort("qa_warnings"), "\n").alias("warnings"))
 
 
+def ordered_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged warnings as they stand: style first, each message at its first place."""
+    checked = qa.mode_qa(qa.style_qa(drafts(spark, sf_dir), RULES), modes(spark))
+    return qa.merge_warnings(checked).select("draft_id", F.array_join("qa_warnings", "\n").alias("warnings"))
+
+
 def parse_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns wrapped as a model would answer: fenced JSON, bare JSON, broken JSON, plain text."""
     turns = fx.table(spark, sf_dir, "conversations")
@@ -228,6 +234,11 @@ QUERIES = {
         f"""WITH {DRAFTS_SQL}, m AS (SELECT draft_id, list_sort(list_distinct(list_concat(s.w, b.w))) AS w FROM style s JOIN by_mode b USING (draft_id))
         SELECT draft_id, len(w)::INT AS n, array_to_string(w, chr(10)) AS warnings FROM m""",
     ),
+    "ordered_warnings": (
+        ordered_warnings,
+        f"""WITH {DRAFTS_SQL}, m AS (SELECT draft_id, list_concat(s.w, b.w) AS w FROM style s JOIN by_mode b USING (draft_id))
+        SELECT draft_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), chr(10)) AS warnings FROM m""",
+    ),
     "parse_draft": (parse_draft, PARSE_SQL),
     "effective_draft": (effective_draft, EFFECTIVE_SQL),
     "draft_patch": (draft_patch, PATCH_SQL),
