@@ -41,9 +41,13 @@ def quality_score(assets: DataFrame) -> DataFrame:
             "filesize": clipped(F.col("bytes") / 1_048_576.0),
         }
     )
+    def one_digit(value: Column) -> Column:
+        # Halves go up, also those that a sum of fractions misses by its last bit, like 56.449999999999996.
+        return F.round(value * 10, 0) / 10
+
     total = 0.35 * F.col("resolution") + 0.40 * F.col("sharpness") + 0.15 * F.col("exposure") + 0.10 * F.col("filesize")
-    rounded = {c: F.round(c, 1) for c in ("resolution", "sharpness", "exposure", "filesize")}
-    return scored.withColumn("total", F.round(total, 1)).withColumns(rounded)
+    rounded = {c: one_digit(F.col(c)) for c in ("resolution", "sharpness", "exposure", "filesize")}
+    return scored.withColumn("total", one_digit(total)).withColumns(rounded)
 
 
 def difference_bits(values: Column) -> Column:

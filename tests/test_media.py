@@ -74,6 +74,16 @@ def test_quality(spark):
     assert [r["total"] for r in media.quality_score(df).orderBy("filename").collect()] == [100.0, 7.5, 0.0]
 
 
+# The total is 56.45, as a sum of doubles 56.449999999999996.
+_HALF = [("en", "d5300", 1500, 700, 1_970_700, 800.0, 244.0)]
+_ASSET = "event_id string, filename string, width int, height int, bytes bigint, lap_var double, mean_b double"
+
+
+def test_halves_go_up(spark):
+    (row,) = media.quality_score(spark.createDataFrame(_HALF, _ASSET)).collect()
+    assert (row["total"], row["resolution"], row["sharpness"], row["exposure"], row["filesize"]) == (56.5, 35.0, 80.0, 14.7, 100.0)
+
+
 def test_roles(spark):
     rows = [("e", f"n{i:02d}", float(30 - i), i == 3) for i in range(20)] + [("e", "zero", 0.0, False)]
     df = spark.createDataFrame(rows, "part string, name string, total double, duplicate boolean")
