@@ -84,6 +84,15 @@ def test_halves_go_up(spark):
     assert (row["total"], row["resolution"], row["sharpness"], row["exposure"], row["filesize"]) == (56.5, 35.0, 80.0, 14.7, 100.0)
 
 
+def test_best_has_the_rounded_total(spark):
+    groups = spark.createDataFrame([("en", "d5300", "d5300"), ("en", "d6", "d5300")], "part string, name string, leader string")
+    # The other copy has 56.5 by a larger margin; equal totals are decided by name.
+    marks = media.quality_score(spark.createDataFrame([*_HALF, ("en", "d6", 1500, 700, 1_975_000, 801.0, 244.0)], _ASSET))
+    scores = marks.select(F.col("event_id").alias("part"), F.col("filename").alias("name"), "total")
+    got = {r["name"]: (r["total"], r["duplicate"]) for r in media.keep_best(groups, scores).collect()}
+    assert got == {"d5300": (56.5, False), "d6": (56.5, True)}
+
+
 def test_roles(spark):
     rows = [("e", f"n{i:02d}", float(30 - i), i == 3) for i in range(20)] + [("e", "zero", 0.0, False)]
     df = spark.createDataFrame(rows, "part string, name string, total double, duplicate boolean")
