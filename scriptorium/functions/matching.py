@@ -4,9 +4,10 @@ Two equivalent ways for each kind of match:
 
 * *inline*: the terms ride in the plan as an array literal and every text is
   searched in its own row. No shuffle. For term tables of a checked size.
-* *joined*: texts are cut into short windows that meet the terms in an equi-join,
+* *joined*: every place of a text offers short keys that meet the terms in an equi-join,
   so the cost grows with the text and not with text times terms. For term
-  tables of any size; only matches are shuffled, never texts.
+  tables of any size. Up to a checked number of terms only matches are shuffled; beyond
+  it places are, each with a few segments around it. Whole texts never are.
 
 Texts are cut between word characters and other characters into *segments*. A term of
 several segments can only occur where its cuts are cuts of the text, so its key is what
@@ -95,18 +96,16 @@ def inline_substrings(text: Column, terms: Column) -> Column:
 
 # --- joined ------------------------------------------------------------------
 
-# Separates the fields of a window; taken out of texts and terms beforehand.
-_MARK = "\u0001"
 # Keys are whole words, grams inside a segment, and grams to the left and right of a cut.
 _WORD, _INSIDE, _LEFT, _RIGHT = "W", "I", "L", "R"
 
 
-def _unmarked(text: Column) -> Column:
-    return F.translate(F.lower(F.coalesce(text, F.lit(""))), _MARK, " ")
+def _lowered(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
 
 
 def _offers(term: Column, whole_words: bool) -> Column:
-    """The keys a term could have: ``array<struct<kind, g, gram, off>>``; ``off`` characters of the term lie before its cut."""
+    """The keys a term could have: ``array<struct<kind, g, gram, off>>``; ``off`` characters of the term lie before its place."""
     def offer(kind: str, gram: Column, off: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.length(gram).alias("g"), gram.alias("gram"), off.alias("off"))
 
@@ -119,7 +118,7 @@ def _offers(term: Column, whole_words: bool) -> Column:
         return F.transform(F.sequence(F.lit(1), F.size(s) - 1), at)
 
     length = F.least(F.lit(_GRAM), F.length(term))
-    inside = F.transform(F.sequence(F.lit(1), F.length(term) - length + 1), lambda p: offer(_INSIDE, F.substring(term, p, length), F.lit(0)))
+    inside = F.transform(F.sequence(F.lit(1), F.length(term) - length + 1), lambda p: offer(_INSIDE, F.substring(term, p, length), p - 1))
     word = F.array(F.struct(F.lit(_WORD).alias("kind"), F.lit(0).alias("g"), term.alias("gram"), F.lit(0).alias("off")))
     return let(
         segments(term),
@@ -129,68 +128,78 @@ def _offers(term: Column, whole_words: bool) -> Column:
     )
 
 
-def _windows(segs: Column, shapes: list[tuple[str, int]], reach: int) -> Column:
-    """Distinct windows of a text, each as marked string kind, length, gram, before, window, after.
+# A kind of key, its length, and the largest number of segments that one of its grams touches.
+Shape = tuple[str, int, int]
 
-    Beside a cut, before and after hold ``reach`` segments and one more. Strings,
-    because distinct strings are found by hashing and structs are not.
-    """
-    def packed(kind: str, g: int, gram: Column, before: Column, window: Column, after: Column) -> Column:
-        return F.concat_ws(_MARK, F.lit(kind), F.lit(str(g)), gram, before, window, after)
-
-    def places(first: Column, last: Column) -> Column:
-        return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-
-    none = F.lit("")
 
-    def in_segment(kind: str, g: int) -> Column:
-        def around(i: Column, gram: Column) -> Column:
-            before = F.coalesce(F.right(F.get(segs, i - 1), F.lit(1)), none)
-            after = F.coalesce(F.left(F.get(segs, i + 1), F.lit(1)), none)
-            return packed(kind, g, gram, before, F.get(segs, i), after)
-
-        def grams(i: Column) -> Column:
-            starts = places(F.lit(1), F.length(F.get(segs, i)) - g + 1)
-            return F.transform(starts, lambda p: around(i, F.substring(F.get(segs, i), p, F.lit(g))))
-
-        every = places(F.lit(0), F.size(segs) - 1)
-        return F.transform(every, lambda i: around(i, F.get(segs, i))) if kind == _WORD else F.flatten(F.transform(every, grams))
+def _shapes(keys: DataFrame) -> list[Shape]:
+    """The kinds and lengths of the keys, at most three dozen whatever the number of terms."""
+    found = keys.groupBy("__kind", "__g").agg(F.max(F.size(segments(F.col("__gram")))).alias("n"))
+    return sorted((r["__kind"], int(r["__g"]), r["n"]) for r in found.collect())
 
-    def cut(i: Column) -> Column:
-        first = F.greatest(F.lit(1), i - reach)
-        return F.struct(
-            F.array_join(F.slice(segs, first, i - first + 1), "").alias("before"), F.array_join(F.slice(segs, i + 1, F.lit(reach + 1)), "").alias("after")
-        )
 
-    def at_cuts(cuts: Column, kind: str, g: int) -> Column:
-        side = "before" if kind == _LEFT else "after"
-        long = F.filter(cuts, lambda c: F.length(c[side]) >= g)
-        take = F.right if kind == _LEFT else F.left
-        return F.transform(long, lambda c: packed(kind, g, take(c[side], F.lit(g)), c["before"], none, c["after"]))
+def _places(texts: DataFrame, text_id: list[str], text: str, shapes: list[Shape]) -> DataFrame:
+    """``(__x, __i, __p, __kind, __g, __gram)``: what every place of a text offers.
 
-    inner = [in_segment(kind, g) for kind, g in shapes if kind in (_WORD, _INSIDE)]
-    outer = [(kind, g) for kind, g in shapes if kind in (_LEFT, _RIGHT)]
-    if outer:
-        cuts = F.transform(places(F.lit(1), F.size(segs) - 1), cut)
-        inner.append(let(cuts, lambda c: F.concat(*[at_cuts(c, kind, g) for kind, g in outer])))
-    return F.array_distinct(F.concat(*inner))
+    ``__x`` holds the ids and the segments ``segs`` of the text, ``__i`` counts segments from 0,
+    ``__p`` characters of a segment from 1. All of it is generated code without lambdas,
+    and no row is copied until something is kept of it.
+    """
+    def listed(kinds: tuple[str, ...]) -> Column:
+        of_kind = [F.struct(F.lit(kind).alias("kind"), F.lit(g).alias("g")) for kind, g, _ in shapes if kind in kinds]
+        return F.array(*of_kind) if of_kind else F.array().cast("array<struct<kind:string,g:int>>")
+
+    def deep(kind: str) -> int:
+        return max([n for k, _, n in shapes if k == kind], default=0)
+
+    x, i, p = F.col("__x"), F.col("__i"), F.col("__p")
+    held = texts.select(F.struct(*text_id, segments(_lowered(F.col(text))).alias("segs")).alias("__x"))
+    rows = held.where(F.size("__x.segs") > 0).select("__x", F.explode(F.sequence(F.lit(0), F.size("__x.segs") - 1)).alias("__i"))
+    left, right = deep(_LEFT), deep(_RIGHT)
+    sides = {
+        "__left": F.array_join(F.slice(x["segs"], F.greatest(F.lit(1), i - left + 1), F.least(i, F.lit(left))), ""),
+        "__right": F.when(i > 0, F.array_join(F.slice(x["segs"], i + 1, F.lit(right)), "")).otherwise(""),
+        "__seg": F.get(x["segs"], i),
+    }
+    rows = rows.select("__x", "__i", *[side.alias(name) for name, side in sides.items()])
+    # Place 0 is the whole segment and the cut before it, the others are its characters.
+    last = F.length("__seg") if deep(_INSIDE) else F.lit(0)
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("__p"))
+    shape = F.when(p == 0, listed((_WORD, _LEFT, _RIGHT))).otherwise(listed((_INSIDE,)))
+    rows = rows.select("*", F.explode(shape).alias("__shape")).select("*", F.col("__shape.kind").alias("__kind"), F.col("__shape.g").alias("__g"))
+    g = F.col("__g")
+    gram = (
+        F.when(F.col("__kind") == _WORD, F.col("__seg"))
+        .when(F.col("__kind") == _LEFT, F.right("__left", g))
+        .when(F.col("__kind") == _RIGHT, F.left("__right", g))
+        .otherwise(F.substring("__seg", p, g))
+    )
+    rows = rows.select("__x", "__i", F.greatest(p, F.lit(1)).alias("__p"), "__kind", "__g", gram.alias("__gram"))
+    return rows.where((F.col("__kind") == _WORD) | (F.length("__gram") == g))
 
 
-_FIELDS = ("kind", "g", "gram", "before", "window", "after")
+def _around(segs: Column, i: Column, p: Column, before: Column, after: Column) -> tuple[Column, Column]:
+    """What lies before and after a place, with so many whole segments of either side."""
+    seg = F.get(segs, i)
+    first = F.greatest(F.lit(1), i - before + 1)
+    left = F.concat(F.array_join(F.slice(segs, first, i - first + 1), ""), F.left(seg, p - 1))
+    return left, F.concat(F.substring(seg, p, F.length(seg)), F.array_join(F.slice(segs, i + 2, after), ""))
 
 
-def _cut_windows(texts: DataFrame, text_id: list[str], text: str, shapes: list[tuple[str, int]], reach: int) -> DataFrame:
-    cut = texts.select(*text_id, segments(_unmarked(F.col(text))).alias("__segs"))
-    exploded = cut.select(*text_id, F.explode_outer(_windows(F.col("__segs"), shapes, reach)).alias("__w")).where("__w IS NOT NULL")
-    return exploded.select(*text_id, *[F.split_part("__w", F.lit(_MARK), F.lit(n + 1)).alias(f"__{f}") for n, f in enumerate(_FIELDS)])
+def _cut_windows(texts: DataFrame, text_id: list[str], text: str, shapes: list[Shape], reach: int) -> DataFrame:
+    """The places of texts as rows that can be sent around: ids, kind, length, gram, and ``reach`` segments on either side."""
+    rows = _places(texts, text_id, text, shapes)
+    before, after = _around(F.col("__x.segs"), F.col("__i"), F.col("__p"), F.lit(reach), F.lit(reach))
+    ids = [F.col("__x")[c].alias(c) for c in text_id]
+    return rows.select(*ids, "__kind", F.col("__g").cast("string").alias("__g"), "__gram", before.alias("__before"), after.alias("__after"))
 
 
-def _shapes(keys: DataFrame) -> list[tuple[str, int]]:
-    """The kinds and lengths of the keys, at most three dozen whatever the number of terms."""
-    return sorted((r["__kind"], int(r["__g"])) for r in keys.select("__kind", "__g").distinct().collect())
+_KEY = ["__kind", "__g", "__gram"]
 
 
-_KEY = ["__kind", "__g", "__gram"]
+def _hash() -> Column:
+    """Keys meet under a number. What is found under it is compared with the text, so two keys may share one."""
+    return F.xxhash64("__kind", F.col("__g").cast("int"), "__gram")
 
 
 def rarest_keys(texts: DataFrame, text: str, lowered: DataFrame, whole_words: bool) -> DataFrame:
@@ -200,10 +209,11 @@ def rarest_keys(texts: DataFrame, text: str, lowered: DataFrame, whole_words: bo
     shapes = _shapes(offers)
     if not shapes:
         return offers
-    grams = written(offers.groupBy(*_KEY).agg(F.countDistinct("__t").alias("terms")))
-    some = texts.select(text).where(F.pmod(F.xxhash64(text_key(F.col(text))), F.lit(_SAMPLE)) == 0)
-    seen = _cut_windows(some, [], text, shapes, 1).groupBy(*_KEY).agg(F.count("*").alias("texts"))
-    weighed = grams.join(seen, _KEY, "left").withColumn("weight", F.col("terms") * (F.coalesce("texts", F.lit(0)) + 1))
+    grams = written(offers.groupBy(*_KEY).agg(F.countDistinct("__t").alias("terms")).withColumn("__h", _hash()))
+    some = texts.select(text).where(F.pmod(F.xxhash64(text), F.lit(_SAMPLE)) == 0)
+    known = grams.select("__h").distinct()
+    seen = _places(some, [], text, shapes).select(_hash().alias("__h")).join(known, "__h", "left_semi").groupBy("__h").agg(F.count("*").alias("texts"))
+    weighed = grams.join(seen, "__h", "left").withColumn("weight", F.col("terms") * (F.coalesce("texts", F.lit(0)) + 1))
     # Of equally rare grams the longer one.
     choice = F.struct("weight", (-F.col("__g").cast("int")).alias("short"), "__kind", "__gram", "__off")
     best = offers.join(weighed.select(*_KEY, "weight"), _KEY).groupBy("__t").agg(F.min_by(F.struct(*_KEY, "__off"), choice).alias("k"))
@@ -228,29 +238,43 @@ def joined_hits(
     """
     if mode not in ("substring", "dictionary", "bounded"):
         raise ValueError(f"unknown mode {mode!r}")
-    lowered = terms.where(F.col(term) != "").select(*term_id, _unmarked(F.col(term)).alias("__t"))
+    lowered = terms.where(F.col(term) != "").select(*term_id, _lowered(F.col(term)).alias("__t"))
     keys = rarest_keys(texts, text, lowered, mode != "substring")
     shapes = _shapes(keys)
     if not shapes:
         fields = texts.select(*text_id).schema.fields + terms.select(*term_id).schema.fields
         return texts.sparkSession.createDataFrame([], T.StructType(fields))
     size = keys.agg(F.max(F.size(segments(F.col("__t")))).alias("m"), F.count("*").alias("n")).first()
-    shaped = (
-        lowered.join(keys, "__t")
-        .withColumn("__guard", guarded_pattern(F.col("__t")))
-        .withColumn("__whole", is_word(F.col("__t")))
-        .withColumn("__rest", F.length("__t") - F.col("__off"))
+    rest = F.expr("substring(__t, __off + 1)")
+    bounded = {"substring": F.lit(False), "dictionary": is_word(F.col("__t")), "bounded": F.lit(True)}[mode]
+    # The term's two parts, the segments that they touch and, on either side, the one behind them.
+    shaped = lowered.join(keys, "__t").select(
+        *[F.col(c).alias(f"__id_{n}") for n, c in enumerate(term_id)],
+        _hash().alias("__h"),
+        F.expr("left(__t, __off)").alias("__head"),
+        rest.alias("__tail"),
+        F.col("__off").alias("__off"),
+        F.length(rest).alias("__rest"),
+        (F.size(segments(F.expr("left(__t, __off)"))) + 1).alias("__m"),
+        (F.size(segments(rest)) + 1).alias("__n"),
+        bounded.alias("__bounded"),
     )
-    windows = _cut_windows(texts, text_id, text, shapes, size["m"])
-    # Terms are broadcast up to a checked number; beyond it both sides are sorted.
-    shaped = F.broadcast(shaped) if size["n"] <= MAX_BROADCAST_TERMS else shaped.hint("merge")
-    contains = F.col("__window").contains(F.col("__t"))
-    alone = F.regexp_like(F.concat("__before", "__window", "__after"), F.col("__guard"))
-    # Beside a cut the term has one place.
-    placed = F.concat(F.expr("right(__before, __off)"), F.expr("left(__after, __rest)")) == F.col("__t")
-    edges = F.concat(F.expr("right(__before, __off + 1)"), F.expr("left(__after, __rest + 1)"))
-    if mode == "bounded":
-        contains, placed = contains & alone, placed & F.regexp_like(edges, F.col("__guard"))
-    inside = contains if mode == "substring" else F.when(F.col("__whole"), F.col("__window") == F.col("__t")).otherwise(contains)
-    verified = F.when(F.col("__kind").isin(_LEFT, _RIGHT), placed).otherwise(inside)
-    return windows.join(shaped, _KEY).where(verified).select(*text_id, *term_id).distinct()
+    if size["n"] <= MAX_BROADCAST_TERMS:
+        # Terms come to the texts, what surrounds a place is looked at where a key has met.
+        met = _places(texts, text_id, text, shapes).withColumn("__h", _hash()).join(F.broadcast(shaped), "__h")
+        before, after = _around(F.col("__x.segs"), F.col("__i"), F.col("__p"), F.col("__m"), F.col("__n"))
+        ids = [F.col("__x")[c].alias(c) for c in text_id]
+    else:
+        # Both sides are sorted.
+        windows = _cut_windows(texts, text_id, text, shapes, size["m"] + 1).withColumn("__h", _hash())
+        met = windows.drop(*_KEY).join(shaped.hint("merge"), "__h")
+        before, after = F.col("__before"), F.col("__after")
+        ids = [F.col(c) for c in text_id]
+    met = met.select(*ids, *[F.col(f"__id_{n}").alias(c) for n, c in enumerate(term_id)], before.alias("__b"), after.alias("__a"), *_TERM)
+    placed = (F.expr("right(__b, __off)") == F.col("__head")) & (F.expr("left(__a, __rest)") == F.col("__tail"))
+    beside = F.concat(F.when(F.length("__b") > F.col("__off"), F.expr("left(right(__b, __off + 1), 1)")).otherwise(""), F.expr("substring(__a, __rest + 1, 1)"))
+    free = ~F.col("__bounded") | ~beside.rlike(WORD_CHAR)
+    return met.where(placed & free).select(*text_id, *term_id).distinct()
+
+
+_TERM = ("__head", "__tail", "__off", "__rest", "__bounded")

@@ -78,3 +78,28 @@ def test_no_terms_and_repeated_terms(spark, frames):
     double = spark.createDataFrame([(1, "ab"), (2, "AB"), (3, "a b"), (4, "")], "k int, term string")
     got = {(r["id"], r["k"]) for r in joined_hits(docs, ["id"], "text", double, ["k"], "term", mode="substring").collect()}
     assert got == {(i, k) for i, t in texts() for k, term in ((1, "ab"), (2, "ab"), (3, "a b")) if term in t.lower()}
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_control_characters_are_characters(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(matching, "MAX_BROADCAST_TERMS", 0)
+    docs = spark.createDataFrame([(1, "one\u0001two"), (2, "one two"), (3, "x one\u0001two x")], "id int, text string")
+    terms = spark.createDataFrame([("one two",), ("e\u0001t",)], "term string")
+    got = {m: {tuple(r) for r in joined_hits(docs, ["id"], "text", terms, ["term"], "term", mode=m).collect()} for m in ("substring", "bounded")}
+    assert got == {"substring": {(1, "e\u0001t"), (2, "one two"), (3, "e\u0001t")}, "bounded": {(2, "one two")}}
+
+
+def test_no_lambda_runs_on_a_place(spark, frames, capsys):
+    docs, terms = frames
+    for mode in ("substring", "dictionary", "bounded"):
+        joined_hits(docs, ["id"], "text", terms, ["term"], "term", mode=mode).explain(True)
+    assert "lambda" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("mode", ["substring", "dictionary", "bounded"])
+def test_sorted_terms_find_the_same(frames, monkeypatch, mode):
+    monkeypatch.setattr(matching, "MAX_BROADCAST_TERMS", 0)
+    docs, terms = frames
+    got = joined_hits(docs, ["id"], "text", terms, ["term"], "term", mode=mode).collect()
+    assert len(got) == len(set(got)) and {(r["id"], r["term"]) for r in got} == expected(mode)
