@@ -1,6 +1,9 @@
 import datetime
 import json
 
+from pyspark.sql import functions as F
+
+from scriptorium import session
 from scriptorium.operators import validate
 from scriptorium.plans import jobs
 from scriptorium.sources import readers, writers
@@ -106,3 +109,18 @@ def test_streaming_ingest(spark, tmp_path):
     assert drain() == {("a__000", "T"), ("a__001", "one"), ("b__000", "T"), ("b__001", "one")}
     (arriving / "2.json").write_text(json.dumps({**base, "slug": "a", "body": ""}) + "\n")
     assert drain() == {("a__000", "T"), ("b__000", "T"), ("b__001", "one")}
+
+
+def test_large_inputs_are_dealt_to_more_tasks(spark, tmp_path, monkeypatch):
+    rows = spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    size = sum(f.stat().st_size for f in (tmp_path / "one").glob("*.parquet"))
+    monkeypatch.setattr(session, "TASK_BYTES", size // 40)
+    dealt = session.spread(one)
+    assert dealt.rdd.getNumPartitions() >= 40 and dealt.count() == 20_000
+    # Enough splits stay as they are.
+    rows.repartition(64).write.parquet(str(tmp_path / "many"))
+    monkeypatch.setattr(session, "TASK_BYTES", size)
+    many = spark.read.option("maxPartitionBytes", 1).parquet(str(tmp_path / "many"))
+    assert session.spread(many).rdd.getNumPartitions() == many.rdd.getNumPartitions()
