@@ -172,14 +172,26 @@ def hashed_vector(counts: Column) -> Column:
     def bucket(term: Column) -> Column:
         return (F.conv(F.substring(F.md5(term.cast("binary")), 1, 8), 16, 10).cast("long") % DENSE_DIM).cast("int")
 
-    hashed = F.transform(counts, lambda c: F.struct(bucket(c["term"]).alias("b"), c["tf"].cast("double").alias("w")))
+    hashed = F.array_sort(F.transform(counts, lambda c: F.struct(bucket(c["term"]).alias("b"), c["tf"].alias("w"))))
 
     def sums(pairs: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(DENSE_DIM - 1)),
-            lambda b: F.aggregate(F.filter(pairs, lambda p: p["b"] == b), F.lit(0.0), lambda acc, p: acc + p["w"]),
+        """Equal buckets lie together: each pair is visited as part of its run, not once per bucket."""
+        starts = F.filter(
+            F.transform(pairs, lambda p, i: F.when((i == 0) | (F.get(pairs, i - 1)["b"] != p["b"]), i)), lambda i: i.isNotNull()
         )
 
+        def run(at: Column, s: Column, k: Column) -> Column:
+            members = F.slice(pairs, s + 1, F.coalesce(F.get(at, k + 1), F.size(pairs)) - s)
+            return F.aggregate(members, F.lit(0.0), lambda acc, p: acc + p["w"])
+
+        def by_bucket(at: Column) -> Column:
+            filled = F.struct(F.transform(at, lambda s: F.get(pairs, s)["b"]).alias("b"), F.transform(at, lambda s, k: run(at, s, k)).alias("v"))
+            places = F.sequence(F.lit(0), F.lit(DENSE_DIM - 1))
+            # A place that no run has is 0, one before the first.
+            return let(filled, lambda f: F.transform(places, lambda b: F.coalesce(F.get(f["v"], (F.array_position(f["b"], b) - 1).cast("int")), F.lit(0.0))))
+
+        return let(starts, by_bucket)
+
     def scaled(values: Column) -> Column:
         norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v * v))
         return let(norm, lambda n: F.transform(values, lambda v: F.when(n > 0, v / n).otherwise(0.0).cast("float")))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import time
 
@@ -92,3 +93,17 @@ def test_term_counts_and_weights(spark):
 def test_stop_words(spark):
     df = spark.createDataFrame([("the a the b",)], "t string").select(ix.term_counts(F.col("t"), ["the"]).alias("c"))
     assert [c["term"] for c in df.first()["c"]] == ["a", "b"]
+
+
+def test_hashed_vectors(spark):
+    words = [f"w{i}" for i in range(200)]
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(words, k=n))) for i, n in enumerate((1, 2, 40, 400))] + [(8, ""), (9, None)]
+    got = ix.add_hashed_vectors(spark.createDataFrame(rows, "id int, text string"), "text").collect()
+    for row in got:
+        sums = [0.0] * ix.DENSE_DIM
+        for word in (row["text"] or "").split():
+            sums[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % ix.DENSE_DIM] += 1
+        norm = sum(v * v for v in sums) ** 0.5
+        assert row["dense"] == pytest.approx([v / norm if norm else 0.0 for v in sums], abs=1e-6)
+    assert len(got) == 6
