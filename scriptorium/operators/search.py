@@ -74,7 +74,7 @@ def dense_topk(queries: DataFrame, index: DataFrame, k: int, metric: str = "cosi
 
 
 # Scores held at once by a task.
-_MATRIX_CELLS = 4_000_000
+_MATRIX_CELLS = 1_000_000
 
 
 def _query_id() -> Column:
@@ -109,7 +109,7 @@ def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
 
 
 # Hits that a task collects before it cuts them down to the best.
-_BUFFER = 1_000_000
+_BUFFER = 250_000
 
 
 class _Best:
@@ -228,7 +228,7 @@ def _inverted(query_ids: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, lis
 
 
 # Query-term matches expanded at once by a task.
-_MATCHES = 4_000_000
+_MATCHES = 1_000_000
 
 
 def _added_weights(part: pa.RecordBatch, known: pa.Array, starts: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -107,3 +108,18 @@ def test_hashed_vectors(spark):
         norm = sum(v * v for v in sums) ** 0.5
         assert row["dense"] == pytest.approx([v / norm if norm else 0.0 for v in sums], abs=1e-6)
     assert len(got) == 6
+
+
+def test_memory_of_a_worker_does_not_follow_the_matches():
+    # 10 million matches of 100 terms, each in 50 queries.
+    words = [f"t{i}" for i in range(100)]
+    part = pa.RecordBatch.from_arrays(
+        [pa.array([f"c{i}" for i in range(2000)]), pa.array([words] * 2000), pa.array([[1.0] * 100] * 2000)], names=["chunk_id", "terms", "weights"]
+    )
+    known, starts, members = pa.array(words), np.arange(101) * 50, np.tile(np.arange(50), 100)
+    tracemalloc.start()
+    query, chunk, sums = search._added_weights(part, known, starts, members)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(query) == len(chunk) == 100_000 and set(sums) == {100.0}
+    assert peak < 128 * 1024 * 1024
