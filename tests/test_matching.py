@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import matching
 from scriptorium.functions.matching import inline_hits, inline_substrings, joined_hits, prepare_terms
 from scriptorium.functions.rules import inline_array
+from scriptorium.operators import graph
 
 TERMS = ["a", "ab", "b.", ".b", "a b", "ab, ba", "b b", "..", " a ", "ba-ab b", "ü", "aü"]
 
@@ -103,3 +104,10 @@ def test_sorted_terms_find_the_same(frames, monkeypatch, mode):
     docs, terms = frames
     got = joined_hits(docs, ["id"], "text", terms, ["term"], "term", mode=mode).collect()
     assert len(got) == len(set(got)) and {(r["id"], r["term"]) for r in got} == expected(mode)
+
+
+def test_entity_search_runs_no_lambda_on_a_place(spark, capsys):
+    nodes = spark.createDataFrame([("a", "Red Widget", None, "A part.", ["x"], "part"), ("b", "Blue", None, "", [], "part")], "id string, name string, short_name string, description string, aliases array<string>, type string")
+    found = graph.search_entities(spark.createDataFrame([("WIDGET a",), ("blu",)], "query string"), nodes)
+    found.explain(True)
+    assert "lambda" not in capsys.readouterr().out and {tuple(r) for r in found.collect()} == {("WIDGET a", "a"), ("blu", "b")}
