@@ -7,6 +7,13 @@ computed inside the row of their chunk, so building an index shuffles nothing.
 
 from __future__ import annotations
 
+import hashlib
+import sys
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scriptorium.functions.rules import inline_strings
@@ -16,6 +23,9 @@ from scriptorium.operators.tagging import ENTITY_TYPES, tag_entities
 from scriptorium.operators.validate import media_list, split_valid, validate_posts, validate_required
 from scriptorium.session import written
 
+# Task functions travel with their code, so that workers need not have this package.
+register_pickle_by_value(sys.modules[__name__])
+
 DENSE_DIM = 64
 
 
@@ -135,7 +145,11 @@ def term_counts(text: Column, stop_words: list[str] | None = None) -> Column:
     return let(F.sort_array(words), runs)
 
 
-def sparse_vector(counts: Column, *, k: float = 1.2, b: float = 0.75, avg_len: float = 256.0) -> Column:
+# Defaults of k, b and the usual length of a chunk in words.
+_SATURATION = (1.2, 0.75, 256.0)
+
+
+def sparse_vector(counts: Column, *, k: float = _SATURATION[0], b: float = _SATURATION[1], avg_len: float = _SATURATION[2]) -> Column:
     """``array<struct<term, w>>`` with saturated term frequencies, from :func:`term_counts`; no stemming."""
     def weigh(counts: Column) -> Column:
         length = F.aggregate(counts, F.lit(0), lambda n, c: n + c["tf"]).cast("double")
@@ -206,13 +220,51 @@ def add_hashed_vectors(rows: DataFrame, text: str) -> DataFrame:
 def with_vectors(chunks: DataFrame, vectors: DataFrame | None = None, stop_words: list[str] | None = None) -> DataFrame:
     """Add ``sparse`` and ``dense``; supplied ``vectors(chunk_id, dense)`` replace hashed ones.
 
-    Words are counted once for both kinds.
+    Words are cut and counted once for both kinds, a batch of chunks at a time.
     """
-    counted = chunks.withColumn("__counts", term_counts(F.col("chunk_text"), stop_words))
-    sparse = counted.withColumn("sparse", sparse_vector(F.col("__counts")))
+    words = word_list(F.col("chunk_text"))
+    if stop_words:
+        stops = inline_strings(stop_words)
+        words = F.filter(words, lambda w: ~F.array_contains(stops, w))
     if vectors is not None:
-        return sparse.drop("__counts").join(vectors.select("chunk_id", "dense"), "chunk_id", "left")
-    return sparse.withColumn("dense", hashed_vector(F.col("__counts"))).drop("__counts")
+        sparse = chunks.withColumn("sparse", sparse_vector(term_counts(F.col("chunk_text"), stop_words)))
+        return sparse.join(vectors.select("chunk_id", "dense"), "chunk_id", "left")
+    both = F.arrow_udf(_both_vectors, _BOTH_VECTORS)(words)
+    return chunks.withColumn("__both", both).withColumns({"sparse": F.col("__both.sparse"), "dense": F.col("__both.dense")}).drop("__both")
+
+
+_BOTH_VECTORS = "struct<sparse:array<struct<term:string,w:double>>,dense:array<float>>"
+
+
+def _both_vectors(words: pa.Array) -> pa.Array:
+    """:func:`sparse_vector` and :func:`hashed_vector` of the :func:`term_counts` of a batch of word lists.
+
+    Sums are those of whole numbers, so both ways give the same values to the last bit.
+    """
+    k, b, avg_len, rows = *_SATURATION, len(words)
+    lengths = pa.compute.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False)
+    coded = words.flatten().dictionary_encode()
+    terms = coded.dictionary
+    order = pa.compute.array_sort_indices(terms)
+    rank = np.empty(len(terms), np.int64)
+    rank[order.to_numpy()] = np.arange(len(terms))
+    # One number for each pair of row and term, in row and term order.
+    pairs = np.repeat(np.arange(rows, dtype=np.int64), lengths) * max(len(terms), 1) + rank[coded.indices.to_numpy()]
+    distinct, tf = np.unique(pairs, return_counts=True)
+    row, term = np.divmod(distinct, max(len(terms), 1))
+    norm = k * ((1.0 - b) + b * lengths.astype(np.float64) / avg_len)
+    w = tf * (k + 1.0) / (tf + norm[row])
+    terms = terms.take(order)
+    starts = np.zeros(rows + 1, np.int32)
+    np.cumsum(np.bincount(row, minlength=rows), out=starts[1:])
+    sparse = pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays([terms.take(pa.array(term)), pa.array(w)], ["term", "w"]), mask=words.is_null())
+
+    buckets = np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % DENSE_DIM for t in terms.to_pylist()], np.int64)
+    sums = np.bincount(row * DENSE_DIM + buckets[term], weights=tf, minlength=rows * DENSE_DIM).astype(np.float64).reshape(rows, DENSE_DIM)
+    length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+    dense = np.divide(sums, length, out=np.zeros_like(sums), where=length > 0).astype(np.float32)
+    places = pa.array(np.arange(rows + 1, dtype=np.int32) * DENSE_DIM)
+    return pa.StructArray.from_arrays([sparse, pa.ListArray.from_arrays(places, pa.array(dense.ravel()))], ["sparse", "dense"])
 
 
 # --- upsert ----------------------------------------------------------------------
@@ -271,6 +323,8 @@ def one_per_slug(posts: DataFrame, order: list[Column] | None = None) -> DataFra
     """
     content = F.sha2(F.to_json(F.struct("*")), 256)
     repeated = written(posts.groupBy("slug").agg(F.count("*").alias("n")).where("n > 1").select("slug"))
+    if repeated.isEmpty():
+        return posts
     chosen = latest(posts.join(repeated, "slug", "left_semi").withColumn("__content", content), "slug", [*(order or slug_order(posts)), F.asc("__content")])
     return posts.join(repeated, "slug", "left_anti").unionByName(chosen.drop("__content"))
 

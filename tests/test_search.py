@@ -123,3 +123,19 @@ def test_memory_of_a_worker_does_not_follow_the_matches():
     tracemalloc.stop()
     assert len(query) == len(chunk) == 100_000 and set(sums) == {100.0}
     assert peak < 128 * 1024 * 1024
+
+
+def test_vectors_of_a_batch_equal_those_of_expressions(spark):
+    """Chunks get the same vectors to the last bit, in batches without calls per word or conversions of hashes."""
+    texts = ["the cat, the CAT and Ünïcode_1", "", "...", None, "ß ſtraße 日本 日本 á", "x " * 400 + "y", "z퟿ \U0001f600 \U00010400a ￮a"]
+    chunks = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "chunk_id string, chunk_text string")
+    for stops in (None, ["the", "x"]):
+        counts = ix.term_counts(F.col("chunk_text"), stops)
+        want = chunks.select("chunk_id", ix.sparse_vector(counts).alias("sparse"), ix.hashed_vector(counts).alias("dense"))
+        made = ix.with_vectors(chunks, stop_words=stops)
+        assert "conv(" not in made._jdf.queryExecution().optimizedPlan().toString()
+        got = made.select("chunk_id", "sparse", "dense")
+        assert got.schema["dense"].dataType == want.schema["dense"].dataType
+        rows = lambda df: {r["chunk_id"]: (r["sparse"], r["dense"]) for r in df.collect()}
+        assert rows(got) == rows(want)
+    assert ix.with_vectors(chunks.limit(0)).count() == 0
