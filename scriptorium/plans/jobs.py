@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from scriptorium.operators import buckets, context, graph, index, media, normalize, qa, refresh, routing, search, tagging, validate
-from scriptorium.session import written
+from scriptorium.session import spread, written
 from scriptorium.sources import writers
 
 
@@ -158,9 +158,10 @@ def refresh_corpus(
     # A post of another source whose slug comes in is replaced, too.
     gone = replaced.select("slug").union(incoming.select("slug"))
     new_posts = refresh.replace_source(posts, incoming, order)
-    fresh = index.latest(incoming, "slug", order or index.slug_order(incoming))
-    rows, failed = index.ingest_posts(fresh, dictionary)
-    new_index = refresh.refresh_index(news, gone, rows)
+    # Tagged and chunked once, in tasks of one length, though index and report both read the chunks.
+    fresh = spread(written(index.latest(incoming, "slug", order or index.slug_order(incoming))))
+    rows, failed = index.ingest_posts(fresh, dictionary, one_each=True)
+    new_index = refresh.refresh_index(news, gone, written(rows))
     report = refresh.refresh_report(posts, new_posts, replaced, incoming, news, new_index, dry_run=dry_run)
     if dry_run:
         return Refreshed(posts, news, replaced, failed, report)

@@ -62,3 +62,12 @@ def test_snapshot(spark, tmp_path):
     refresh.write_snapshot(matched, str(tmp_path / "s"), "2025")
     kept = spark.read.parquet(str(tmp_path / "s"))
     assert kept.groupBy("snapshot").count().orderBy("snapshot").select(F.col("count")).collect() == [(1,), (1,)]
+
+
+def test_refresh_chunks_posts_once(spark):
+    """Index and report read stored chunks; neither plan cuts texts again."""
+    posts = frame(spark, post("a", "one"), post("c", "two"))
+    index = written(ix.ingest_posts(posts, fx.dictionary(spark))[0])
+    done = jobs.refresh_corpus(posts, index, frame(spark, post("a", "one", "changed")), fx.dictionary(spark))
+    for table in (done.index, done.report):
+        assert "Generate" not in table._jdf.queryExecution().optimizedPlan().toString()

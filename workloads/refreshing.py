@@ -64,8 +64,7 @@ REPLACE_SQL = f"WITH {fx.POSTS_SQL}, {INCOMING_SQL} SELECT slug, title, body, so
 
 @cache
 def _refreshed(spark: SparkSession, sf_dir: str) -> jobs.Refreshed:
-    done = jobs.refresh_corpus(fx.posts(spark, sf_dir), sw.news_index(spark, sf_dir), incoming(spark, sf_dir), fx.dictionary(spark), order=_order())
-    return jobs.Refreshed(done.posts, written(done.index.drop("ingested_at")), done.replaced, done.failed, done.report)
+    return jobs.refresh_corpus(fx.posts(spark, sf_dir), sw.news_index(spark, sf_dir), incoming(spark, sf_dir), fx.dictionary(spark), order=_order())
 
 
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
