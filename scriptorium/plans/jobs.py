@@ -251,13 +251,13 @@ def refresh_archive(
 
     rows, failed, produced = None, spark.createDataFrame([], incoming.schema), 0
     if o.reinsert:
-        made, failed = index.ingest_posts(fresh, dictionary, one_each=True)
+        made, failed = index.ingest_posts(layout.deal(fresh), dictionary, one_each=True)
         rows, produced = _counted(made)
     changed = buckets.Change([], 0)
     if not o.dry_run and (rows is not None or o.delete_existing):
         # A post of another source whose slug comes in is replaced, too.
         gone = matched.select("slug").union(fresh.select("slug")) if o.reinsert else matched.select("slug")
-        changed = buckets.change_index(spark, layout, rows, gone if o.delete_existing else None)
+        changed = buckets.change_index(spark, layout, rows, gone if o.delete_existing else None, dealt=produced)
     points = produced
     if not o.dry_run:
         points = index.count_for_slugs(buckets.read_index(spark, layout), fresh.select("slug")).first()["n_chunks"]

@@ -106,3 +106,38 @@ def test_counts_come_from_the_write(spark):
     rows = spark.range(1000).where("id % 3 = 0").withColumn("v", F.col("id") * 2)
     table, n = jobs._counted(rows)
     assert n == 334 == table.count()
+
+
+def _shuffled(spark, work):
+    """Bytes that ``work`` shuffles, from the stages of its plans."""
+    store = spark._jsc.sc().statusStore()
+    total = lambda: sum(s.shuffleWriteBytes() for s in map(store.lastStageAttempt, range(_stages(spark))))
+    before = total()
+    work()
+    return total() - before
+
+
+def _stages(spark):
+    return spark._jsc.sc().dagScheduler().nextStageId()
+
+
+@pytest.mark.parametrize("sent", [1 << 18, 0])
+def test_rows_that_stay_are_not_shuffled(spark, tmp_path, monkeypatch, sent):
+    """Half of the slugs go and some chunks are replaced; wide rows that stay go from file to file."""
+    wide = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda n: F.hash(n, "slug", "n").cast("string")), " ")
+    rows = written(
+        spark.range(4000).select(F.concat(F.lit("s"), (F.col("id") / 2).cast("int").cast("string")).alias("slug"), (F.col("id") % 2).alias("n"))
+        .select(F.concat_ws("__", "slug", "n").alias("chunk_id"), "slug", F.lit("src").alias("source_document"), wide.alias("v"))
+    )
+    monkeypatch.setattr(buckets, "SMALL_FILE", 0)
+    monkeypatch.setattr(buckets, "MAX_SENT_MARKS", sent)
+    layout = buckets.Layout(str(tmp_path / "index"), buckets=4)
+    buckets.create_index(rows, layout)
+    gone = rows.where("slug < 's15'").select("slug")
+    new = written(rows.where("slug = 's1500' OR chunk_id = 's7__1'").withColumn("v", F.lit("new")))
+    want = ix.upsert(ix.delete_by_slugs(rows, gone), new)
+    moved = _shuffled(spark, lambda: buckets.change_index(spark, layout, new, gone, dealt=3))
+    got = buckets.read_index(spark, layout).drop("bucket")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    if sent:
+        assert moved < 1_000_000  # the rows that stay hold some 5 MB

@@ -117,10 +117,12 @@ def _fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _archive(spark: SparkSession, sf_dir: str, by: str, **flags: bool) -> tuple[jobs.Archive, buckets.Layout]:
     folder = f"{shared_folder(spark)}/archive/{uuid.uuid4().hex}"
     layout = buckets.Layout(f"{folder}/index", by, 32)
-    buckets.create_index(sw.news_index(spark, sf_dir), layout)
+    posts = written(fx.posts(spark, sf_dir))
+    rows, _ = ix.ingest_posts(layout.deal(posts), fx.dictionary(spark))
+    buckets.create_index(rows.drop("ingested_at"), layout, dealt=True)
     rules = jobs.NormalizationRules(fx.ordered_rules(spark), fx.ordered_rules(spark), "general", min_tags=3, max_tags=5)
     done = jobs.refresh_archive(
-        written(fx.posts(spark, sf_dir)), layout, _fresh(spark, sf_dir), fx.dictionary(spark), rules, fx.image_names(spark, sf_dir), folder, "2024-06-01",
+        posts, layout, _fresh(spark, sf_dir), fx.dictionary(spark), rules, fx.image_names(spark, sf_dir), folder, "2024-06-01",
         jobs.RefreshOptions(**flags),
     )
     return done, layout
