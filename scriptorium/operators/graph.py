@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scriptorium.functions.matching import joined_hits
+from scriptorium.functions.rules import MAX_INLINE_RULES, fits_inline, inline_array
 from scriptorium.functions.text import strip
 
 
@@ -87,13 +88,20 @@ def relationships_between(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return adjacency(edges).join(pairs.select("id", "other_id").distinct(), ["id", "other_id"])
 
 
-def search_entities(searches: DataFrame, nodes: DataFrame, entity_type: str | None = None) -> DataFrame:
-    """``(query, id)`` for ``searches(query)``: the words anywhere in name, description or aliases."""
+def search_entities(searches: DataFrame, nodes: DataFrame, entity_type: str | None = None, max_inline: int = MAX_INLINE_RULES) -> DataFrame:
+    """``(query, id)`` for ``searches(query)``: the words anywhere in name, description or aliases.
+
+    Up to ``max_inline`` searches ride in the plan, so that a node is read once and only hits are shuffled.
+    """
     kept = nodes if entity_type is None else nodes.where(F.col("type") == entity_type)
     text = F.concat_ws(" ", *[F.when(F.col(c) != "", F.col(c)) for c in ("name", "short_name", "description")], F.array_join("aliases", " "))
-    return joined_hits(
-        kept.select("id", text.alias("text")), ["id"], "text", searches.select("query").distinct(), ["query"], "query", mode="substring"
-    ).select("query", "id")
+    texts = kept.select("id", text.alias("text"))
+    wanted = searches.select("query").where("query <> ''").distinct()
+    if not fits_inline(wanted, max_inline):
+        return joined_hits(texts, ["id"], "text", wanted, ["query"], "query", mode="substring").select("query", "id")
+    asked = F.explode(inline_array(wanted.withColumn("t", F.lower("query")), "query", "t"))
+    pairs = texts.select("id", F.lower("text").alias("text")).select("id", "text", asked.alias("asked"))
+    return pairs.where(F.col("text").contains(F.col("asked.t"))).select("asked.query", "id").distinct()
 
 
 def entities_by_type(nodes: DataFrame, entity_type: str) -> DataFrame:

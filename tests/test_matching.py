@@ -111,3 +111,17 @@ def test_entity_search_runs_no_lambda_on_a_place(spark, capsys):
     found = graph.search_entities(spark.createDataFrame([("WIDGET a",), ("blu",)], "query string"), nodes)
     found.explain(True)
     assert "lambda" not in capsys.readouterr().out and {tuple(r) for r in found.collect()} == {("WIDGET a", "a"), ("blu", "b")}
+
+
+def test_few_searches_ride_in_the_plan(spark, capsys):
+    rows = [(f"n{i}", f"Part {i % 7} \"red\"", None, "Ünder a Σ.", ["x", None]) for i in range(40)] + [("n1", "Part 1", None, "", [])]
+    nodes = spark.createDataFrame(rows, "id string, name string, short_name string, description string, aliases array<string>").withColumn("type", F.lit("part"))
+    searches = spark.createDataFrame([("PART 3",), ("Part 3",), ('"RED"',), ("ü",), ("σ",), ("",), (None,), ("none",)], "query string")
+    few = graph.search_entities(searches, nodes)
+    capsys.readouterr()
+    few.explain()
+    # One exchange for distinct hits; no place of a text is a row, nothing is joined.
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    got = sorted(tuple(r) for r in few.collect())
+    assert got and got == sorted(tuple(r) for r in graph.search_entities(searches, nodes, max_inline=1).collect())
