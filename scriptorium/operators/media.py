@@ -7,15 +7,24 @@ first leader close to it. Members do not recruit.
 
 from __future__ import annotations
 
+import hashlib
+import sys
 from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scriptorium.functions.text import slugify
 from scriptorium.session import checkpointed, written
 
+# Task functions travel with their code, so that workers need not have this package.
+register_pickle_by_value(sys.modules[__name__])
+
 BITS = 64
 # A band value shared by more distinct fingerprints than this is split over several tasks.
 HOT_BUCKET = 50_000
@@ -66,37 +75,49 @@ def pack_bits(bits: Column) -> Column:
     )
 
 
+def word_fingerprint(words: Column) -> Column:
+    """A long per list of words: bit i tells whether bit i of the md5, highest first, is set in over half of the distinct words.
+
+    Counted a batch of lists at a time. A null or empty list gives 0.
+    """
+    return F.arrow_udf(_word_fingerprints, "bigint")(words)
+
+
+# Pairs of list and word whose bits are unpacked at once, 64 bytes each.
+_PAIRS = 100_000
+
+
+def _word_fingerprints(words: pa.Array) -> pa.Array:
+    rows = len(words)
+    lengths = pa.compute.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False)
+    coded = words.flatten().dictionary_encode()
+    terms = max(len(coded.dictionary), 1)
+    digests = b"".join(hashlib.md5(w.encode(), usedforsecurity=False).digest()[:8] for w in coded.dictionary.to_pylist())
+    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
+    row, term = np.divmod(np.unique(np.repeat(np.arange(rows, dtype=np.int64), lengths) * terms + coded.indices.to_numpy()), terms)
+    sums = np.zeros((rows, BITS), np.int64)
+    for start in range(0, len(row), _PAIRS):
+        mine, firsts = np.unique(row[start : start + _PAIRS], return_index=True)
+        sums[mine] += np.add.reduceat(bits[term[start : start + _PAIRS]], firsts, axis=0, dtype=np.int64)
+    most = sums * 2 > np.bincount(row, minlength=rows)[:, None]
+    return pa.array(np.packbits(most, axis=1, bitorder="little").view("<i8")[:, 0])
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
 # --- near-duplicates -----------------------------------------------------------
 
-def choose_bands(n: int, threshold: int) -> tuple[int, int]:
+def choose_bands(threshold: int) -> tuple[int, int]:
     """``(bands, radius)``: into how many bands a fingerprint is cut, and how far a band may differ.
 
     With ``m`` bands two fingerprints within ``threshold`` differ by at most
-    ``threshold // m`` in one of them. Few wide bands with a radius make many
-    probes and small buckets, many narrow bands the reverse; the cheaper wins.
+    ``threshold // m`` in one of them. One band more than that needs no probes,
+    so all that meets lies in one bucket and is compared there as an array, which costs
+    a hundredth of what a joined pair costs.
     """
-    best: tuple[float, int, int] | None = None
-    for bands in range(1, threshold + 2):
-        radius, width = threshold // bands, BITS // bands
-        probes = sum(_choose(width, r) for r in range(radius + 1))
-        if probes > 4096:
-            continue
-        cost = bands * n * (20.0 * probes + probes * n / 2.0**width)
-        if best is None or cost < best[0]:
-            best = (cost, bands, radius)
-    assert best is not None
-    return best[1], best[2]
-
-
-def _choose(n: int, k: int) -> int:
-    out = 1
-    for i in range(k):
-        out = out * (n - i) // (i + 1)
-    return out
+    return min(threshold + 1, BITS), 0
 
 
 def _band_layout(bands: int) -> list[tuple[int, int]]:
@@ -144,17 +165,17 @@ def _probing_bands(items: DataFrame, layout: list[tuple[int, int]], radius: int,
     return rows.withColumn("mask", F.explode(per_band)).withColumn("key", F.col("key").bitwiseXOR(F.col("mask"))).drop("mask")
 
 
-def _dealt(later: DataFrame, earlier: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _dealt(later: DataFrame, earlier: DataFrame, counted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add ``cell`` to both sides, so that every pair of a hot bucket meets in one cell of a grid.
 
-    A bucket of ``n`` rows has ``n / HOT_BUCKET`` lines of cells either way: later rows
+    A bucket of ``n`` rows of ``counted`` has ``n / HOT_BUCKET`` lines of cells either way: later rows
     lie in one line and are repeated along it, earlier rows in one column. What
     a cell holds does not grow with the bucket.
     """
     keys = ["part", "band", "key"]
     # A stored table, whose size is known: Spark sends it around only if it is small.
     hot = written(
-        earlier.groupBy(*keys)
+        counted.groupBy(*keys)
         .agg(F.count("*").alias("n"))
         .where(F.col("n") > HOT_BUCKET)
         .select(*keys, F.ceil(F.col("n") / HOT_BUCKET).cast("long").alias("side"))
@@ -172,22 +193,67 @@ def _dealt(later: DataFrame, earlier: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def _close_earlier(
-    later: DataFrame, earlier: DataFrame, bands: int, radius: int, threshold: int, how: str, *, large: bool
-) -> DataFrame:
-    """Pairs (or with ``left_semi`` later items) where an earlier item is within the threshold."""
+def _close_earlier(later: DataFrame, earlier: DataFrame, bands: int, radius: int, threshold: int, n: int) -> DataFrame:
+    """``(part, bits, leader)``: the first earlier item within the threshold, for later items that have one."""
     layout = _band_layout(bands)
     a = _probing_bands(later, layout, radius, "")
     b = _plain_bands(earlier, layout, "o_")
     keys = ["part", "band", "key"]
-    if large:
-        a, b = _dealt(a, b)
+    if n > HOT_BUCKET:
+        counted = b.select(*keys) if radius else a.select(*keys).unionByName(b.select(*keys))
+        a, b = _dealt(a, b, counted)
         keys.append("cell")
-    on = [a[k] == b[k] for k in keys] + [b["o_name"] < a["name"], hamming(a["bits"], b["o_bits"]) <= threshold]
-    joined = a.join(b, on, how)
-    if how == "left_semi":
-        return joined.select("part", "bits").distinct()
-    return joined.select(a["part"], "bits", "name", "o_name", "o_bits")
+    if radius:
+        on = [a[k] == b[k] for k in keys] + [hamming(a["bits"], b["o_bits"]) <= threshold, b["o_name"] < a["name"]]
+        met = a.join(b, on).select(a["part"], "bits", F.col("o_name").alias("leader"))
+    else:
+        # Rows are few and small, the comparisons are the work: tasks are counted, not merged by their size.
+        tasks = max(3 * later.sparkSession.sparkContext.defaultParallelism, n * bands // _TASK_ROWS)
+        sides = [rows.select(*[F.col(c).alias(f"{side}_{c}") for c in keys], *rest).repartition(tasks, *[f"{side}_{c}" for c in keys])
+                 for rows, side, rest in ((a, "a", ["bits", "name"]), (b, "b", ["o_bits", "o_name"]))]
+        groups = [rows.groupBy(*[f"{side}_{c}" for c in keys]) for rows, side in zip(sides, "ab", strict=True)]
+        met = groups[0].cogroup(groups[1]).applyInArrow(_first_earlier(threshold), _FIRST)
+    return met.groupBy("part", "bits").agg(F.min("leader").alias("leader"))
+
+
+# Rows of later items that one task compares, and pairs compared at once.
+_TASK_ROWS = 250_000
+_CELLS = 1 << 16
+_FIRST = "part string, bits bigint, leader string"
+
+
+def _first_earlier(threshold: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Within one bucket: for each later item the first earlier one within ``threshold`` bits, if any."""
+
+    def first(later: pa.Table, earlier: pa.Table) -> pa.Table:
+        size = earlier.num_rows
+        names = pa.concat_arrays([c.cast(pa.string()) for t, n in ((earlier, "o_name"), (later, "name")) for c in t.column(n).chunks])
+        place = pa.compute.rank(names, tiebreaker="min").to_numpy() if len(names) else np.zeros(0, np.int64)
+        in_order, waiting = np.argsort(place[:size], kind="stable"), np.argsort(place[size:], kind="stable")
+        places, bits = place[:size][in_order], earlier.column("o_bits").to_numpy().view(np.uint64)[in_order]
+        own_places, own = place[size:], later.column("bits").to_numpy().view(np.uint64)
+        found = np.full(later.num_rows, -1, np.int64)
+        step = 512
+        for start in range(0, size, step):
+            # Earlier items come by name, so the first hit is the answer, and an item that has it leaves.
+            after = np.searchsorted(own_places[waiting], places[start], side="right")
+            waiting = waiting[after:]
+            left = [waiting[:0]]
+            for low in range(0, len(waiting), _CELLS // step):
+                some = waiting[low : low + _CELLS // step]
+                near = np.bitwise_count(own[some][:, None] ^ bits[None, start : start + step]) <= threshold
+                if places[min(start + step, size) - 1] >= own_places[some[0]]:
+                    near &= places[None, start : start + step] < own_places[some][:, None]
+                hit = near.any(axis=1)
+                if hit.any():
+                    found[some[hit]] = in_order[start + near[hit].argmax(axis=1)]
+                    some = some[~hit]
+                left.append(some)
+            waiting = np.concatenate(left)
+        good = np.flatnonzero(found >= 0)
+        return pa.table([later.column("a_part").take(good), later.column("bits").take(good), names.take(found[good])], names=["part", "bits", "leader"])
+
+    return first
 
 
 def near_duplicate_groups(
@@ -199,30 +265,26 @@ def near_duplicate_groups(
     however many, never meet each other in a join. Leaders are then found in
     rounds over distinct fingerprints: a fingerprint with no earlier undecided
     neighbour becomes a leader, and its undecided neighbours are decided. A round
-    only asks whether a neighbour exists; pairs are formed once, at the end,
-    between members and leaders, and leaders are never close to one another.
+    only asks for the first neighbour; no list of pairs is built. Leaders are never
+    close to one another.
     """
     rows = written(items.select(F.col(part).alias("part"), F.col(name).alias("name"), F.col(bits).cast("long").alias("bits")))
     distinct = checkpointed(rows.groupBy("part", "bits").agg(F.min("name").alias("name")))
-    n = distinct.count()
-    m, radius = bands or choose_bands(n, threshold)
-    large = n > HOT_BUCKET
-    undecided, leaders = distinct, None
-    while not undecided.isEmpty():
-        blocked = _close_earlier(undecided, undecided, m, radius, threshold, "left_semi", large=large)
+    m, radius = bands or choose_bands(threshold)
+    undecided, leaders, n = distinct, None, distinct.count()
+    left = n
+    while left:
+        blocked = _close_earlier(undecided, undecided, m, radius, threshold, left)
         fresh = undecided.join(blocked, ["part", "bits"], "left_anti")
         fresh = checkpointed(fresh)
-        taken = _close_earlier(undecided, fresh, m, radius, threshold, "left_semi", large=large)
-        rest = undecided.join(fresh.select("part", "bits").unionByName(taken), ["part", "bits"], "left_anti")
+        taken = _close_earlier(undecided.join(fresh, ["part", "bits"], "left_anti"), fresh, m, radius, threshold, left)
+        rest = undecided.join(fresh.select("part", "bits").unionByName(taken.select("part", "bits")), ["part", "bits"], "left_anti")
         undecided = checkpointed(rest)
+        left = undecided.count()
         leaders = fresh if leaders is None else leaders.unionByName(fresh)
     if leaders is None:
         return rows.withColumn("leader", F.lit(None).cast("string"))
-    first = (
-        _close_earlier(distinct.join(leaders.select("part", "bits"), ["part", "bits"], "left_anti"), leaders, m, radius, threshold, "inner", large=large)
-        .groupBy("part", "bits")
-        .agg(F.min("o_name").alias("leader"))
-    )
+    first = _close_earlier(distinct.join(leaders, ["part", "bits"], "left_anti"), leaders, m, radius, threshold, n)
     decided = leaders.select("part", "bits", F.col("name").alias("leader")).unionByName(first)
     return rows.join(decided, ["part", "bits"]).select("part", "name", "bits", "leader")
 

@@ -1,5 +1,7 @@
+import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,21 @@ def test_bits(spark):
     assert (row["b"], row["p"]) == ([1, 0, 1], 5)
 
 
+def test_word_fingerprints_are_counted_in_batches(spark, monkeypatch):
+    def one_by_one(words):
+        hashes = [int(hashlib.md5(w.encode()).hexdigest()[:16], 16) for w in set(words or [])]
+        return signed(sum(1 << i for i in range(64) if 2 * sum(h >> (63 - i) & 1 for h in hashes) > len(hashes)))
+
+    rng = random.Random(5)
+    lists = [None, [], ["a"], ["a", "a", "b"], ["ünd", "σ"]] + [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(40))] for _ in range(60)]
+    expected = [one_by_one(words) for words in lists]
+    df = spark.createDataFrame(list(enumerate(lists)), "i int, words array<string>").repartition(3)
+    assert [r["b"] for r in df.select("i", media.word_fingerprint(F.col("words")).alias("b")).orderBy("i").collect()] == expected
+    monkeypatch.setattr(media, "_PAIRS", 7)
+    assert media._word_fingerprints(pa.array(lists, pa.list_(pa.string()))).to_pylist() == expected
+    assert media._word_fingerprints(pa.array([], pa.list_(pa.string()))).to_pylist() == []
+
+
 def test_quality(spark):
     rows = [("e", "a", 2000, 1500, 1_048_576, 1000.0, 100.0), ("e", "b", 0, 0, 0, 0.0, 40.0), ("e", "c", 0, 0, 0, 0.0, 255.0)]
     df = spark.createDataFrame(rows, "event_id string, filename string, width int, height int, bytes bigint, lap_var double, mean_b double")

@@ -6,7 +6,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scriptorium.functions.text import let, word_list
+from scriptorium.functions.text import word_list
 from scriptorium.operators import media
 from scriptorium.session import written
 from workloads import fixtures as fx
@@ -14,26 +14,9 @@ from workloads import fixtures as fx
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text fingerprints: per bit the sum of plus or minus one over the first 64 bits of each
-    distinct word's md5, made in the row of its document."""
+    distinct word's md5, made in the task that reads its document."""
     docs = fx.spread(fx.table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
-
-    def sign_bits(words):
-        hashes = F.transform(words, lambda w: F.substring(F.md5(F.encode(w, "utf-8")), 1, 16))
-        # Four hex digits at a time keep every number small and positive.
-        quarters = F.transform(
-            F.sequence(F.lit(0), F.lit(3)),
-            lambda q: F.transform(hashes, lambda h: F.conv(F.substring(h, q * 4 + 1, F.lit(4)), 16, 10).cast("int")),
-        )
-        masks = F.array(*[F.lit(1 << (15 - i)) for i in range(16)])
-
-        def majority(numbers):
-            return F.transform(
-                masks, lambda m: (F.size(F.filter(numbers, lambda x: x.bitwiseAND(m) > 0)) * 2 > F.size(numbers)).cast("int")
-            )
-
-        return F.flatten(F.transform(quarters, majority))
-
-    bits = media.pack_bits(let(F.array_distinct(word_list(F.col("text"))), sign_bits))
+    bits = media.word_fingerprint(word_list(F.col("text")))
     return docs.select(F.col("lang").alias("event_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("filename"), "doc_id", bits.alias("bits"))
 
 
