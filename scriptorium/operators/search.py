@@ -240,7 +240,8 @@ def _added_weights(part: pa.RecordBatch, known: pa.Array, starts: np.ndarray, me
     hit = pc.is_valid(found).to_numpy(zero_copy_only=False)
     term = pc.fill_null(found, 0).to_numpy(zero_copy_only=False)[hit].astype(np.int64)
     chunk, weight = chunk[hit], part.column(2).flatten().to_numpy(zero_copy_only=False)[hit]
-    cells, sums = np.zeros(0, np.int64), np.zeros(0)
+    # A cell for each pair of query and chunk: weights are added where they belong, nothing is sorted.
+    sums = np.zeros((int(members.max(initial=-1)) + 1) * part.num_rows)
     counts = starts[term + 1] - starts[term]
     ends = np.cumsum(counts)
     low = 0
@@ -250,14 +251,11 @@ def _added_weights(part: pa.RecordBatch, known: pa.Array, starts: np.ndarray, me
         n = counts[low:high]
         offsets = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         query = members[np.repeat(starts[term[low:high]], n) + offsets]
-        more = query * part.num_rows + np.repeat(chunk[low:high], n)
-        added = np.concatenate((sums, np.repeat(weight[low:high], n)))
-        cells, place = np.unique(np.concatenate((cells, more)), return_inverse=True)
-        sums = np.bincount(place, weights=added, minlength=len(cells))
+        np.add.at(sums, query * part.num_rows + np.repeat(chunk[low:high], n), np.repeat(weight[low:high], n))
         low = high
     sums = np.round(sums, 6)
-    good = sums > 0
-    return cells[good] // part.num_rows, cells[good] % part.num_rows, sums[good]
+    cells = np.flatnonzero(sums > 0)
+    return cells // part.num_rows, cells % part.num_rows, sums[cells]
 
 
 def rrf_fuse(ranked: list[DataFrame], limit: int, threshold: float = 0.0) -> DataFrame:

@@ -139,3 +139,17 @@ def test_vectors_of_a_batch_equal_those_of_expressions(spark):
         rows = lambda df: {r["chunk_id"]: (r["sparse"], r["dense"]) for r in df.collect()}
         assert rows(got) == rows(want)
     assert ix.with_vectors(chunks.limit(0)).count() == 0
+
+
+def test_weights_are_added_without_sorting(monkeypatch):
+    ids, vocabulary, starts, members = search._inverted(np.array([5, 5, 9]), np.array(["a", "b", "b"]))
+    part = pa.RecordBatch.from_arrays([pa.array(["x", "y"]), pa.array([["a", "b"], ["b", "z"]]), pa.array([[0.5, 0.25], [1.0, 2.0]])], names=["chunk_id", "terms", "weights"])
+
+    def sorts(*args, **how):
+        raise AssertionError("pairs are sorted")
+
+    monkeypatch.setattr(np, "unique", sorts)
+    for matches in (1_000_000, 1):
+        monkeypatch.setattr(search, "_MATCHES", matches)
+        query, chunk, sums = search._added_weights(part, pa.array(vocabulary), starts, members)
+        assert list(zip(ids[query].tolist(), chunk.tolist(), sums.tolist())) == [(5, 0, 0.75), (5, 1, 1.0), (9, 0, 0.25), (9, 1, 1.0)]
