@@ -228,7 +228,9 @@ def _first_earlier(threshold: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def first(later: pa.Table, earlier: pa.Table) -> pa.Table:
         size = earlier.num_rows
         names = pa.concat_arrays([c.cast(pa.string()) for t, n in ((earlier, "o_name"), (later, "name")) for c in t.column(n).chunks])
-        place = pa.compute.rank(names, tiebreaker="min").to_numpy() if len(names) else np.zeros(0, np.int64)
+        place = pa.compute.rank(names, tiebreaker="min").to_numpy().astype(np.int64) if len(names) else np.zeros(0, np.int64)
+        # An item without a name comes before or after none.
+        place = np.where(np.arange(len(place)) < size, place, np.where(names.is_valid().to_numpy(zero_copy_only=False), place, -1))
         in_order, waiting = np.argsort(place[:size], kind="stable"), np.argsort(place[size:], kind="stable")
         places, bits = place[:size][in_order], earlier.column("o_bits").to_numpy().view(np.uint64)[in_order]
         own_places, own = place[size:], later.column("bits").to_numpy().view(np.uint64)
@@ -259,7 +261,7 @@ def _first_earlier(threshold: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 def near_duplicate_groups(
     items: DataFrame, *, part: str = "event_id", name: str = "filename", bits: str = "bits", threshold: int = 8, bands: tuple[int, int] | None = None
 ) -> DataFrame:
-    """``(part, name, bits, leader)`` for every item; a leader leads itself.
+    """``(part, name, bits, leader)`` for every item with part and bits; a leader leads itself.
 
     Equal fingerprints are one fingerprint named by its first item, so copies,
     however many, never meet each other in a join. Leaders are then found in
@@ -269,7 +271,8 @@ def near_duplicate_groups(
     close to one another.
     """
     rows = written(items.select(F.col(part).alias("part"), F.col(name).alias("name"), F.col(bits).cast("long").alias("bits")))
-    distinct = checkpointed(rows.groupBy("part", "bits").agg(F.min("name").alias("name")))
+    known = rows.where("part IS NOT NULL AND bits IS NOT NULL")
+    distinct = checkpointed(known.groupBy("part", "bits").agg(F.min("name").alias("name")))
     m, radius = bands or choose_bands(threshold)
     undecided, leaders, n = distinct, None, distinct.count()
     left = n

@@ -40,6 +40,13 @@ def test_members_do_not_recruit(spark):
     assert groups(spark, items)[("e", "c")] == "c"
 
 
+def test_items_without_part_or_bits_have_no_group(spark):
+    rows = [("e", "a", 0), ("e", "b", 1), ("e", None, 3), (None, "c", 0), ("e", "d", None)]
+    df = spark.createDataFrame(rows, "event_id string, filename string, bits bigint")
+    got = {(r["part"], r["name"], r["leader"]) for r in media.near_duplicate_groups(df).collect()}
+    assert got == {("e", "a", "a"), ("e", "b", "a"), ("e", None, None)}
+
+
 @pytest.mark.parametrize("bands", [None, (9, 0), (4, 2), (3, 2), (2, 4)])
 def test_against_one_by_one(spark, bands):
     rng = random.Random(11)
