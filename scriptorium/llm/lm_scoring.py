@@ -27,7 +27,7 @@ import sys
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import repeat
 
 import numpy as np
@@ -116,6 +116,12 @@ class Branches:
             home = home + _mixed(np.where(by < 0, symbol, by)) % parts
         return (home % np.uint64(self.groups)).astype(np.int64)
 
+    def bucket(self, word: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Where pairs of a split word and the symbol behind it are added up."""
+        parts = self.parts[np.searchsorted(self.split, word)].astype(np.uint64)
+        home = _mixed(word) + _mixed(symbol) % parts
+        return (home % np.uint64(self.groups // GROUPS_PER_TASK + 1)).astype(np.int64)
+
     def gains(self, symbol: np.ndarray, before: np.ndarray, times: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         """log10 of every token's probability in its state over that in the unigram model.
 
@@ -270,8 +276,12 @@ def _parcels(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["group_", "run", "kind", "data"])
 
 
-def _split_words(training: DataFrame, model: Branches, sent: Broadcast) -> DataFrame:
-    """Parcels with the distributions of the split words, one for every part."""
+def _counted_pairs(training: DataFrame, model: Branches, sent: Broadcast) -> DataFrame:
+    """``(bucket, data)``: what follows the split words in the texts of a task, one row for every bucket.
+
+    A bucket gets the pairs of as many tokens as a task of branches at most, so there
+    are as few rows as that allows; a row never has less than one pair.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared(sent)
@@ -279,7 +289,16 @@ def _split_words(training: DataFrame, model: Branches, sent: Broadcast) -> DataF
         pairs, n, pending, waiting = empty, empty, [], 0
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
+            word, symbol = pairs // len(model.root), pairs % len(model.root)
+            bucket = model.bucket(word, symbol)
+            order = np.argsort(bucket, kind="stable")
+            bounds = np.concatenate((np.flatnonzero(np.diff(bucket[order], prepend=-1)), [len(order)])).tolist()
+            found, data = [], []
+            for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+                at = order[low:high]
+                found.append(int(bucket[at[0]]))
+                data.append(_packed(word[at].astype(np.int32), symbol[at].astype(np.int32), n[at]))
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(data, pa.binary())], names=["bucket", "data"])
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             found, place = np.unique(np.concatenate((pairs, *pending)), return_inverse=True)
@@ -301,25 +320,45 @@ def _split_words(training: DataFrame, model: Branches, sent: Broadcast) -> DataF
         pairs, n = merged()
         yield rows()
 
+    return training.mapInArrow(count, "bucket long, data binary")
+
+
+def _split_words(training: DataFrame, model: Branches, sent: Broadcast, sent_bare: Broadcast) -> DataFrame:
+    """Parcels with the distributions of the split words, one for every part; ``sent_bare`` is the model without its words."""
+
+    def add(table: pa.Table) -> pa.Table:
+        packed = [_unpacked(data, np.int32, np.int32, np.int64) for data in table.column("data").to_pylist()]
+        word, symbol, n = (np.concatenate(x) for x in zip(*packed, strict=True))
+        packed.clear()
+        order = np.lexsort((symbol, word))
+        word, symbol, n = word[order], symbol[order], n[order]
+        pairs = np.flatnonzero((np.diff(word, prepend=-1) != 0) | (np.diff(symbol, prepend=-1) != 0))
+        n, word, symbol = np.add.reduceat(n, pairs), word[pairs], symbol[pairs]
+        bounds = np.concatenate((np.flatnonzero(np.diff(word, prepend=-1)), [len(word)])).tolist()
+        data = [_packed(symbol[a:b], n[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return pa.table({"word": pa.array(word[bounds[:-1]].astype(np.int64)), "data": pa.array(data, pa.binary())})
+
     def parcel(table: pa.Table) -> pa.Table:
-        model = shared(sent)
-        pairs = table.column("pair").to_numpy()
-        word, symbol = pairs // len(model.root), pairs % len(model.root)
-        data = _packed(word, symbol.astype(np.int32), table.column("n").to_numpy())
-        home = int(_mixed(word[:1])[0])
-        parts = int(model.parts[np.searchsorted(model.split, word[0])])
+        model = shared(sent_bare)
+        word = table.column("word")[0].as_py()
+        symbol, n = (np.concatenate(x) for x in zip(*(_unpacked(data, np.int32, np.int64) for data in table.column("data").to_pylist()), strict=True))
+        data = _packed(np.full(len(symbol), word, np.int64), symbol, n)
+        home = int(_mixed(np.array([word]))[0])
+        parts = int(model.parts[np.searchsorted(model.split, word)])
         # Wraps around as the sum of 64 bits in Branches.group does.
         return pa.Table.from_batches([_parcels([((home + j) % (1 << 64) % model.groups, 0, _KNOWN, data) for j in range(parts)])])
 
-    counts = training.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    # One group per split word, with a row per symbol at most.
-    return counts.groupBy(F.floor(F.col("pair") / len(model.root)).alias("word")).applyInArrow(parcel, _PARCEL)
+    added = _counted_pairs(training, model, sent).groupBy("bucket").applyInArrow(add, "word long, data binary")
+    # One group per split word, with a row per bucket and a number per symbol at most.
+    return added.groupBy("word").applyInArrow(parcel, _PARCEL)
 
 
 def tree_gains(rows: DataFrame, model: Branches) -> DataFrame:
     """``(key, gain)`` for every distinct sequence of words in ``rows`` (``held_out, text``): log10 of the tree's over the unigram probability."""
     spark = rows.sparkSession
     sent = share(spark, model)
+    # Branches ask by number; the words would only fill memory there.
+    sent_bare = share(spark, replace(model, code={}))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared(sent)
@@ -347,7 +386,7 @@ def tree_gains(rows: DataFrame, model: Branches) -> DataFrame:
                 run += 1
 
     def ask(table: pa.Table) -> pa.Table:
-        model = shared(sent)
+        model = shared(sent_bare)
         out, owners, tokens, known = [], [], [], [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))]
         for run, kind, data in zip(*(table.column(c).to_pylist() for c in ("run", "kind", "data")), strict=True):
             if kind == _KEYS:
@@ -387,7 +426,7 @@ def tree_gains(rows: DataFrame, model: Branches) -> DataFrame:
     parcels = rows.select("held_out", "text").mapInArrow(send, _PARCEL)
     if len(model.split):
         training = rows.where(~F.col("held_out")).select("text")
-        parcels = parcels.unionByName(_split_words(training, model, sent))
+        parcels = parcels.unionByName(_split_words(training, model, sent, sent_bare))
     # By the number of groups, at least one per task slot: parcels are compressed, so sizes do not tell the work.
     width = max(model.groups // GROUPS_PER_TASK, spark.sparkContext.defaultParallelism)
     answers = parcels.repartition(width, "group_").groupBy("group_").applyInArrow(ask, _PARCEL)
@@ -430,34 +469,37 @@ def score_texts(
         f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, key binary, "
         "rare array<struct<word: binary, n: long>>"
     )
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared(sent)
-        logs = {word: math.log10(n + 1) - log_divisor for word, n in frequent.items()}
+        logs = {word: math.log10(n + 1) - log_divisor for word, n in shared(sent).items()}
         end_log = math.log10(ends + 1) - log_divisor
         for batch in batches:
-            n_tokens, n_known, base, keys, rare = [], [], [], [], []
+            done = 0
             for lists in _token_lists(batch.column(2)):
+                n_tokens, n_known, base, keys, edges, rare, times = [], [], [], [], [0], [], []
                 for ws in lists:
                     keys.append(_text_key(ws))
-                    known, sum_logs, unknown = int(ends > 0), end_log, []
+                    known, sum_logs = int(ends > 0), end_log
                     for word, n in Counter(ws).items():
                         log = logs.get(word)
                         if log is None:
-                            unknown.append({"word": word, "n": n})
+                            rare.append(word)
+                            times.append(n)
                         else:
                             known += n
                             sum_logs += n * log
                     n_tokens.append(len(ws) + 1)
                     n_known.append(known)
                     base.append(sum_logs)
-                    rare.append(unknown)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
-                 pa.array(base, pa.float64()), pa.array(keys, pa.binary()), pa.array(rare, rare_type)],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "key", "rare"],
-            )
+                    edges.append(len(rare))
+                pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(done, len(lists)), batch.column(1).slice(done, len(lists)), pa.array(n_tokens, pa.int64()),
+                     pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(keys, pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pairs)],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "key", "rare"],
+                )
+                done += len(lists)
 
     # The row key is stored with the rows, so every reader sees the same.
     scored = written(rows.mapInArrow(work, schema).withColumn("row", F.monotonically_increasing_id()))

@@ -5,13 +5,14 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 from scriptorium.llm import language_id, lm_scoring, quality, token_counts
-from scriptorium.llm.common import fold
+from scriptorium.llm.common import fold, share
 from scriptorium.session import shared_folder
 from tests.llm.helpers import frame, hard_texts, words
 
@@ -185,6 +186,32 @@ def test_tree_matches_brute_force(spark, max_words, group_tokens):
     assert sorted(r["score"] - r["base_score"] for r in got) == pytest.approx(sorted(tree.gain(ws) for ws, _ in lists), rel=1e-4, abs=1e-3)
 
 
+def test_counts_of_split_words_travel_in_buckets(spark):
+    """A task sends a row for every bucket, however many pairs it has counted, and every part gets the whole distribution."""
+    rnd = random.Random(6)
+    texts = [" ".join(f"w{min(rnd.randrange(1, 40), rnd.randrange(1, 40))}" for _ in range(50)) for _ in range(120)]
+    training = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    counts = Counter(w.encode() for t in texts for w in t.split())
+    model = lm_scoring.plan_branches(dict(counts), len(texts), counts.total() + len(texts), len(counts) + 1, group_tokens=200)
+    assert len(model.split) > 5 and max(model.parts) > 1
+    sent = share(spark, model)
+    rows = lm_scoring._counted_pairs(training, model, sent).collect()
+    assert len(rows) <= 3 * (model.groups // lm_scoring.GROUPS_PER_TASK + 1)
+    code = {w.decode(): i for w, i in model.code.items()}
+    pairs = Counter()
+    for t in texts:
+        line = [model.end, *(code[w] for w in t.split()), model.end]
+        pairs.update((a, b) for a, b in zip(line, line[1:]) if a in model.split)
+    assert len(rows) < len(pairs)
+    found, homes = {}, Counter()
+    for r in lm_scoring._split_words(training, model, sent, sent).collect():
+        word, symbol, n = lm_scoring._unpacked(bytes(r["data"]), np.int64, np.int32, np.int64)
+        homes[int(word[0])] += 1
+        found |= {(int(a), int(b)): int(c) for a, b, c in zip(word, symbol, n)}
+    assert found == pairs
+    assert homes == dict(zip(model.split.tolist(), model.parts.tolist()))
+
+
 def test_tree_grows_with_the_corpus(spark):
     """A rare passage that occurs in two documents is foretold in both, however large the rest."""
     for size in (200, 2000):
