@@ -31,7 +31,8 @@ import xxhash
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scriptorium.llm.common import blocks, components, heavy_join, text_of
+from scriptorium.llm.common import blocks, components, heavy_join, share, shared, text_of
+from scriptorium.llm.decontamination import Bitmap
 from scriptorium.session import written
 
 # Executors need not have this package on their path.
@@ -423,6 +424,21 @@ def similar_classes(classes: DataFrame, percent: int, block: int = BLOCK) -> Dat
     return components(written(links.union(more)))
 
 
+def offered(texts: DataFrame, passed: DataFrame) -> DataFrame:
+    """``(text, text_hash)``: the ``texts`` that may be among those ``passed (text_hash)``, so that only these are shuffled.
+
+    The bitmap is of bounded size; a full one only lets more texts into the join.
+    """
+    sent = share(texts.sparkSession, Bitmap.of(passed, "text_hash"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = shared(sent)
+        for batch in batches:
+            yield batch.filter(pa.array(listed.has(batch.column(1).to_numpy().view(np.uint64))))
+
+    return texts.select("text", F.xxhash64("text").alias("text_hash")).mapInArrow(work, "text string, text_hash long")
+
+
 def jaccard_groups(
     docs: DataFrame, percent: int = PERCENT, width: int = WORDS, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, block: int = BLOCK
 ) -> DataFrame:
@@ -457,8 +473,7 @@ def jaccard_groups(
                     [pa.array(longs[:, 0]), pa.array(longs[:, 1]), pa.array(np.diff(edges)), lists.cast(pa.list_(pa.int64()))], names=["set_a", "set_b", "n", "hashes"]
                 )
 
-    texts = docs.select(text_of(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    texts = texts.join(passed, "text_hash", "left_semi").select("text")
+    texts = offered(docs.select(text_of(text_col).alias("text")), passed).join(passed, "text_hash", "left_semi").select("text")
     full = texts.mapInArrow(work, "set_a long, set_b long, n long, hashes array<long>").where("n > 0").dropDuplicates(["set_a", "set_b"])
     classes = written(full.withColumn("id", F.monotonically_increasing_id()))
     # Once more without copies, which know all shingles of each other.

@@ -111,3 +111,17 @@ def test_search_finds_what_intersections_find():
             both = [len({*sets[q]} & {*s}) for s in sets]
             want = [d for d in range(n) if d != q and 100 * both[d] >= percent * (sizes[q] + sizes[d] - both[d]) and 100 * min(sizes[q], sizes[d]) >= percent * max(sizes[q], sizes[d])]
             assert got == want
+
+
+def test_only_texts_that_passed_are_shuffled(spark):
+    """All texts that passed are offered to the join, and hardly any other, copies and empty tables included."""
+    rows = [(i, f"text {i} of many") for i in range(4000)] + [(4000 + i, f"text {i} of many") for i in range(0, 100, 10)]
+    texts = frame(spark, rows).select("text")
+    hashes = texts.select(F.xxhash64("text").alias("text_hash"), "text").distinct()
+    wanted = {f"text {i} of many" for i in range(0, 1000, 10)}
+    passed = hashes.where(F.col("text").isin(wanted)).select("text_hash")
+    got = [r["text"] for r in jaccard_join.offered(texts, passed).collect()]
+    assert sorted(t for t in got if t in wanted) == sorted(t for _, t in rows if t in wanted)
+    assert sum(t not in wanted for t in got) < 400
+    assert jaccard_join.offered(texts, passed.limit(0)).count() == 0
+    assert jaccard_join.offered(texts.limit(0), passed).count() == 0
