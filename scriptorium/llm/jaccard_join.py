@@ -44,6 +44,8 @@ PERCENT = 85
 BUCKET = 1 << 21
 # Texts of one run; their numbers have 16 bits.
 MOST_ROWS = 1 << 16
+# Bytes of a run that are cut into shingles at a time.
+CUT_BYTES = 1 << 20
 # Shingles of the classes that one block holds, on average.
 BLOCK = 1 << 20
 # How much dearer a step of the heap is than one of a binary search; decides how many lists are long.
@@ -99,8 +101,10 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, width: int = WORDS) -> t
 def _runs(texts: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[bytes]]]:
     """Per run of texts: first row, rows, where each row's hashes begin, the hashes, and a digest of each set."""
     for part in range(0, len(texts), MOST_ROWS):
-        for first, last, offsets, data in blocks(texts.slice(part, MOST_ROWS)):
-            row, hashes = shingle_sets(offsets, data, width)
+        rows = texts.slice(part, MOST_ROWS)
+        for first, last, _, _ in blocks(rows):
+            cut = [(at, shingle_sets(offsets, data, width)) for at, _, offsets, data in blocks(rows.slice(first, last - first), CUT_BYTES)]
+            row, hashes = np.concatenate([at + r for at, (r, _) in cut]), np.concatenate([h for _, (_, h) in cut])
             edges = np.searchsorted(row, np.arange(last - first + 1))
             raw = hashes.tobytes()
             digests = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
@@ -192,10 +196,14 @@ def _count_bucket(key: tuple, table: pa.Table) -> pa.Table:
     members = [np.frombuffer(r["members"], np.uint16) for r in rows]
     counts = [_unpacked(r["counts"], len(m)) for r, m in zip(rows, members, strict=True)]
     lone = [_uncut(r["hashes"]) for r in rows]
-    shared = np.unique(np.concatenate([_uncut(r["shared"]) for r in rows]))
     whole = np.concatenate(lone)
-    _, back, times = np.unique(whole, return_inverse=True, return_counts=True)
-    again = (times[back] > 1) | np.isin(whole, shared)
+    ordered = np.sort(whole)
+    # Cut hashes are few enough for a table of them.
+    often = np.zeros(1 << 8 * REST, bool)
+    often[ordered[1:][ordered[1:] == ordered[:-1]]] = True
+    for r in rows:
+        often[_uncut(r["shared"])] = True
+    again = often[whole]
     out, at = [], 0
     for m, c, h in zip(members, counts, lone, strict=True):
         known = np.bincount(np.repeat(np.arange(len(m)), c)[again[at : at + len(h)]], minlength=len(m))
