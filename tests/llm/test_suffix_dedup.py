@@ -125,6 +125,25 @@ def test_stage_takes_passages_of_51_short_words(spark):
     assert got == {i: (t, len(t)) for i, t in enumerate(want)}
 
 
+def test_stage_stores_no_texts_on_the_way(spark, monkeypatch):
+    columns = []
+    stored = suffix_dedup.Scratch.written
+    monkeypatch.setattr(suffix_dedup.Scratch, "written", lambda self, df: columns.extend(df.columns) or stored(self, df))
+    docs = frame(spark, list(enumerate(corpus(60, 60))))
+    suffix_dedup.remove_repeats(docs, 60, words=10).count()
+    assert "raw" in columns and not {"text", "code"} & set(columns)
+
+
+def test_spans_are_the_same_without_texts(spark):
+    docs = frame(spark, list(enumerate(corpus(60, 61))))
+
+    def spans(**options):
+        rows = suffix_dedup.repeated_spans(docs, suffix_dedup.Scratch(spark), 60, **options).collect()
+        return {bytes(r["key"]): sorted(map(tuple, r["spans"])) for r in rows}
+
+    assert spans(with_text=False) == spans() != {}
+
+
 def test_empty_table(spark):
     docs = frame(spark, [(1, "x")]).where(F.lit(False))
     assert suffix_dedup.removal_counts(docs).count() == 0
