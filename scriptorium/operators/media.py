@@ -12,6 +12,7 @@ import sys
 from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -196,6 +197,10 @@ def _dealt(later: DataFrame, earlier: DataFrame, counted: DataFrame) -> tuple[Da
 def _close_earlier(later: DataFrame, earlier: DataFrame, bands: int, radius: int, threshold: int, n: int) -> DataFrame:
     """``(part, bits, leader)``: the first earlier item within the threshold, for later items that have one."""
     layout = _band_layout(bands)
+    if radius:
+        # What is probed is dealt out first, as a few items make many rows.
+        probes = sum(comb(width, r) for _, width in layout for r in range(radius + 1))
+        later = later.repartition(max(later.sparkSession.sparkContext.defaultParallelism, n * probes // _TASK_PROBES))
     a = _probing_bands(later, layout, radius, "")
     b = _plain_bands(earlier, layout, "o_")
     keys = ["part", "band", "key"]
@@ -205,7 +210,8 @@ def _close_earlier(later: DataFrame, earlier: DataFrame, bands: int, radius: int
         keys.append("cell")
     if radius:
         on = [a[k] == b[k] for k in keys] + [hamming(a["bits"], b["o_bits"]) <= threshold, b["o_name"] < a["name"]]
-        met = a.join(b, on).select(a["part"], "bits", F.col("o_name").alias("leader"))
+        # Sides are estimated by their items, not by the rows that these make: neither is broadcast.
+        met = a.join(b.hint("merge"), on).select(a["part"], "bits", F.col("o_name").alias("leader"))
     else:
         # Rows are few and small, the comparisons are the work: tasks are counted, not merged by their size.
         tasks = max(3 * later.sparkSession.sparkContext.defaultParallelism, n * bands // _TASK_ROWS)
@@ -216,8 +222,9 @@ def _close_earlier(later: DataFrame, earlier: DataFrame, bands: int, radius: int
     return met.groupBy("part", "bits").agg(F.min("leader").alias("leader"))
 
 
-# Rows of later items that one task compares, and pairs compared at once.
+# Rows of later items that one task compares, probes that one task makes, and pairs compared at once.
 _TASK_ROWS = 250_000
+_TASK_PROBES = 4_000_000
 _CELLS = 1 << 16
 _FIRST = "part string, bits bigint, leader string"
 

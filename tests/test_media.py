@@ -62,6 +62,14 @@ def test_against_one_by_one(spark, bands):
     assert groups(spark, items, bands=bands) == greedy(items)
 
 
+def test_probed_sides_are_not_broadcast(spark):
+    items = spark.createDataFrame([("e", b, f"n{b}") for b in range(40)], "part string, bits long, name string")
+    first = media._close_earlier(items, items, 4, 2, 8, 40)
+    assert {r["bits"]: r["leader"] for r in first.collect()} == {b: "n0" for b in range(1, 40)}
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_hot_buckets_are_split(spark, monkeypatch):
     monkeypatch.setattr(media, "HOT_BUCKET", 5)
     rng = random.Random(2)
