@@ -363,6 +363,21 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     assert all(r["target"] == pytest.approx(want[r["source"]]) and r["taken"] <= 2 * r["size"] for r in got.values())
 
 
+def test_tables_of_former_stages_are_emptied(spark, sf_dir, monkeypatch):
+    folders = []
+
+    def stage(spark, docs, sf_dir):
+        folders.append(docs.inputFiles()[0].rsplit("/", 1)[0])
+        return docs.unionByName(docs)
+
+    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, stage) for name in "abc"])
+    assert corpus_pipeline.run(spark, sf_dir).count() == 8 * n
+    # The first one reads the input, which stays.
+    assert spark.read.parquet(f"{sf_dir}/documents.parquet").count() == n
+    assert [spark.read.parquet(f).count() for f in folders[1:]] == [0, 0]
+
+
 def test_stages_keep_columns_and_take_empty_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
