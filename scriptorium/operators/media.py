@@ -147,13 +147,23 @@ def _plain_bands(items: DataFrame, layout: list[tuple[int, int]], prefix: str) -
     ).select("part", "k.band", "k.key", f"{prefix}bits", f"{prefix}name")
 
 
-def _probing_bands(items: DataFrame, layout: list[tuple[int, int]], radius: int, prefix: str) -> DataFrame:
-    """One row per item, band and band value within ``radius``."""
+def _band_radii(bands: int, radius: int, threshold: int) -> list[int]:
+    """How far each band is probed, ``radius`` at most.
+
+    If every band differed by more than its radius, the fingerprints would differ
+    by the radii and one bit more for each band. That need only pass ``threshold``.
+    """
+    base, more = divmod(max(threshold + 1 - bands, 0), bands)
+    return [min(radius, base + (b >= bands - more)) for b in range(bands)]
+
+
+def _probing_bands(items: DataFrame, layout: list[tuple[int, int]], radii: list[int], prefix: str) -> DataFrame:
+    """One row per item, band and band value within the band's radius."""
     rows = _plain_bands(items, layout, prefix)
-    if radius == 0:
+    if not any(radii):
         return rows
     masks = []
-    for _, width in layout:
+    for (_, width), radius in zip(layout, radii, strict=True):
         own = [0]
         for r in range(1, radius + 1):
             own += [sum(1 << i for i in picked) for picked in combinations(range(width), r)]
@@ -196,12 +206,12 @@ def _dealt(later: DataFrame, earlier: DataFrame, counted: DataFrame) -> tuple[Da
 
 def _close_earlier(later: DataFrame, earlier: DataFrame, bands: int, radius: int, threshold: int, n: int) -> DataFrame:
     """``(part, bits, leader)``: the first earlier item within the threshold, for later items that have one."""
-    layout = _band_layout(bands)
+    layout, radii = _band_layout(bands), _band_radii(bands, radius, threshold)
     if radius:
         # What is probed is dealt out first, as a few items make many rows.
-        probes = sum(comb(width, r) for _, width in layout for r in range(radius + 1))
+        probes = sum(comb(width, r) for (_, width), most in zip(layout, radii, strict=True) for r in range(most + 1))
         later = later.repartition(max(later.sparkSession.sparkContext.defaultParallelism, n * probes // _TASK_PROBES))
-    a = _probing_bands(later, layout, radius, "")
+    a = _probing_bands(later, layout, radii, "")
     b = _plain_bands(earlier, layout, "o_")
     keys = ["part", "band", "key"]
     if n > HOT_BUCKET:

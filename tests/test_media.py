@@ -70,6 +70,12 @@ def test_probed_sides_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_radii_pass_the_threshold_and_no_more():
+    assert media._band_radii(4, 2, 8) == [1, 1, 1, 2] and media._band_radii(2, 4, 8) == [3, 4]
+    # A radius that is too small for the threshold stays.
+    assert media._band_radii(2, 1, 8) == [1, 1] and media._band_radii(9, 2, 8) == [0] * 9
+
+
 def test_hot_buckets_are_split(spark, monkeypatch):
     monkeypatch.setattr(media, "HOT_BUCKET", 5)
     rng = random.Random(2)
